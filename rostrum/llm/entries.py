@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rostrum.llm import exact_dedup, jaccard_join, mixing, sharding
+from rostrum.llm import bpe, exact_dedup, jaccard_join, mixing, sharding, token_files
+from rostrum.plans import scratch
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,10 +21,20 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(_table(spark, sf_dir, "documents"))
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    to = scratch.path(spark, "tokens")
+    token_files.write(_table(spark, sf_dir, "documents"), to, public_tokenizers.path("word_bpe_49k.json"))
+    return token_files.summary(spark, to)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.report(_table(spark, sf_dir, "documents"))
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(_table(spark, sf_dir, "documents"))
 
@@ -30,7 +42,9 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op3_ngram_jaccard": op3_ngram_jaccard,
+    "op4_token_files": op4_token_files,
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_bpe": op7_bpe,
     "op10_sharding": op10_sharding,
 }
 
