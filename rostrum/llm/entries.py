@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rostrum.llm import bpe, exact_dedup, jaccard_join, mixing, sharding, token_files
+from rostrum.llm import bpe, exact_dedup, fingerprints, jaccard_join, langid, mixing, sharding, token_files
 from rostrum.plans import scratch
 
 
@@ -31,10 +31,18 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.report(_table(spark, sf_dir, "documents"))
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_likeness(_table(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(_table(spark, sf_dir, "documents"))
 
@@ -44,7 +52,9 @@ QUERIES = {
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_token_files": op4_token_files,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_fingerprints": op6_fingerprints,
     "op7_bpe": op7_bpe,
+    "op8_langid": op8_langid,
     "op10_sharding": op10_sharding,
 }
 
