@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rostrum.llm import bpe, exact_dedup, fingerprints, jaccard_join, langid, mixing, sharding, token_files
+from rostrum.llm import bpe, exact_dedup, fingerprints, html_extract, jaccard_join, langid, mixing, sharding, token_files
 from rostrum.plans import scratch
 
 
@@ -17,6 +17,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(_table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_html_extract": op2_html_extract,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_token_files": op4_token_files,
     "op5_exact_dedup": op5_exact_dedup,
