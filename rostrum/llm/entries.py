@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rostrum.llm import bpe, exact_dedup, fingerprints, html_extract, jaccard_join, langid, mixing, sharding, token_files
+from rostrum.llm import bpe, exact_dedup, fingerprints, html_extract, jaccard_join, langid, mixing, quality, sharding, token_files
 from rostrum.plans import scratch
 
 
@@ -47,6 +47,10 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(_table(spark, sf_dir, "documents"))
 
@@ -60,6 +64,7 @@ QUERIES = {
     "op6_fingerprints": op6_fingerprints,
     "op7_bpe": op7_bpe,
     "op8_langid": op8_langid,
+    "op9_quality": op9_quality,
     "op10_sharding": op10_sharding,
 }
 
