@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from rostrum.queries import deck, delivery
+
 QUERIES: dict = {}
 ORACLE: dict = {}
+for _part in (delivery, deck):
+    QUERIES |= _part.QUERIES
+    ORACLE |= _part.ORACLE
