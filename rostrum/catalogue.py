@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from rostrum.queries import deck, delivery
+from rostrum.queries import coherence, deck, delivery, report
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-for _part in (delivery, deck):
+for _part in (delivery, deck, coherence, report):
     QUERIES |= _part.QUERIES
     ORACLE |= _part.ORACLE

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from rostrum.functions import text as t
 
-SLIDE = Window.partitionBy("deck", "slide")
 # Importance of keypoints by source, in the order of preference.
 IMPORTANCE = {"title": 1.0, "bullet": 0.8, "textrank": 0.6, "body": 0.4}
 ROLES_OUT = ("cover", "section", "thanks")
 
 
+def _slide() -> WindowSpec:
+    return Window.partitionBy("deck", "slide")
+
+
 def titles(lines: DataFrame, layout: bool = False, first: int = 8) -> DataFrame:
     """The best-scored of a slide's first lines, the earliest among equals.
 
@@ -63,7 +66,7 @@ def keywords(lines: DataFrame, top: int = 10, pattern: str = t.NOUN) -> DataFram
     """A slide's most frequent nouns; among equals the one seen first."""
     w = lines.select("deck", "slide", "line_idx", F.posexplode(t.nouns(F.col("line"), pattern)).alias("pos", "term"))
     c = w.groupBy("deck", "slide", "term").agg(F.count("*").alias("n"), F.min(F.struct("line_idx", "pos")).alias("seen"))
-    return c.withColumn("rank", F.row_number().over(SLIDE.orderBy(F.desc("n"), "seen"))).where(F.col("rank") <= top).select("deck", "slide", "rank", "term", "n")
+    return c.withColumn("rank", F.row_number().over(_slide().orderBy(F.desc("n"), "seen"))).where(F.col("rank") <= top).select("deck", "slide", "rank", "term", "n")
 
 
 def tfidf(lines: DataFrame) -> DataFrame:
@@ -97,7 +100,7 @@ def textrank(weights: DataFrame, top: int = 3, damping: float = 0.85, rounds: in
         return F.map_from_entries(F.transform("m", one))
 
     scored = m.select("deck", "slide", F.explode(F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step)).alias("line_idx", "score"))
-    return scored.withColumn("rank", F.row_number().over(SLIDE.orderBy(F.desc("score"), "line_idx"))).where(F.col("rank") <= top)
+    return scored.withColumn("rank", F.row_number().over(_slide().orderBy(F.desc("score"), "line_idx"))).where(F.col("rank") <= top)
 
 
 def keypoints(parts: DataFrame) -> DataFrame:
@@ -107,13 +110,13 @@ def keypoints(parts: DataFrame) -> DataFrame:
     p = parts.where(F.trim("text") != "").withColumn("o", order[F.col("source")])
     first = Window.partitionBy("deck", "slide", F.lower(F.trim("text"))).orderBy("o", "pos")
     p = p.withColumn("r", F.row_number().over(first)).where("r = 1")
-    return p.select("deck", "slide", (F.row_number().over(SLIDE.orderBy("o", "pos")) - 1).alias("kp_idx"), F.trim("text").alias("text"), "source", weight[F.col("source")].alias("importance"))
+    return p.select("deck", "slide", (F.row_number().over(_slide().orderBy("o", "pos")) - 1).alias("kp_idx"), F.trim("text").alias("text"), "source", weight[F.col("source")].alias("importance"))
 
 
 def dedupe_keep_max(parts: DataFrame) -> DataFrame:
     """Each text once at its greatest importance and its first place."""
     g = parts.groupBy("deck", "slide", "text").agg(F.max("importance").alias("importance"), F.min("pos").alias("pos"))
-    return g.withColumn("kp_idx", F.row_number().over(SLIDE.orderBy("pos")) - 1)
+    return g.withColumn("kp_idx", F.row_number().over(_slide().orderBy("pos")) - 1)
 
 
 def visual_captions(items: DataFrame, min_confidence: float = 0.3, longest: int = 80) -> DataFrame:

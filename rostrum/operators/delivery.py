@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from rostrum.functions.score import clamp, density, plateau
@@ -12,14 +12,17 @@ from rostrum.functions.text import FILLERS, is_filler, syllables
 WEIGHTS = {"silence": 0.35, "speech_rate": 0.25, "filler": 0.15, "dwell": 0.10, "probe": 0.15}
 SILENCE, RATE = (0.0, 0.05, 0.25, 0.55), (0.5, 2.0, 5.0, 7.0)
 FILLER, DWELL = (0.02, 0.05), (1.5, 3.0)
-SESSION = Window.partitionBy("session_id")
+
+
+def _session() -> WindowSpec:
+    return Window.partitionBy("session_id")
 
 
 def filler_stats(words: DataFrame, patterns=FILLERS) -> DataFrame:
     """Per slide: words, fillers and their rate (4 digits), with the session's totals."""
     s = words.groupBy("session_id", "slide_id").agg(F.count("*").alias("word_count"), F.count_if(is_filler(F.col("word"), patterns)).alias("filler_count"))
     rate = lambda a, b: F.bround(F.coalesce(F.try_divide(a, b), F.lit(0.0)), 4)
-    total, n = F.sum("filler_count").over(SESSION), F.sum("word_count").over(SESSION)
+    total, n = F.sum("filler_count").over(_session()), F.sum("word_count").over(_session())
     return s.select("session_id", "slide_id", "word_count", "filler_count", rate(F.col("filler_count"), F.col("word_count")).alias("filler_rate"), total.alias("total_fillers"), rate(total, n).alias("session_rate"))
 
 
@@ -30,8 +33,8 @@ def segment_words(segments: DataFrame, words: DataFrame) -> DataFrame:
     """
     bounds = segments.select("session_id", F.col("start_ms").alias("at"), "slide_id", F.lit(0).alias("kind"), F.lit(None).cast("int").alias("word_idx"), F.lit(None).cast("string").alias("word"), F.lit(None).cast("long").alias("end"))
     spoken = words.select("session_id", F.col("start_ms").alias("at"), F.lit(None).cast("int").alias("slide_id"), F.lit(1).alias("kind"), F.col("word_idx").cast("int"), "word", F.col("end_ms").alias("end"))
-    w = SESSION.orderBy("at", "kind", "slide_id", "word_idx").rowsBetween(Window.unboundedPreceding, 0)
-    merged = bounds.unionByName(spoken).withColumn("to", F.coalesce(F.last("slide_id", True).over(w), F.min("slide_id").over(SESSION))).where("kind = 1")
+    w = _session().orderBy("at", "kind", "slide_id", "word_idx").rowsBetween(Window.unboundedPreceding, 0)
+    merged = bounds.unionByName(spoken).withColumn("to", F.coalesce(F.last("slide_id", True).over(w), F.min("slide_id").over(_session()))).where("kind = 1")
     by = merged.groupBy("session_id", F.col("to").alias("slide_id")).agg(F.array_sort(F.collect_list(F.struct("word_idx", "word"))).alias("ws"), F.min("at").alias("first"), F.max("end").alias("last"))
     out = segments.join(by, ["session_id", "slide_id"], "left")
     flags = F.array_compact(F.array(F.when(F.col("ws").isNull(), "empty_segment"), F.when(F.col("first") > F.col("end_ms"), "late_segment_start"), F.when(F.col("last") < F.col("start_ms"), "early_segment_end")))
@@ -42,7 +45,7 @@ def segment_words(segments: DataFrame, words: DataFrame) -> DataFrame:
 def dwell(segments: DataFrame, counts: DataFrame) -> DataFrame:
     """Seconds on each slide, its share, z-score among the session's, and words per second."""
     s = segments.join(counts, ["session_id", "slide_id"], "left").withColumn("dwell_sec", F.greatest(F.lit(0.0), (F.col("end_ms") - F.col("start_ms")) / 1000.0))
-    mean, std, total = F.avg("dwell_sec").over(SESSION), F.stddev_pop("dwell_sec").over(SESSION), F.sum("dwell_sec").over(SESSION)
+    mean, std, total = F.avg("dwell_sec").over(_session()), F.stddev_pop("dwell_sec").over(_session()), F.sum("dwell_sec").over(_session())
     n = F.coalesce("word_count", F.lit(0))
     return s.select(
         "session_id",
@@ -135,12 +138,12 @@ def pacing(rates: DataFrame) -> DataFrame:
 
 def zscores(frames: DataFrame, keys=("energy", "pitch")) -> DataFrame:
     """Each series less the session's mean over its deviation."""
-    return frames.select("*", *[((F.col(k) - F.avg(k).over(SESSION)) / (F.stddev_pop(k).over(SESSION) + 1e-8)).alias(f"{k}_z") for k in keys])
+    return frames.select("*", *[((F.col(k) - F.avg(k).over(_session())) / (F.stddev_pop(k).over(_session()) + 1e-8)).alias(f"{k}_z") for k in keys])
 
 
 def type_changes(frames: DataFrame, points: DataFrame, keys=("energy", "pitch"), reach: int = 3) -> DataFrame:
     """Name change points by the measure that moves most between the frames before and from the point on, and its direction."""
-    order = SESSION.orderBy("frame_idx")
+    order = _session().orderBy("frame_idx")
     z = zscores(frames, keys)
     move = [(F.avg(f"{k}_z").over(order.rowsBetween(0, reach - 1)) - F.avg(f"{k}_z").over(order.rowsBetween(-reach, -1))).alias(f"{k}_move") for k in keys]
     z = z.select("session_id", "frame_idx", "t", *move).where(F.col(f"{keys[0]}_move").isNotNull())

@@ -39,10 +39,10 @@ def keep(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
 
 
 def drop(df: DataFrame) -> None:
-    """Delete what keep() wrote, once nothing reads it any more."""
+    """Delete what keep() wrote, once nothing reads it any more; touches nothing outside the folder."""
     spark = df.sparkSession
-    jvm = spark._jvm
+    base = folder(spark).split(":", 1)[-1].lstrip("/")
     for top in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if top.startswith(("file:", "hdfs:", "/")) or "://" in top:
-            p = jvm.org.apache.hadoop.fs.Path(top)
+        if f"/{base}/" in top.replace("///", "/").replace("//", "/"):
+            p = spark._jvm.org.apache.hadoop.fs.Path(top)
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
