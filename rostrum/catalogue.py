@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from rostrum.queries import coherence, deck, delivery, report
+from rostrum.queries import coherence, deck, delivery, report, training
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-for _part in (delivery, deck, coherence, report):
+for _part in (delivery, deck, coherence, report, training):
     QUERIES |= _part.QUERIES
     ORACLE |= _part.ORACLE

@@ -106,4 +106,4 @@ e2 AS (SELECT session_id, slide_id, list(x ORDER BY i) AS m FROM e1 GROUP BY ALL
 e3 AS (SELECT session_id, slide_id, CASE WHEN list_dot_product(m, m) > 0 THEN list_transform(m, lambda x: x / sqrt(list_dot_product(m, m))) ELSE m END AS m FROM e2),
 unit_sim AS (SELECT e0.session_id, unit_id, label, slide_id, list_dot_product(v, m) AS sim FROM e0 JOIN e3 USING (session_id))"""
 REQUESTS = """
-requests AS (SELECT o_custkey AS analysis_id, o_orderstatus AS status, o_orderdate AS at, o_orderkey AS key, o_totalprice::DOUBLE AS score FROM orders)"""
+requests AS (SELECT o_custkey AS analysis_id, o_orderstatus AS status, o_orderdate AS placed, o_orderkey AS key, o_totalprice::DOUBLE AS score FROM orders)"""
