@@ -10,7 +10,6 @@ piece is looked at, so a word is segmented once however often it occurs.
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -21,6 +20,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rostrum.plans import scratch
+
 #: Rounds of expectation-maximisation, from equal probabilities; each reads the table of word counts once.
 ROUNDS = 1
 #: What is added to a piece's expected count in each language.
@@ -28,7 +29,9 @@ SMOOTH = 0.05
 #: Letters scored at a time; longer runs are scored stretch by stretch.
 STRETCH = 40
 #: Distinct chunks that a worker counts before it passes counts on, or whose scores it remembers.
-KEPT = 300_000
+KEPT = 500_000
+#: Texts whose new chunks are scored together.
+TOGETHER = 512
 UNKNOWN = "und"
 
 _LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
@@ -44,11 +47,6 @@ def pieces(path: str) -> frozenset[str]:
     return frozenset(sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)))
 
 
-@lru_cache(2)
-def longest(path: str) -> int:
-    return max(map(len, pieces(path)))
-
-
 def words(chunk: str) -> Iterator[str]:
     """The letter runs of a lower-case chunk, marked at their start, in stretches."""
     for run in _LETTERS.findall(chunk):
@@ -57,31 +55,98 @@ def words(chunk: str) -> Iterator[str]:
             yield run[i : i + STRETCH]
 
 
-def _lattice(word: str, known, most: int) -> list[list[tuple[int, str]]]:
-    """For each end, the (start, piece) that may end there; a character that is no piece stands for itself."""
-    ends: list[list[tuple[int, str]]] = [[] for _ in range(len(word) + 1)]
-    for i in range(len(word)):
-        for j in range(i + 1, min(len(word), i + most) + 1):
-            if (p := word[i:j]) in known or j == i + 1:
-                ends[j].append((i, p))
-    return ends
-
-
-def expected(word: str, known, most: int, weight) -> dict[str, float]:
-    """How often each piece is expected in the word's segmentations, under weight(piece)."""
-    ends, n = _lattice(word, known, most), len(word)
-    w = {p: weight(p) for e in ends for _, p in e}
-    front = [1.0] + [0.0] * n
-    for j in range(1, n + 1):
-        front[j] = sum(front[i] * w[p] for i, p in ends[j])
-    back = [0.0] * n + [1.0]
-    out: dict[str, float] = {}
-    for j in range(n, 0, -1):
-        for i, p in ends[j]:
-            x = w[p] * back[j]
-            back[i] += x
-            out[p] = out.get(p, 0.0) + front[i] * x
-    return {p: x / front[n] for p, x in out.items()} if front[n] else {}
+_BASE, _SPREAD = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
+
+
+class Lattice:
+    """Finds the pieces inside many words at once.
+
+    Substrings are named by a rolling 64-bit hash and looked up in an open-addressed
+    table, for all words side by side: one step for each start and length.
+    """
+
+    def __init__(self, known):
+        self.pieces = sorted(known)
+        self.most = max(map(len, self.pieces), default=1)
+        #: ids of a character that is no piece, and of no piece at all
+        self.other, self.none = len(self.pieces), len(self.pieces) + 1
+        bits = max(4, (8 * len(self.pieces)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.ids = np.zeros(1 << bits, np.uint64), np.full(1 << bits, self.none, np.int32)
+        for i, p in enumerate(self.pieces):
+            h = np.zeros(1, np.uint64)
+            for c in p:
+                h = h * _BASE + np.uint64(ord(c))
+            at = int((h * _SPREAD >> self.shift)[0])
+            while self.ids[at] != self.none:
+                at = at + 1 & self.mask
+            self.keys[at], self.ids[at] = h[0], i
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        at = (h * _SPREAD >> self.shift).astype(np.int64)
+        out = np.where(self.keys[at] == h, self.ids[at], self.none)
+        todo = np.flatnonzero((out == self.none) & (self.ids[at] != self.none))
+        while len(todo):
+            at[todo] = at[todo] + 1 & self.mask
+            k = at[todo]
+            hit = self.keys[k] == h[todo]
+            out[todo[hit]] = self.ids[k[hit]]
+            todo = todo[~hit & (self.ids[k] != self.none)]
+        return out
+
+    def walk(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int, np.ndarray]]]:
+        """Order of the words by length (longest first), their lengths, and steps (start, end, number of words, ids of the pieces there)."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(-size, kind="stable")
+        size = size[order]
+        top = int(size[0]) if len(words) else 0
+        chars = np.zeros((len(words), top), np.uint64)
+        chars[np.arange(top)[None, :] < size[:, None]] = np.frombuffer("".join(words[k] for k in order).encode("utf-32-le"), np.uint32)
+        chars = np.ascontiguousarray(chars.T)
+        atleast = np.searchsorted(-size, -np.arange(top + 2), "right")  # how many words have at least so many characters
+        steps = []
+        for i in range(top):
+            h = np.zeros(atleast[i + 1], np.uint64)
+            for j in range(i + 1, min(top, i + self.most) + 1):
+                n = int(atleast[j])
+                h = h[:n] * _BASE + chars[j - 1, :n]
+                ids = self.find(h)
+                if j == i + 1:
+                    ids[ids == self.none] = self.other
+                steps.append((i, j, n, ids))
+        return order, size, steps
+
+
+def forward(steps, weights: np.ndarray, n: int, top: int) -> np.ndarray:
+    """Sums over all segmentations of the first 0..top characters; weights has a row a piece, and is zero for none."""
+    front = np.zeros((top + 1, n, weights.shape[1]))
+    front[0] = 1.0
+    for i, j, k, ids in steps:
+        front[j, :k] += front[i, :k] * weights[ids]
+    return front
+
+
+def expected(lattice: Lattice, words: list[str], times: np.ndarray, weights: np.ndarray, column: np.ndarray) -> np.ndarray:
+    """Expected uses of pieces (rows as in weights, the last being none) per column, each word counted so many times in its column."""
+    order, size, steps = lattice.walk(words)
+    out = np.zeros(weights.shape, float)
+    if not len(words):
+        return out
+    n, top = len(words), int(size[0])
+    times, column = times[order], column[order]
+    w = [weights[ids, column[:k]] for _, _, k, ids in steps]
+    front, back = np.zeros((top + 1, n)), np.zeros((top + 1, n))
+    front[0] = 1.0
+    back[size, np.arange(n)] = 1.0
+    for (i, j, k, _), x in zip(steps, w, strict=True):
+        front[j, :k] += front[i, :k] * x
+    for (i, j, k, _), x in zip(reversed(steps), reversed(w), strict=True):
+        back[i, :k] += back[j, :k] * x
+    each = times / np.maximum(front[size, np.arange(n)], 1e-300)
+    cells = out.reshape(-1)
+    for (i, j, k, ids), x in zip(steps, w, strict=True):
+        cells += np.bincount(ids * weights.shape[1] + column[:k], front[i, :k] * x * back[j, :k] * each[:k], len(cells))
+    return out
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,95 +166,91 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
-def _expect(path: str, model: dict[str, dict[str, float]] | None):
+def _expect(path: str, langs: list[str], model: np.ndarray | None):
+    """(lang, chunk, n) in, (lang, piece's number, expected uses) out."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, most, total = pieces(path), longest(path), {}
-        flat = 1 / len(known)
+        lattice = _lattice(path)
+        at = {x: k for k, x in enumerate(langs)}
+        weights = np.full((lattice.none + 1, len(langs)), 1 / lattice.none) if model is None else model
+        weights[lattice.none] = 0
+        total = np.zeros(weights.shape)
         for b in batches:
-            for lang, chunk, n in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                of = model.get(lang) if model else None
-                weight = (lambda p: of.get(p, of[""])) if of else (lambda p: flat)  # noqa: B023
-                for word in words(chunk):
-                    for p, x in expected(word, known, most, weight).items():
-                        # characters outside the vocabulary share one probability
-                        k = lang, p if p in known else ""
-                        total[k] = total.get(k, 0.0) + n * x
-        keys = list(total)
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([total[k] for k in keys], pa.float64())], names=["lang", "piece", "n"])
+            lang, chunk, n = (b.column(i).to_pylist() for i in range(3))
+            found, times, column = [], [], []
+            for k in range(len(chunk)):
+                for word in words(chunk[k]):
+                    found.append(word)
+                    times.append(n[k])
+                    column.append(at[lang[k]])
+            total += expected(lattice, found, np.array(times, float), weights, np.array(column, np.int64))
+        piece, k = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array([langs[x] for x in k], pa.string()), pa.array(piece, pa.int64()), pa.array(total[piece, k], pa.float64())], names=["lang", "piece", "n"])
 
     return run
 
 
-def learn(train: DataFrame, vocabulary: str, lang_col: str = "lang", text_col: str = "text", rounds: int = ROUNDS) -> dict[str, dict[str, float]]:
-    """Piece probabilities per language; "" is any one character outside the vocabulary.
+@lru_cache(2)
+def _lattice(path: str) -> Lattice:
+    return Lattice(pieces(path))
+
+
+def learn(train: DataFrame, vocabulary: str, lang_col: str = "lang", text_col: str = "text", rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
+    """Languages, and piece probabilities: a row a piece, then one for any character outside the vocabulary, then zeros.
 
     Rows without language or text are left out. The result is bounded by
     languages x vocabulary, the number of languages being a property of the labels.
     """
-    from rostrum.plans import scratch
-
     rows = train.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).dropna()
     counts = scratch.keep(rows.mapInArrow(_count, "lang string, chunk string, n long").groupBy("lang", "chunk").agg(F.sum("n").alias("n")), "words")
-    model = None
-    for _ in range(rounds):
-        got = counts.mapInArrow(_expect(vocabulary, model), "lang string, piece string, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).collect()
-        by: dict[str, dict[str, float]] = {}
-        for r in got:
-            by.setdefault(r.lang, {})[r.piece] = r.n
-        known = pieces(vocabulary)
-        model = {}
-        for lang, seen in sorted(by.items()):
-            total = sum(seen.values()) + SMOOTH * (len(known) + 1)
-            model[lang] = {p: (seen.get(p, 0.0) + SMOOTH) / total for p in known} | {"": (seen.get("", 0.0) + SMOOTH) / total / 1000}
-    return model or {}
+    langs = sorted(r.lang for r in counts.select("lang").distinct().collect())
+    model, size = None, len(pieces(vocabulary))
+    for _ in range(rounds if langs else 0):
+        seen = np.zeros((size + 2, len(langs)))
+        for r in counts.mapInArrow(_expect(vocabulary, langs, model), "lang string, piece long, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).collect():
+            seen[r.piece, langs.index(r.lang)] = r.n
+        model = (seen + SMOOTH) / (seen[:-1].sum(0) + SMOOTH * (size + 1))
+        model[size] /= 1000  # shared by all characters outside
+        model[size + 1] = 0
+    return langs, model if model is not None else np.zeros((size + 2, 0))
 
 
 class _Scorer:
     """Log probabilities of chunks in all languages, remembered as rows of a matrix."""
 
-    def __init__(self, model: dict[str, dict[str, float]], most: int):
-        self.langs = sorted(model)
-        known = set().union(*(model[x] for x in self.langs)) - {""}
-        self.table = {p: tuple(model[x].get(p, model[x][""]) for x in self.langs) for p in known}
-        self.other = tuple(model[x][""] for x in self.langs)
-        self.most = most
-        self.rows = np.zeros((1, len(self.langs)))
+    def __init__(self, lattice: Lattice, model: np.ndarray):
+        self.lattice, self.model = lattice, model
+        self.rows = np.zeros((1, model.shape[1]))
         self.at: dict[str, int] = {}
 
-    def word(self, word: str) -> list[float]:
-        n, k, table = len(word), range(len(self.langs)), self.table
-        front = [[1.0] * len(k)] + [[0.0] * len(k) for _ in range(n)]
-        for i in range(n):
-            a = front[i]
-            for j in range(i + 1, min(n, i + self.most) + 1):
-                p = table.get(word[i:j])
-                if p is None:
-                    if j > i + 1:
-                        continue
-                    p = self.other
-                b = front[j]
-                for x in k:
-                    b[x] += a[x] * p[x]
-        return [math.log(max(x, 1e-300)) for x in front[n]]
-
-    def chunks(self, text: str) -> np.ndarray:
-        """Row numbers of the text's chunks; row 0 is for those without letters."""
+    def words(self, found: list[str]) -> np.ndarray:
+        order, size, steps = self.lattice.walk(found)
+        out = np.zeros((len(found), self.model.shape[1]))
+        if len(found):
+            front = forward(steps, self.model, len(found), int(size[0]))
+            out[order] = np.log(np.maximum(front[size, np.arange(len(found))], 1e-300))
+        return out
+
+    def learn(self, chunks: set[str]) -> None:
+        """Score the chunks that aren't known yet; row 0 is for those without letters."""
         at = self.at
-        parts = text.lower().split()
-        if new := [c for c in set(parts) if c not in at]:
-            if len(at) + len(new) > KEPT:
-                at.clear()
-                self.rows, new = self.rows[:1], list(set(parts))
-            found = []
-            n = len(self.rows)
-            for c in new:
-                scores = [self.word(w) for w in words(c)]
-                at[c] = n + len(found) if scores else 0
-                if scores:
-                    found.append([sum(x) for x in zip(*scores, strict=True)])
-            if found:
-                self._append(np.array(found))
-        return np.fromiter(map(at.__getitem__, parts), np.int64, len(parts))
+        new = [c for c in chunks if c not in at]
+        if len(at) + len(new) > KEPT:
+            at.clear()
+            self.rows, new = self.rows[:1].copy(), list(chunks)
+        found: dict[str, int] = {}
+        chunk, word, n = [], [], len(self.rows)
+        for c in new:
+            inside = list(words(c))
+            at[c] = n if inside else 0
+            for w in inside:
+                chunk.append(n - len(self.rows))
+                word.append(found.setdefault(w, len(found)))
+            n += bool(inside)
+        if found:
+            more = np.zeros((n - len(self.rows), self.model.shape[1]))
+            np.add.at(more, chunk, self.words(list(found))[word])
+            self._append(more)
 
     def _append(self, more: np.ndarray) -> None:
         n = len(self.rows)
@@ -201,7 +262,7 @@ class _Scorer:
         self.rows = base[: n + len(more)]
 
 
-def predict(docs: DataFrame, model: dict[str, dict[str, float]], vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, lang_pred, score (posterior under equal priors).
 
     `und` with score 0 where the text is null or has no letter, or nothing was learned.
@@ -209,19 +270,24 @@ def predict(docs: DataFrame, model: dict[str, dict[str, float]], vocabulary: str
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _Scorer(shared.value, longest(vocabulary)) if shared.value else None
+        known, table = shared.value
+        scorer = _Scorer(_lattice(vocabulary), table)
         for b in batches:
             langs, scores = [], []
-            for t in b.column(1):
-                rows = scorer.chunks(t.as_py()) if scorer else np.zeros(0, np.int64)
-                if not rows.any():
-                    langs.append(UNKNOWN)
-                    scores.append(0.0)
-                    continue
-                s = scorer.rows[rows].sum(0)
-                k = int(s.argmax())
-                langs.append(scorer.langs[k])
-                scores.append(float(1 / np.exp(s - s[k]).sum()))
+            for lo in range(0, b.num_rows, TOGETHER):
+                texts = [t.lower().split() for t in b.column(1).slice(lo, TOGETHER).to_pylist()]
+                if known:
+                    scorer.learn(set().union(*texts))
+                for t in texts:
+                    rows = np.fromiter(map(scorer.at.__getitem__, t), np.int64, len(t)) if known else np.zeros(0, np.int64)
+                    if not rows.any():
+                        langs.append(UNKNOWN)
+                        scores.append(0.0)
+                        continue
+                    s = scorer.rows[rows].sum(0)
+                    k = int(s.argmax())
+                    langs.append(known[k])
+                    scores.append(float(1 / np.exp(s - s[k]).sum()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[id_col, "lang_pred", "score"])
 
     rows = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 import random
 import zlib
 
+import numpy as np
 import public_tokenizers
-import pytest
 
 from rostrum.llm import langid
 
@@ -23,24 +23,25 @@ def cuts(word):
 
 
 def test_sums_over_all_segmentations():
-    import math
-
     known = {"▁", "▁a", "a", "b", "ab", "ba", "abb", "▁ab"}
-    rng = random.Random(0)
-    model = {x: {p: rng.random() for p in known} | {"": 0.01} for x in ("p", "q")}
-    scorer = langid._Scorer(model, 3)
-    for word in ("▁abba", "▁ababbab", "▁aéb"):
-        legal = [c for c in cuts(word) if all(p in known or len(p) == 1 for p in c)]
-        weight = lambda c, x: math.prod(model[x].get(p, 0.01) for p in c)
-        got = scorer.word(word)
-        for k, x in enumerate(("p", "q")):
-            assert got[k] == pytest.approx(math.log(sum(weight(c, x) for c in legal)))
-        total = sum(weight(c, "p") for c in legal)
-        want = {}
+    lattice = langid.Lattice(known)
+    rng = np.random.default_rng(0)
+    model = rng.random((len(known) + 2, 2))
+    model[lattice.none] = 0
+    at = {p: i for i, p in enumerate(lattice.pieces)}
+    rows = lambda c: [at.get(p, lattice.other) for p in c]
+    found = ["▁abba", "▁ababbab", "▁aéb", "b"]
+    got = langid._Scorer(lattice, model).words(found)
+    times, column = np.array([3.0, 1.0, 2.0, 1.0]), np.array([0, 1, 0, 1])
+    want = np.zeros(model.shape)
+    for w, row, n, x in zip(found, got, times, column, strict=True):
+        legal = [c for c in cuts(w) if all(p in known or len(p) == 1 for p in c)]
+        total = sum(np.prod(model[rows(c)], 0) for c in legal)
+        assert np.allclose(row, np.log(total))
         for c in legal:
-            for p in c:
-                want[p] = want.get(p, 0) + weight(c, "p") / total
-        assert langid.expected(word, known, 3, lambda p: model["p"].get(p, 0.01)) == pytest.approx(want)
+            for r in rows(c):
+                want[r, x] += n * np.prod(model[rows(c)], 0)[x] / total[x]
+    assert np.allclose(langid.expected(lattice, found, times, model, column), want)
 
 
 def test_held_out_accuracy_and_odd_rows(spark):
