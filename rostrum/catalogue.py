@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from rostrum.queries import coherence, deck, delivery, report, training
+from rostrum.queries import alignment, coherence, deck, delivery, report, training
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-for _part in (delivery, deck, coherence, report, training):
+for _part in (delivery, deck, coherence, report, training, alignment):
     QUERIES |= _part.QUERIES
     ORACLE |= _part.ORACLE
