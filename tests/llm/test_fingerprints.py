@@ -70,3 +70,13 @@ def test_repeated_rows_and_small_tables(spark):
     one = fp.edited_likeness(spark.createDataFrame([(5, "abcd", "")], SCHEMA)).collect()
     assert one[0].edited_sha256 == hashlib.sha256(b"abab").hexdigest() and one[0].near_next == 1.0
     assert fp.fingerprint(spark.createDataFrame([(5, None, "")], SCHEMA)).collect()[0].fingerprint == ""
+
+
+def test_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(fp, "RANGE_ROWS", 1)
+    rows = [(i * i, f"t{i} a b c d", "") for i in range(700)]
+    got = {r.doc_id: r for r in fp.edited_likeness(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
+    for i, (d, t, _) in enumerate(rows):
+        after = rows[i - 1][1]
+        half = len(t) // 2
+        assert got[d].edited_sha256 == hashlib.sha256((t[: len(t) - half] + after[:half]).encode()).hexdigest()
