@@ -140,13 +140,10 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     cuts = sorted(set(keys.agg(F.percentile_approx("id", [i / many for i in range(1, many)], 100 * many)).first()[0] or [])) if many > 1 else []
     table = F.broadcast(spark.createDataFrame([(cuts,)], "cuts array<long>"))
     # a range is the number of cuts below the id, found by halving
-    place = F.lit(0)
     size = len(cuts)
-    step = 1 << max(0, size.bit_length() - 1)
-    while size and step:
-        to = place + F.lit(step)
-        place = F.when((to <= size) & (F.try_element_at("cuts", to) < F.col("id")), to).otherwise(place)
-        step >>= 1
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(size.bit_length()))])
+    further = lambda at, step: F.when(F.try_element_at("cuts", at + step) < F.col("id"), at + step).otherwise(at)
+    place = F.aggregate(steps, F.lit(0), further) if size else F.lit(0)
     keys = keys.crossJoin(table).select("id", "tie", place.alias("range")) if size else keys.withColumn("range", F.lit(0))
     firsts = keys.groupBy("range").agg(F.max(F.struct("id", "tie")).alias("f")).sort("range").collect()  # one row a range
     lend = [(firsts[i - 1].f.id, firsts[i - 1].f.tie, r.range) for i, r in enumerate(firsts)]
