@@ -1,15 +1,15 @@
 """Token ids in compressed files: canonical length-limited Huffman blocks with checkpoints.
 
-Writing takes two passes over the texts. The first only counts ids, summed over the
-whole table; the code depends on nothing else. The second deals the texts by
-ranges of the document id, and each task encodes its documents in ascending order
-into independent blocks. The file format is a folder with
+Texts are dealt by ranges of the document id (parts) and tokenised in order, once;
+the plain ids wait in the shared folder. Their counts, summed over the whole table,
+give the code; then documents that follow each other are encoded into
+independent blocks. The file format is a folder with
 
 * ``code``: one row, the code length of each id (a byte each);
-* ``blocks``: Parquet rows (part, start, docs, lengths, bits, offsets, n), where bits
-  is the Huffman bit stream of n ids, offsets the bit offset of every 64th id,
-  docs/lengths the documents of the block, and start counts the ids before the block
-  in its part; parts ascend with the document id;
+* ``blocks``: a folder for each part, in ascending order of document ids, with
+  Parquet rows (start, docs, lengths, bits, offsets, n): bits is the Huffman bit
+  stream of n ids, offsets the bit offset of every 64th id, docs/lengths the
+  documents of the block, and start counts the ids before the block in its part;
 * ``parts``: for each part the number of ids before it.
 
 A reader needs one block row to decode any document in it.
@@ -18,7 +18,8 @@ A reader needs one block row to decode any document in it.
 from __future__ import annotations
 
 import os
-import zlib
+import struct
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,12 +29,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rostrum.llm import huffman
+from rostrum.llm.bpe import byte_of_char
+from rostrum.plans import scratch
 
 END = 2
 #: A block closes with the document that reaches this many ids.
 BLOCK = 1 << 16
-#: White-space-free chunks that a worker remembers, and how many texts it looks at together.
-KEPT_CHUNKS, TOGETHER = 400_000, 256
+#: White-space-free chunks, and words, that a worker remembers.
+KEPT_CHUNKS = 500_000
 
 _BLOCKS = pa.schema([("part", pa.int32()), ("start", pa.int64()), ("docs", pa.binary()), ("lengths", pa.binary()), ("bits", pa.binary()), ("offsets", pa.binary()), ("n", pa.int32())])
 _BLOCKS_SQL = "part int, start long, docs binary, lengths binary, bits binary, offsets binary, n int"
@@ -42,21 +45,49 @@ NO_ID = -(1 << 63)
 
 
 class _Chunks(dict):
-    """Ids (as bytes) of chunks between ASCII white space; this tokenizer drops white space and never looks across it."""
+    """Ids (as bytes) of chunks between ASCII white space; this tokenizer drops white space and never looks across it.
+
+    The plain case, letters that need no normalisation but lower case, perhaps
+    with full stops or commas behind, goes to the tokenizer's BPE model at once and
+    is remembered without them; any other chunk goes through the whole tokenizer.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
+        self.bpe = self.tokenizer.model
+        self.chars = {b: c for c, b in byte_of_char().items()}
+        self.words: dict[str, bytes] = {}
 
-    def learn(self, chunks: set[bytes]) -> None:
-        new = [c for c in chunks if c not in self]
-        if len(self) + len(new) > KEPT_CHUNKS:
+    def __missing__(self, chunk: bytes) -> bytes:
+        if len(self) >= KEPT_CHUNKS:
             self.clear()
-            new = list(chunks)
-        for c, e in zip(new, self.tokenizer.encode_batch_fast([c.decode() for c in new], add_special_tokens=False), strict=True):
-            self[c] = np.array(e.ids, "<u4").tobytes()
+        core = chunk.rstrip(b".,")
+        text = core.decode()
+        low = text.lower()
+        # Latin letters are lower-cased one by one, as in the library
+        if text.isalpha() and (core.isascii() or max(text) < "\u0180" and len(low) == len(text) and unicodedata.is_normalized("NFC", text)):
+            got = self.word(low)
+            if len(core) < len(chunk):
+                got += self.word(chunk[len(core) :].decode())
+        else:
+            got = self.whole(chunk.decode())
+        self[chunk] = got
+        return got
+
+    def word(self, word: str) -> bytes:
+        got = self.words.get(word)
+        if got is None:
+            if len(self.words) >= KEPT_CHUNKS:
+                self.words.clear()
+            mapped = word if word.isascii() else "".join(map(self.chars.__getitem__, word.encode()))
+            got = self.words[word] = struct.pack(f"<{len(t := self.bpe.tokenize(mapped))}I", *[x.id for x in t])
+        return got
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 @lru_cache(4)
@@ -66,50 +97,67 @@ def _chunks(path: str) -> _Chunks:
 
 def _ids(texts: list[bytes], vocabulary: str) -> Iterator[bytes]:
     """Each text's ids as little-endian 32-bit integers, with the end id."""
-    known = _chunks(vocabulary)
+    known = _chunks(vocabulary).__getitem__
     end = END.to_bytes(4, "little")
-    for lo in range(0, len(texts), TOGETHER):
-        split = [t.split() for t in texts[lo : lo + TOGETHER]]
-        known.learn(set().union(*split))
-        for words in split:
-            yield b"".join(map(known.__getitem__, words)) + end
+    for t in texts:
+        yield b"".join(map(known, t.split())) + end
+
+
+_RAW = pa.schema([("part", pa.int32()), ("id", pa.int64()), ("start", pa.int64()), ("ids", pa.binary())])
+_RAW_SQL = "part int, id long, start long, ids binary"
+
+
+def _tokenise(vocabulary: str, kind: str):
+    """(part, id, text) of a part in order in; ids of `kind` out, with the number of ids before them in the part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start = 0
+        for b in batches:
+            starts, held = [], []
+            for ids in _ids(b.column(2).to_pylist(), vocabulary):
+                starts.append(start)
+                start += len(ids) // 4
+                held.append(np.frombuffer(ids, "<u4").astype(kind).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(starts, pa.int64()), pa.array(held, pa.binary())], schema=_RAW)
+
+    return run
 
 
-def _count(vocabulary: str, size: int):
+def _count(kind: str, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for b in batches:
-            for ids in _ids(b.column(0).to_pylist(), vocabulary):
-                total += np.bincount(np.frombuffer(ids, "<u4"), minlength=size) if len(ids) > size else 0
-                if len(ids) <= size:
-                    np.add.at(total, np.frombuffer(ids, "<u4"), 1)
+            total += np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), kind), minlength=size)
         i = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(total[i], pa.int64())], names=["id", "n"])
 
     return run
 
 
-def _encode(vocabulary: str, lengths: np.ndarray):
+def _encode(kind: str, lengths: np.ndarray):
+    """Blocks of documents that follow each other in a part."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = huffman.Code(lengths)
         part, start, docs, sizes, held, n = 0, 0, [], [], [], 0
 
         def block() -> pa.RecordBatch:
-            bits, offsets = code.encode(np.frombuffer(b"".join(held), "<u4"))
+            bits, offsets = code.encode(np.frombuffer(b"".join(held), kind))
             row = [part, start, np.array(docs, "<i8").tobytes(), np.array(sizes, "<u4").tobytes(), bits, offsets.astype("<u4").tobytes(), n]
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, _BLOCKS, strict=True)], schema=_BLOCKS)
 
         for b in batches:
-            for p, d, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), _ids(b.column(2).to_pylist(), vocabulary), strict=True):
-                part = p
+            for p, d, at, ids in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                if n and (n >= BLOCK or p != part or at != start + n):
+                    yield block()
+                    docs, sizes, held, n = [], [], [], 0
+                if not n:
+                    part, start = p, at
                 docs.append(NO_ID if d is None else d)
-                sizes.append(len(ids) // 4)
                 held.append(ids)
-                n += len(ids) // 4
-                if n >= BLOCK:
-                    yield block()
-                    start, docs, sizes, held, n = start + n, [], [], [], 0
-        if docs:
+                sizes.append(len(ids) // np.dtype(kind).itemsize)
+                n += sizes[-1]
+        if n:
             yield block()
 
     return run
@@ -121,25 +169,32 @@ def write(docs: DataFrame, to: str, vocabulary: str, id_col: str = "doc_id", tex
     Ids must be long integers; rows that repeat one are written next to each other.
     An empty table writes an empty file set.
     """
-    spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     from tokenizers import Tokenizer
 
+    spark = docs.sparkSession
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     size = max(Tokenizer.from_file(vocabulary).get_vocab_size(), END + 1)
+    kind = "<u2" if size <= 1 << 16 else "<u4"
+    ranged = texts.repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first())
+    raw = scratch.keep(ranged.select(F.spark_partition_id().alias("part"), "id", "text").mapInArrow(_tokenise(vocabulary, kind), _RAW_SQL), "ids")
     counts = np.zeros(size, np.int64)
-    for r in texts.select("text").mapInArrow(_count(vocabulary, size), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    for r in raw.select("ids").mapInArrow(_count(kind, size), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         counts[r.id] = r.n  # at most one row an id of the vocabulary
     lengths = huffman.code_lengths(counts)
     spark.createDataFrame([(bytearray(lengths.tobytes()),)], "lengths binary").coalesce(1).write.parquet(f"{to}/code")
-    ranged = texts.repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first())
-    blocks = ranged.select(F.spark_partition_id().alias("part"), "id", "text").mapInArrow(_encode(vocabulary, lengths), _BLOCKS_SQL)
-    blocks.write.option("compression", "uncompressed").parquet(f"{to}/blocks")
-    parts = spark.read.schema(_BLOCKS_SQL).parquet(f"{to}/blocks").groupBy("part").agg(F.sum("n").alias("n")).sort("part").collect()
+    blocks = raw.mapInArrow(_encode(kind, lengths), _BLOCKS_SQL)
+    blocks.write.partitionBy("part").option("compression", "uncompressed").parquet(f"{to}/blocks")
+    parts = _blocks(spark, to).groupBy("part").agg(F.sum("n").alias("n")).sort("part").collect()
     before, rows = 0, []
     for r in parts:  # one row a part
         rows.append((r.part, before))
         before += r.n
     spark.createDataFrame(rows, "part int, before long").coalesce(1).write.parquet(f"{to}/parts")
+    scratch.drop(raw)
+
+
+def _blocks(spark: SparkSession, source: str) -> DataFrame:
+    return spark.read.schema(_BLOCKS_SQL).parquet(f"{source}/blocks")
 
 
 def _decode(lengths: bytes):
@@ -167,7 +222,7 @@ def read(spark: SparkSession, source: str) -> DataFrame:
     """One row per document of a folder that write() wrote: id, start, ids (little-endian 32-bit)."""
     lengths = spark.read.schema("lengths binary").parquet(f"{source}/code").first()
     parts = F.broadcast(spark.read.schema("part int, before long").parquet(f"{source}/parts"))
-    blocks = spark.read.schema(_BLOCKS_SQL).parquet(f"{source}/blocks").join(parts, "part")
+    blocks = _blocks(spark, source).join(parts, "part")
     return blocks.mapInArrow(_decode(bytes(lengths.lengths)), "id long, start long, ids binary")
 
 
