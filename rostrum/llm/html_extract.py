@@ -5,11 +5,11 @@ parents'. A host's tokens with the same occurrence vector (how often each occurs
 each page) form an equivalence class. Vectors are never built: a token's vector is
 named by a sum of hashes of (page, count), which Spark adds up before the shuffle,
 so a host with a third of all pages is no large group. The class of the vector
-(1, 1, ..., 1), as far as its tokens keep their order on all pages (each follows the
-same token of the class), is the template; other classes are nested in it by the
-tokens' parents, and a nested class whose text is link text is a menu. The template
+(1, 1, ..., 1) is what all pages have; a class that occurs once on each page of a
+part of the pages is the template of a layout. A layout counts with two pages of different
+texts and RARE of its host's pages. Pages without elements count nowhere. The template
 slot that holds the main text is an article or main element, or else the deepest one with nearly
-all the text that no menu, header, footer, advert or the like has. Pages then
+all the text, of the pages that have it, that no menu, header, footer, advert or the like has. Pages then
 yield what that slot holds, whatever it is.
 """
 
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -41,6 +42,9 @@ _SPACE = re.compile(r"\s+")
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:$|[\s=])", re.I)
 #: Share of the text that a slot without an article must hold, and of link text that makes a list a menu.
 MOST, LINKS = 0.8, 0.9
+#: A slot must be on this share of its host's pages, and on two pages with different texts; rarer layouts are judged page by page.
+#: So a host has at most 1 / RARE slots a level of nesting, whatever its size.
+RARE = 0.05
 #: Hosts up to this many send their templates to all executors; beyond, pages meet them by a shuffle.
 BROADCAST_HOSTS = 50_000
 ROOT = 0
@@ -110,10 +114,23 @@ class _Page:
         del stack[k:]
         return n
 
-    def text(self, slot: int | None, menus: set[int]) -> str:
-        """The slot's text in blocks; the whole page's if it hasn't got the slot once."""
-        holds = [e[0] == slot for e in self.elements]
-        everywhere = sum(holds) != 1
+    def slot(self, slots: list[int]) -> int | None:
+        """The first of the host's slots that the page has once; else its own only article or main element."""
+        often = Counter(e[0] for e in self.elements)
+        found = next((t for t in slots if often[t] == 1), None)
+        if found is not None:
+            return found
+        for tag in ("article", "main"):
+            own = [e[0] for e in self.elements if e[1] == tag and not e[3]]
+            if len(own) == 1 and often[own[0]] == 1:
+                return own[0]
+        return None
+
+    def text(self, slots: list[int], menus: set[int]) -> str:
+        """The slot's text in blocks; the whole page's if it has none once."""
+        slot = self.slot(slots)
+        holds = [slot is not None and e[0] == slot for e in self.elements]
+        everywhere = slot is None
         inside, bad = [False] * len(holds), [False] * len(holds)
         for i, e in enumerate(self.elements):
             up = e[2]
@@ -127,60 +144,65 @@ class _Page:
         return "\n".join(x for x in lines if x)
 
 
-_STATS = "host string, page long, token long, tag string, parent long, depth int, out boolean, n int, before long, text long, links long"
+_STATS = "host string, page long, token long, tag string, parent long, depth int, out boolean, n int, text long, links long, whole long, look long"
 
 
 def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(page key, host, html) in; a row per page and token out."""
-    kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
     for b in batches:
         rows = []
         for key, host, source in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-            elements = _Page(source.as_py()).elements
+            page = _Page(source.as_py())
+            elements = page.elements
+            if len(elements) == 1:  # without elements there is no layout to learn from
+                continue
+            look = 1 << xxhash.xxh64_intdigest("".join(t for _, _, t in page.texts)) % 63
             seen: dict[int, list] = {}
             for e in elements:
                 s = seen.get(e[0])
                 if s is None:
-                    seen[e[0]] = [host, key, e[0], e[1], elements[e[2]][0] if e[2] >= 0 else -1, e[6], e[3], 1, 0, e[4], e[5]]
+                    seen[e[0]] = [host, key, e[0], e[1], elements[e[2]][0] if e[2] >= 0 else -1, e[6], e[3], 1, e[4], e[5], elements[0][4], look]
                 else:
                     s[7] += 1
-                    s[9] += e[4]
-                    s[10] += e[5]
+                    s[8] += e[4]
+                    s[9] += e[5]
             rows.append(seen.values())
-            before = -1
-            for s in seen.values():
-                if s[7] == 1 and not s[6]:
-                    s[8], before = before, s[2]
         flat = [s for r in rows for s in r]
         yield pa.RecordBatch.from_arrays([pa.array([s[i] for s in flat], k) for i, k in enumerate(kinds)], names=[x.split()[0] for x in _STATS.split(", ")])
 
 
 def templates(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """From (key, host, html): host, slot (token of the main text's element), menus (tokens left out)."""
+    """From (key, host, html): host, slots (tokens of the main text's element, best first), menus (tokens left out)."""
     rows = pages.select("key", "host", html_col).mapInArrow(_stats, _STATS)
     tokens = rows.groupBy("host", "token").agg(
         F.sum(F.xxhash64("page", "n") % (1 << 40)).alias("vector"),
         F.count("*").alias("pages"),
-        F.min("before").alias("a"),
-        F.max("before").alias("b"),
+        F.max("n").alias("most"),
+        F.bit_count(F.bit_or("look")).alias("looks"),
         F.sum("text").alias("text"),
         F.sum("links").alias("links"),
+        F.sum("whole").alias("whole"),
         *[F.first(c).alias(c) for c in ("tag", "parent", "depth", "out")],
     )
     tokens = scratch.keep(tokens, "tokens")
-    # the page itself occurs once on each page: its vector names the template's class
-    root = tokens.where(F.col("token") == ROOT).select("host", F.col("vector").alias("ones"), F.col("text").alias("whole"))
+    # the page itself occurs once on each page: its vector names the class of what is on all pages
+    root = tokens.where(F.col("token") == ROOT).select("host", F.col("vector").alias("ones"), F.col("pages").alias("of"), F.col("looks").alias("all_looks"))
     of = tokens.join(root, "host")
-    in_template = (F.col("vector") == F.col("ones")) & ~F.col("out") & (F.col("token") != ROOT) & ((F.col("depth") <= 2) | (F.col("a") == F.col("b")) | F.col("tag").isin("article", "main"))
+    # an element that is on some pages only is judged by these pages alone: they are a layout of the host
+    everywhere = F.col("vector") == F.col("ones")
+    enough = everywhere | (F.col("looks") >= 2) & (F.col("pages") >= F.col("of") * RARE)
+    in_template = (F.col("most") == 1) & enough & ~F.col("out") & ~F.col("tag").isin("", "html", "body")  # the whole page is no slot
     rank = F.when(F.col("tag") == "article", 3).when(F.col("tag") == "main", 2).when(F.col("text") >= F.col("whole") * MOST, 1).otherwise(0)
-    slot = F.max(F.when(in_template & (rank > 0) & (F.col("text") > 0), F.struct(rank.alias("rank"), F.when(rank > 1, F.col("text")).otherwise(F.col("depth")).alias("size"), "token")))
-    menu = F.col("tag").isin("ul", "ol", "div", "section", "table") & (F.col("links") >= F.col("text") * LINKS) & (F.col("links") > 0) & (F.col("vector") == F.col("ones"))
-    return of.groupBy("host").agg(slot["token"].alias("slot"), F.collect_set(F.when(menu, F.col("token"))).alias("menus"))
+    slot = F.when(in_template & (rank > 0) & (F.col("text") > 0), F.struct(rank.alias("rank"), F.when(rank > 1, F.col("text") / F.col("pages")).otherwise(F.col("depth")).alias("size"), "token"))
+    menu = F.col("tag").isin("ul", "ol", "div", "section", "table") & (F.col("links") >= F.col("text") * LINKS) & (F.col("links") > 0) & everywhere
+    made = of.groupBy("host").agg(F.sort_array(F.collect_list(slot), asc=False).alias("s"), F.collect_set(F.when(menu, F.col("token"))).alias("menus"))
+    return made.select("host", F.col("s.token").alias("slots"), "menus")
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        out = [_Page(s.as_py()).text(slot, set(menus or ())) for s, slot, menus in zip(b.column(2), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)]
+        out = [_Page(s.as_py()).text(slots or [], set(menus or ())) for s, slots, menus in zip(b.column(2), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
@@ -189,14 +211,14 @@ def extract(pages: DataFrame) -> DataFrame:
 
     Null html is as empty and gives an empty text. Pages without url, or with one
     that has no host, share a host. Repeated rows count as often as they occur. A
-    page that lacks its host's slot, or has it more than once, yields its whole body
-    without what is marked as not text. An empty table gives an empty result; other columns
+    page that has none of its host's slots once yields its only article or main
+    element, or else its whole body without what is marked as not text. An empty table gives an empty result; other columns
     are ignored.
     """
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     rows = pages.select("page_id", "url", host.alias("host"), F.coalesce("html", F.lit("")).alias("html"))
     made = scratch.keep(templates(rows.select(F.xxhash64("page_id", "url", F.crc32(F.col("html").cast("binary"))).alias("key"), "host", "html")), "templates")
     met = F.broadcast(made) if made.count() <= BROADCAST_HOSTS else made
-    out = rows.join(met, "host", "left").select("page_id", "url", "html", "slot", "menus")
+    out = rows.join(met, "host", "left").select("page_id", "url", "html", "slots", "menus")
     kind = rows.schema["page_id"].dataType.simpleString()
     return out.mapInArrow(_extract, f"page_id {kind}, url string, text string, n_chars long")

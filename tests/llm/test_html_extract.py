@@ -68,3 +68,19 @@ def test_a_whole_host_of_copies_keeps_its_article(spark):
     source, text = page(random.Random(5), 0)
     got = run(spark, [(i, "http://same/", source) for i in range(20)])
     assert all(r.text == text for r in got.values())
+
+
+def test_an_empty_and_a_differing_page_leave_the_template(spark):
+    rng = random.Random(8)
+    w = lambda n: " ".join(f"w{rng.randrange(999)}" for _ in range(n))
+    rows, want = [(900, "http://d/e", ""), (901, "http://d/n", None)], {900: "", 901: ""}
+    for i in range(12):
+        want[i] = w(60)
+        rows.append((i, f"http://d/{i}", f"<html><body><div class=top>{w(3)}</div><div class=mid><p>{want[i]}</p></div><div class=end>{w(3)}</div></body></html>"))
+    for i in range(100, 104):  # another layout
+        want[i] = w(60)
+        rows.append((i, f"http://d/{i}", f"<html><body><div class=strip>{w(3)}</div><main><p>{want[i]}</p></main></body></html>"))
+    want[200] = "One of a kind."  # a layout that no other page has
+    rows.append((200, "http://d/200", f"<html><body><div class=odd>{w(3)}</div><article>{want[200]}</article></body></html>"))
+    got = run(spark, rows)
+    assert {i: got[i].text for i in want} == want
