@@ -1,13 +1,17 @@
 """Main text of web pages by deducing each host's template from equivalence classes.
 
-A token is an element's place in a page: its tag and class names below its
-parents'. A host's tokens with the same occurrence vector (how often each occurs on
-each page) form an equivalence class. Vectors are never built: a token's vector is
-named by a sum of hashes of (page, count), which Spark adds up before the shuffle,
+A token is an element's place in a page (its tag and names below its
+parents'), or a block of text in such a place. A host's tokens with the same occurrence vector (how often each occurs on
+each page) form an equivalence class. Vectors are never built and classes never listed: a token's vector is
+named by a sum of hashes of (page, count), and what is asked of its class (pages,
+least and most a page, different texts) is added up beside it before the shuffle,
 so a host with a third of all pages is no large group. The class of the vector
 (1, 1, ..., 1) is what all pages have; a class that occurs once on each page of a
 part of the pages is the template of a layout. A layout counts with two pages of different
-texts and RARE of its host's pages. Pages without elements count nowhere. The template
+texts and RARE of its host's pages. Other classes are nested in it: a place includes
+its parents', so they keep their nesting. Of those on SHARE of the pages of the article or body's part around
+them, whatever their vectors, elements of link text are menus and
+blocks with the same words, as often on each of their pages, are template; both go. Pages without elements count nowhere. The template
 slot that holds the main text is an article or main element, or else the deepest one with nearly
 all the text, of the pages that have it, that no menu, header, footer, advert or the like has. Pages then
 yield what that slot holds, whatever it is.
@@ -45,17 +49,21 @@ MOST, LINKS = 0.8, 0.9
 #: A slot must be on this share of its host's pages, and on two pages with different texts; rarer layouts are judged page by page.
 #: So a host has at most 1 / RARE slots a level of nesting, whatever its size.
 RARE = 0.05
+#: Menus and constant blocks of text must be on this share of the pages with what they are anchored in, on FEW pages where that has different texts.
+SHARE, FEW = 0.5, 4
 #: Hosts up to this many send their templates to all executors; beyond, pages meet them by a shuffle.
 BROADCAST_HOSTS = 50_000
 ROOT = 0
+#: In place of a tag for blocks of text.
+TEXT = "#"
 
 
 class _Page:
     """One reading of a page: its elements, and its texts with the element that holds each."""
 
     def __init__(self, source: str):
-        #: element: [token, tag, parent element, not text, text length, link text length, depth]
-        self.elements = [[ROOT, "", -1, False, 0, 0, 0]]
+        #: element: [token, tag, parent element, not text, text length, link text length, depth, anchor: outermost article or main, else the body's child, articles and mains around it]
+        self.elements = [[ROOT, "", -1, False, 0, 0, 0, ROOT, 0]]
         #: text: (element, block, text)
         self.texts: list[tuple[int, int, str]] = []
         stack, block, links = [0], 0, 0
@@ -100,7 +108,10 @@ class _Page:
                 if tag == "br":
                     self.texts.append((stack[-1], block, " "))
                 continue
-            self.elements.append([token, tag, stack[-1], out, 0, 0, up[6] + 1])
+            anchor = up[7]
+            if tag in ("article", "main") and self.elements[stack[-1]][8] == 0 or anchor == ROOT and tag not in ("html", "body"):
+                anchor = token
+            self.elements.append([token, tag, stack[-1], out, 0, 0, up[6] + 1, anchor, up[8] + (tag in ("article", "main"))])
             stack.append(len(self.elements) - 1)
             links += tag == "a"
         for e in reversed(self.elements[1:]):  # children come after their parents
@@ -114,6 +125,17 @@ class _Page:
         del stack[k:]
         return n
 
+    def blocks(self) -> dict[int, tuple[int, int]]:
+        """Each block of text's first element, and its token: of this element and the words."""
+        runs: dict[int, list[str]] = {}
+        at: dict[int, int] = {}
+        for e, block, t in self.texts:
+            if not self.elements[e][3]:
+                runs.setdefault(block, []).append(t)
+                if block not in at and t.strip():
+                    at[block] = e
+        return {b: (e, xxhash.xxh64_intdigest(" ".join("".join(runs[b]).split()), seed=self.elements[e][0]) >> 1) for b, e in at.items()}
+
     def slot(self, slots: list[int]) -> int | None:
         """The first of the host's slots that the page has once; else its own only article or main element."""
         often = Counter(e[0] for e in self.elements)
@@ -126,7 +148,7 @@ class _Page:
                 return own[0]
         return None
 
-    def text(self, slots: list[int], menus: set[int]) -> str:
+    def text(self, slots: list[int], menus: set[int], fixed: set[int]) -> str:
         """The slot's text in blocks; the whole page's if it has none once."""
         slot = self.slot(slots)
         holds = [slot is not None and e[0] == slot for e in self.elements]
@@ -136,20 +158,21 @@ class _Page:
             up = e[2]
             inside[i] = everywhere or holds[i] or up >= 0 and inside[up]
             bad[i] = e[3] or e[0] in menus or up >= 0 and bad[up]
+        gone = {b for b, (_, token) in self.blocks().items() if token in fixed} if fixed else ()
         blocks: dict[int, list[str]] = {}
         for at, block, t in self.texts:
-            if inside[at] and not bad[at]:
+            if inside[at] and not bad[at] and block not in gone:
                 blocks.setdefault(block, []).append(t)
         lines = (_SPACE.sub(" ", html.unescape("".join(b))).strip() for b in blocks.values())
         return "\n".join(x for x in lines if x)
 
 
-_STATS = "host string, page long, token long, tag string, parent long, depth int, out boolean, n int, text long, links long, whole long, look long"
+_STATS = "host string, page long, token long, tag string, parent long, depth int, out boolean, n int, text long, links long, whole long, look long, anchor long"
 
 
 def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(page key, host, html) in; a row per page and token out."""
-    kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
     for b in batches:
         rows = []
         for key, host, source in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
@@ -157,52 +180,67 @@ def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             elements = page.elements
             if len(elements) == 1:  # without elements there is no layout to learn from
                 continue
-            look = 1 << xxhash.xxh64_intdigest("".join(t for _, _, t in page.texts)) % 63
+            said: dict[int, list[str]] = {}
+            for at, _, t in page.texts:
+                said.setdefault(elements[at][7], []).append(t)
+            look = {k: 1 << xxhash.xxh64_intdigest("".join(v)) % 63 for k, v in said.items()}  # bits to tell different texts of anchors apart
             seen: dict[int, list] = {}
             for e in elements:
                 s = seen.get(e[0])
                 if s is None:
-                    seen[e[0]] = [host, key, e[0], e[1], elements[e[2]][0] if e[2] >= 0 else -1, e[6], e[3], 1, e[4], e[5], elements[0][4], look]
+                    seen[e[0]] = [host, key, e[0], e[1], elements[e[2]][0] if e[2] >= 0 else -1, e[6], e[3], 1, e[4], e[5], elements[0][4], look.get(e[7], 1), e[7]]
                 else:
                     s[7] += 1
                     s[8] += e[4]
                     s[9] += e[5]
+            for at, token in page.blocks().values():
+                s = seen.get(token)
+                if s is None:
+                    e = elements[at]
+                    seen[token] = [host, key, token, TEXT, e[0], e[6] + 1, False, 1, 0, 0, 0, look.get(e[7], 1), e[7]]
+                else:
+                    s[7] += 1
             rows.append(seen.values())
         flat = [s for r in rows for s in r]
         yield pa.RecordBatch.from_arrays([pa.array([s[i] for s in flat], k) for i, k in enumerate(kinds)], names=[x.split()[0] for x in _STATS.split(", ")])
 
 
 def templates(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """From (key, host, html): host, slots (tokens of the main text's element, best first), menus (tokens left out)."""
+    """From (key, host, html): host, slots (tokens of the main text's element, best first), menus and fixed (tokens of elements and blocks of text left out)."""
     rows = pages.select("key", "host", html_col).mapInArrow(_stats, _STATS)
     tokens = rows.groupBy("host", "token").agg(
         F.sum(F.xxhash64("page", "n") % (1 << 40)).alias("vector"),
         F.count("*").alias("pages"),
+        F.min("n").alias("least"),
         F.max("n").alias("most"),
         F.bit_count(F.bit_or("look")).alias("looks"),
         F.sum("text").alias("text"),
         F.sum("links").alias("links"),
         F.sum("whole").alias("whole"),
-        *[F.first(c).alias(c) for c in ("tag", "parent", "depth", "out")],
+        *[F.first(c).alias(c) for c in ("tag", "parent", "depth", "out", "anchor")],
     )
     tokens = scratch.keep(tokens, "tokens")
     # the page itself occurs once on each page: its vector names the class of what is on all pages
-    root = tokens.where(F.col("token") == ROOT).select("host", F.col("vector").alias("ones"), F.col("pages").alias("of"), F.col("looks").alias("all_looks"))
-    of = tokens.join(root, "host")
+    root = tokens.where(F.col("token") == ROOT).select("host", F.col("vector").alias("ones"), F.col("pages").alias("of"))
+    anchors = tokens.select("host", F.col("token").alias("anchor"), F.col("pages").alias("held"))
+    of = tokens.where(F.col("out") | (F.col("tag") != TEXT) | (F.col("looks") >= FEW)).join(root, "host").join(anchors, ["host", "anchor"])
     # an element that is on some pages only is judged by these pages alone: they are a layout of the host
     everywhere = F.col("vector") == F.col("ones")
     enough = everywhere | (F.col("looks") >= 2) & (F.col("pages") >= F.col("of") * RARE)
-    in_template = (F.col("most") == 1) & enough & ~F.col("out") & ~F.col("tag").isin("", "html", "body")  # the whole page is no slot
+    in_template = (F.col("most") == 1) & enough & ~F.col("out") & ~F.col("tag").isin("", "html", "body", TEXT)  # the whole page is no slot
     rank = F.when(F.col("tag") == "article", 3).when(F.col("tag") == "main", 2).when(F.col("text") >= F.col("whole") * MOST, 1).otherwise(0)
     slot = F.when(in_template & (rank > 0) & (F.col("text") > 0), F.struct(rank.alias("rank"), F.when(rank > 1, F.col("text") / F.col("pages")).otherwise(F.col("depth")).alias("size"), "token"))
-    menu = F.col("tag").isin("ul", "ol", "div", "section", "table") & (F.col("links") >= F.col("text") * LINKS) & (F.col("links") > 0) & everywhere
-    made = of.groupBy("host").agg(F.sort_array(F.collect_list(slot), asc=False).alias("s"), F.collect_set(F.when(menu, F.col("token"))).alias("menus"))
-    return made.select("host", F.col("s.token").alias("slots"), "menus")
+    # nested classes, whatever their vectors: of link text, or of the same words as often on each page
+    often = (F.col("pages") >= F.col("held") * SHARE) & (F.col("looks") >= FEW) & (F.col("pages") >= F.col("of") * RARE)
+    menu = F.col("tag").isin("ul", "ol", "div", "section", "table") & (F.col("links") >= F.col("text") * LINKS) & (F.col("links") > 0) & (everywhere | often)
+    fixed = (F.col("tag") == TEXT) & often & (F.col("least") == F.col("most"))
+    made = of.groupBy("host").agg(F.sort_array(F.collect_list(slot), asc=False).alias("s"), *[F.collect_set(F.when(c, F.col("token"))).alias(x) for c, x in ((menu, "menus"), (fixed, "fixed"))])
+    return made.select("host", F.col("s.token").alias("slots"), "menus", "fixed")
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        out = [_Page(s.as_py()).text(slots or [], set(menus or ())) for s, slots, menus in zip(b.column(2), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)]
+        out = [_Page(s.as_py()).text(slots or [], set(menus or ()), set(fixed or ())) for s, slots, menus, fixed in zip(b.column(2), *[b.column(k).to_pylist() for k in (3, 4, 5)], strict=True)]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
@@ -219,6 +257,6 @@ def extract(pages: DataFrame) -> DataFrame:
     rows = pages.select("page_id", "url", host.alias("host"), F.coalesce("html", F.lit("")).alias("html"))
     made = scratch.keep(templates(rows.select(F.xxhash64("page_id", "url", F.crc32(F.col("html").cast("binary"))).alias("key"), "host", "html")), "templates")
     met = F.broadcast(made) if made.count() <= BROADCAST_HOSTS else made
-    out = rows.join(met, "host", "left").select("page_id", "url", "html", "slots", "menus")
+    out = rows.join(met, "host", "left").select("page_id", "url", "html", "slots", "menus", "fixed")
     kind = rows.schema["page_id"].dataType.simpleString()
     return out.mapInArrow(_extract, f"page_id {kind}, url string, text string, n_chars long")

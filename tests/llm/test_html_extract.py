@@ -84,3 +84,18 @@ def test_an_empty_and_a_differing_page_leave_the_template(spark):
     rows.append((200, "http://d/200", f"<html><body><div class=odd>{w(3)}</div><article>{want[200]}</article></body></html>"))
     got = run(spark, rows)
     assert {i: got[i].text for i in want} == want
+
+
+def test_nested_classes_of_links_and_of_the_same_words_go(spark):
+    rng = random.Random(9)
+    w = lambda n: " ".join(f"w{rng.randrange(999)}" for _ in range(n))
+    rows, want = [], {}
+    for i in range(30):
+        first, second = w(40), w(40)
+        menu = "<div class=x1>" + "".join(f"<a href=/{k}>{w(1)}</a> " for k in range(3)) + "</div>"
+        own = f"<ul><li><a href=/>{w(2)}</a></ul>" if i == 7 else ""  # one page's own list of links
+        some = menu if i % 3 else ""
+        rows.append((i, f"http://n/{i}", f"<html><body><article>{menu}<p>{first}</p>{own}<p>Read us <i>daily</i>.</p>{menu}<p>{second}</p><section class=x2>{some}</section></article></body></html>"))
+        want[i] = "\n".join([first, *([own.split("/>")[1].split("<")[0]] if own else []), second])
+    got = run(spark, rows)
+    assert {i: got[i].text for i in want} == want
