@@ -40,12 +40,17 @@ CLOSES = {"li": ({"li"}, {"ul", "ol"}), "td": ({"td", "th"}, {"tr", "table"}), "
 #: Words in class, id or role by which authors mark what isn't the text.
 HINT = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|byline-share|comments?|comment-list|consent|cookies?|disqus|footer|gdpr|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|pagination|popup|promo\w*|related|replies|share|sharing|sidebar|side-bar|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])", re.I)
 
+#: Elements whose ids are made from titles.
+TITLED = frozenset("h1 h2 h3 h4 h5 h6 p section".split())
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|[^<]+|<", re.S | re.I)
 _NAMED = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPACE = re.compile(r"\s+")
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:$|[\s=])", re.I)
 #: Share of the text that a slot without an article must hold, and of link text that makes a list a menu.
 MOST, LINKS = 0.8, 0.9
+#: Share of link text that drops what has a hint among other words of its name.
+HINTED_LINKS = 0.5
 #: A slot must be on this share of its host's pages, and on two pages with different texts; rarer layouts are judged page by page.
 #: So a host has at most 1 / RARE slots a level of nesting, whatever its size.
 RARE = 0.05
@@ -58,12 +63,34 @@ ROOT = 0
 TEXT = "#"
 
 
+#: What a hint is: among other words in an id or in a class or role, the whole id of a section, the whole of another name.
+ID, CLASS, SECTION, WHOLE = 1, 2, 3, 4
+
+
+def _hint(tag: str, names: list[tuple[str, str]]) -> int:
+    """How far an element's names say that it isn't text; ids of headings and paragraphs, made from titles, don't."""
+    best = 0
+    if tag in ("html", "body", "article", "main"):
+        return best
+    for kind, value in names:
+        titled = kind == "id" and tag in TITLED
+        for x in value.split():
+            if titled and tag != "section" or not HINT.search(x):
+                continue
+            # separators are doubled so that neighbours don't share one
+            if HINT.fullmatch(x) or not HINT.sub("", re.sub(r"[_-]", r"\g<0>\g<0>", x)).strip("_-"):
+                best = max(best, SECTION if titled else WHOLE)
+            else:
+                best = max(best, ID if kind == "id" else CLASS)
+    return best
+
+
 class _Page:
     """One reading of a page: its elements, and its texts with the element that holds each."""
 
     def __init__(self, source: str):
-        #: element: [token, tag, parent element, not text, text length, link text length, depth, anchor: outermost article or main, else the body's child, articles and mains around it]
-        self.elements = [[ROOT, "", -1, False, 0, 0, 0, ROOT, 0]]
+        #: element: [token, tag, parent element, not text, text length, link text length, depth, anchor: outermost article or main, else the body's child, articles and mains around it, hint, hint on it or around it]
+        self.elements = [[ROOT, "", -1, False, 0, 0, 0, ROOT, 0, 0, False]]
         #: text: (element, block, text)
         self.texts: list[tuple[int, int, str]] = []
         stack, block, links = [0], 0, 0
@@ -101,8 +128,10 @@ class _Page:
                     if name in barrier:
                         break
             up = self.elements[stack[-1]]
-            names = " ".join(a or b or c for _, a, b, c in _NAMED.findall(m[4])) if m[4] else ""
-            out = up[3] or tag in NOT_TEXT or bool(names and tag not in ("html", "body", "article", "main") and HINT.search(names)) or bool(m[4] and HIDDEN.search(m[4]))
+            named = [(k.lower(), a or b or c) for k, a, b, c in _NAMED.findall(m[4])] if m[4] else []
+            names = " ".join(x for _, x in named)
+            hint = _hint(tag, named) if named else 0
+            out = up[3] or tag in NOT_TEXT or hint == WHOLE or bool(m[4] and HIDDEN.search(m[4]))
             token = xxhash.xxh64_intdigest(f"{tag} {names}", seed=up[0] & (1 << 63) - 1) >> 1
             if tag in VOID or m[4].endswith("/"):
                 if tag == "br":
@@ -111,12 +140,12 @@ class _Page:
             anchor = up[7]
             if tag in ("article", "main") and self.elements[stack[-1]][8] == 0 or anchor == ROOT and tag not in ("html", "body"):
                 anchor = token
-            self.elements.append([token, tag, stack[-1], out, 0, 0, up[6] + 1, anchor, up[8] + (tag in ("article", "main"))])
+            self.elements.append([token, tag, stack[-1], out, 0, 0, up[6] + 1, anchor, up[8] + (tag in ("article", "main")), hint, up[10] or hint > 0])
             stack.append(len(self.elements) - 1)
             links += tag == "a"
         for e in reversed(self.elements[1:]):  # children come after their parents
             up = self.elements[e[2]]
-            if not e[3]:
+            if not e[3] and not e[9]:
                 up[4] += e[4]
                 up[5] += e[5]
 
@@ -157,7 +186,7 @@ class _Page:
         for i, e in enumerate(self.elements):
             up = e[2]
             inside[i] = everywhere or holds[i] or up >= 0 and inside[up]
-            bad[i] = e[3] or e[0] in menus or up >= 0 and bad[up]
+            bad[i] = e[3] or e[0] in menus or everywhere and e[9] >= CLASS or up >= 0 and bad[up]
         gone = {b for b, (_, token) in self.blocks().items() if token in fixed} if fixed else ()
         blocks: dict[int, list[str]] = {}
         for at, block, t in self.texts:
@@ -167,12 +196,12 @@ class _Page:
         return "\n".join(x for x in lines if x)
 
 
-_STATS = "host string, page long, token long, tag string, parent long, depth int, out boolean, n int, text long, links long, whole long, look long, anchor long"
+_STATS = "host string, page long, token long, tag string, parent long, depth int, out boolean, n int, text long, links long, whole long, look long, anchor long, hint int, marked boolean"
 
 
 def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(page key, host, html) in; a row per page and token out."""
-    kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_())
     for b in batches:
         rows = []
         for key, host, source in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
@@ -188,7 +217,7 @@ def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for e in elements:
                 s = seen.get(e[0])
                 if s is None:
-                    seen[e[0]] = [host, key, e[0], e[1], elements[e[2]][0] if e[2] >= 0 else -1, e[6], e[3], 1, e[4], e[5], elements[0][4], look.get(e[7], 1), e[7]]
+                    seen[e[0]] = [host, key, e[0], e[1], elements[e[2]][0] if e[2] >= 0 else -1, e[6], e[3], 1, e[4], e[5], elements[0][4], look.get(e[7], 1), e[7], e[9], e[10]]
                 else:
                     s[7] += 1
                     s[8] += e[4]
@@ -197,7 +226,7 @@ def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 s = seen.get(token)
                 if s is None:
                     e = elements[at]
-                    seen[token] = [host, key, token, TEXT, e[0], e[6] + 1, False, 1, 0, 0, 0, look.get(e[7], 1), e[7]]
+                    seen[token] = [host, key, token, TEXT, e[0], e[6] + 1, False, 1, 0, 0, 0, look.get(e[7], 1), e[7], 0, e[10]]
                 else:
                     s[7] += 1
             rows.append(seen.values())
@@ -217,7 +246,7 @@ def templates(pages: DataFrame, html_col: str = "html") -> DataFrame:
         F.sum("text").alias("text"),
         F.sum("links").alias("links"),
         F.sum("whole").alias("whole"),
-        *[F.first(c).alias(c) for c in ("tag", "parent", "depth", "out", "anchor")],
+        *[F.first(c).alias(c) for c in ("tag", "parent", "depth", "out", "anchor", "hint", "marked")],
     )
     tokens = scratch.keep(tokens, "tokens")
     # the page itself occurs once on each page: its vector names the class of what is on all pages
@@ -228,13 +257,16 @@ def templates(pages: DataFrame, html_col: str = "html") -> DataFrame:
     everywhere = F.col("vector") == F.col("ones")
     enough = everywhere | (F.col("looks") >= 2) & (F.col("pages") >= F.col("of") * RARE)
     in_template = (F.col("most") == 1) & enough & ~F.col("out") & ~F.col("tag").isin("", "html", "body", TEXT)  # the whole page is no slot
-    rank = F.when(F.col("tag") == "article", 3).when(F.col("tag") == "main", 2).when(F.col("text") >= F.col("whole") * MOST, 1).otherwise(0)
+    rank = F.when(F.col("tag") == "article", 3).when(F.col("tag") == "main", 2).when(~F.col("marked") & (F.col("text") >= F.col("whole") * MOST), 1).otherwise(0)
     slot = F.when(in_template & (rank > 0) & (F.col("text") > 0), F.struct(rank.alias("rank"), F.when(rank > 1, F.col("text") / F.col("pages")).otherwise(F.col("depth")).alias("size"), "token"))
     # nested classes, whatever their vectors: of link text, or of the same words as often on each page
     often = (F.col("pages") >= F.col("held") * SHARE) & (F.col("looks") >= FEW) & (F.col("pages") >= F.col("of") * RARE)
     menu = F.col("tag").isin("ul", "ol", "div", "section", "table") & (F.col("links") >= F.col("text") * LINKS) & (F.col("links") > 0) & (everywhere | often)
+    # a hint in a name that could be made from a title needs a place that most pages have, and link text unless it is all of the name
+    placed = often | everywhere & (F.col("pages") >= 2)
+    hinted = placed & ((F.col("hint") == SECTION) | F.col("hint").isin(ID, CLASS) & (F.col("links") > 0) & (F.col("links") >= F.col("text") * HINTED_LINKS))
     fixed = (F.col("tag") == TEXT) & often & (F.col("least") == F.col("most"))
-    made = of.groupBy("host").agg(F.sort_array(F.collect_list(slot), asc=False).alias("s"), *[F.collect_set(F.when(c, F.col("token"))).alias(x) for c, x in ((menu, "menus"), (fixed, "fixed"))])
+    made = of.groupBy("host").agg(F.sort_array(F.collect_list(slot), asc=False).alias("s"), *[F.collect_set(F.when(c, F.col("token"))).alias(x) for c, x in ((menu | hinted, "menus"), (fixed, "fixed"))])
     return made.select("host", F.col("s.token").alias("slots"), "menus", "fixed")
 
 

@@ -99,3 +99,17 @@ def test_nested_classes_of_links_and_of_the_same_words_go(spark):
         want[i] = "\n".join([first, *([own.split("/>")[1].split("<")[0]] if own else []), second])
     got = run(spark, rows)
     assert {i: got[i].text for i in want} == want
+
+
+def test_names_made_from_titles_keep_their_text(spark):
+    rng = random.Random(10)
+    w = lambda n: " ".join(f"w{rng.randrange(999)}" for _ in range(n))
+    rows, want = [], {}
+    for i in range(20):
+        a, b, c, d, e = (w(20) for _ in range(5))
+        ad = f'<div class="ad">{w(4)}</div><div class="related-posts"><b>{w(1)}</b> ' + "".join(f"<a href=/{k}>{w(2)}</a>" for k in range(4)) + "</div>"
+        own = f'<section id="social-impact"><h2 id="share">{a}</h2><p id="ads">{b}</p></section><div id="related-work">{c}</div><div class="promotion-of-growth">{d}</div>'
+        rows.append((i, f"http://{'t' if i else 'alone'}/{i}", f"<html><body><nav>{w(3)}</nav><article>{own if i % 4 == 0 else ''}<p>{e}</p>{ad if i else ''}<section id=comments>{w(5) if i else ''}</section></article></body></html>"))
+        want[i] = "\n".join([a, b, c, d, e] if i % 4 == 0 else [e])
+    got = run(spark, rows)
+    assert {i: got[i].text for i in want} == want
