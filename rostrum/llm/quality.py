@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rostrum.plans import scratch
@@ -151,7 +151,7 @@ def _look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             f, w = _features(i, words.rows, x)
             j.append(f.tobytes())
             v.append(w.tobytes())
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pattern, pa.int32()), pa.array(j, pa.binary()), pa.array(v, pa.binary())], names=["id", "votes", "j", "v"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pattern, pa.int32()), pa.array(j, pa.binary()), pa.array(v, pa.binary()), b.column(2)], names=["id", "votes", "j", "v", "digest"])
 
 
 def fit_labellers(counts: dict[int, int], rounds: int = EM_ROUNDS) -> dict:
@@ -202,10 +202,20 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
     often as they occur and score alike. Null ids are allowed. An empty table gives
     an empty result; other columns are ignored.
     """
+    return _scored(docs, id_col, text_col, sample, keep, F.lit(None).cast("binary")).drop("digest")
+
+
+def _digest(text_col: str) -> Column:
+    """SHA-256 of the text; null is as empty. Equal texts score alike, so with the id it names rows that stay or go together."""
+    return F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
+
+
+def _scored(docs: DataFrame, id_col: str, text_col: str, sample: int, keep: float, digest: Column) -> DataFrame:
+    """What classify gives, with the digest beside it."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), digest.alias("digest"))
     kind = rows.schema["id"].dataType.simpleString()
-    looked = scratch.keep(rows.mapInArrow(_look, f"id {kind}, votes int, j binary, v binary"), "features")
+    looked = scratch.keep(rows.mapInArrow(_look, f"id {kind}, votes int, j binary, v binary, digest binary"), "features")
     counts = {r.votes: r["count"] for r in looked.groupBy("votes").count().collect()}
     posterior = fit_labellers(counts)["posterior"]
     n = sum(counts.values())
@@ -224,13 +234,14 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
             score = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
             p = b.column(1).to_pylist()
             names = [",".join(x for k, x in enumerate(LABELLERS) if y >> k & 1) for y in p]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score), pa.array(score >= keep), pa.array([weak[x] for x in p], pa.float64()), pa.array(names, pa.string())], names=[id_col, "score", "kept", "weak_score", "votes"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score), pa.array(score >= keep), pa.array([weak[x] for x in p], pa.float64()), pa.array(names, pa.string()), b.column(4)], names=[id_col, "score", "kept", "weak_score", "votes", "digest"])
 
-    return looked.mapInArrow(run, f"`{id_col}` {kind}, score double, kept boolean, weak_score double, votes string")
+    return looked.mapInArrow(run, f"`{id_col}` {kind}, score double, kept boolean, weak_score double, votes string, digest binary")
 
 
-def keep_clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs that the classifier doesn't reject; all columns."""
-    made = classify(docs, id_col, text_col, **options)
-    gone = scratch.keep(made.where(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct(), "rejected")
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
+def keep_clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, keep: float = KEEP) -> DataFrame:
+    """The rows of docs that the classifier doesn't reject; all columns. Rows are known by id and text, as ids may be null or repeat."""
+    made = _scored(docs, id_col, text_col, sample, keep, _digest(text_col))
+    gone = scratch.keep(made.where(~F.col("kept")).select(F.col(id_col).alias("_gone"), F.col("digest").alias("_text")).distinct(), "rejected")
+    out = docs.withColumn("_digest", _digest(text_col))
+    return out.join(gone, out[id_col].eqNullSafe(gone["_gone"]) & (out["_digest"] == gone["_text"]), "left_anti").select(*docs.columns)

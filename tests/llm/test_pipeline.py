@@ -12,7 +12,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from rostrum.llm import mixing, quality
+from rostrum.llm import jaccard_join, mixing, quality
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -65,3 +65,21 @@ def test_stages(spark, tmp_path):
     sha = lambda x: hashlib.sha256(np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes()).hexdigest()
     assert Counter((r.doc_id, r.ids_sha256) for r in seen["bpe"]) == Counter((r.doc_id, sha(r.text)) for r in seen["mixing"])
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(seen["bpe"])
+
+
+def test_clean_rows_stay_beside_others_of_their_id(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghiklmnoprstu") for _ in range(rng.randrange(2, 9)))
+    w = lambda n: " ".join(word() for _ in range(n))
+    bad = lambda: " ".join(x + "***" for x in w(80).split())
+    clean = [(None, w(80)), (7, w(80))] + [(100 + i, w(80)) for i in range(40)]
+    rows = clean + [(None, bad()), (7, bad())] + [(200 + i, bad()) for i in range(8)]
+    df = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], SCHEMA).repartition(3)
+    got = quality.keep_clean(df)
+    assert got.columns == df.columns and sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted(clean, key=repr)
+
+    text = w(80)
+    rows = [(1, text), (5, text + " end"), (5, w(80)), (None, w(80))]
+    df = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], SCHEMA)
+    got = jaccard_join.keep_one(df)
+    assert got.columns == df.columns and sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted([rows[0], *rows[2:]], key=repr)
