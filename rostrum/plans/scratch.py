@@ -4,16 +4,24 @@ The folder is the session's ``spark.checkpoint.dir``. Only where that is unset
 (tests, a notebook on one machine) a local temporary folder takes its place.
 A written table cuts the lineage: a lost executor costs a re-read, never a
 recomputation of everything before it.
+
+Who deletes them: settle() writes a result and deletes what was kept on the way to
+it, so an operator that ends with settle() leaves one table, its result, which is
+its caller's: drop() deletes it once it has been read.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+#: Folders of tables kept since the innermost settle() began.
+_kept: ContextVar[list[str] | None] = ContextVar("kept", default=None)
 
 
 def folder(spark: SparkSession) -> str:
@@ -35,14 +43,37 @@ def keep(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     to = path(spark, name)
     df.write.option("compression", codec).parquet(to)
+    if (held := _kept.get()) is not None:
+        held.append(to)
     return spark.read.schema(df.schema).parquet(to)
 
 
+def settle(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What make() gives, written; every table that make() kept is deleted after that, or when it fails."""
+    mark = _kept.set([])
+    try:
+        out = make()
+        to = path(spark, name)
+        out.write.option("compression", "zstd").parquet(to)
+    finally:
+        held = _kept.get()
+        _kept.reset(mark)
+        for x in held:
+            _delete(spark, x)
+    if (above := _kept.get()) is not None:
+        above.append(to)
+    return spark.read.schema(out.schema).parquet(to)
+
+
 def drop(df: DataFrame) -> None:
-    """Delete what keep() wrote, once nothing reads it any more; touches nothing outside the folder."""
+    """Delete what keep() or settle() wrote, once nothing reads it any more; touches nothing outside the folder."""
     spark = df.sparkSession
     base = folder(spark).split(":", 1)[-1].lstrip("/")
     for top in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if f"/{base}/" in top.replace("///", "/").replace("//", "/"):
-            p = spark._jvm.org.apache.hadoop.fs.Path(top)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, top)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
