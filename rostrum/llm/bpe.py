@@ -11,6 +11,7 @@ way. Each place dies once, so the work is linear in the piece.
 
 from __future__ import annotations
 
+import copy
 import hashlib
 import json
 from collections.abc import Iterator
@@ -23,8 +24,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pieces, and pairs of tokens, that a Python worker remembers; beyond, it starts afresh.
-KEPT_PIECES, KEPT_PAIRS = 400_000, 1_000_000
+from rostrum.llm.memo import Memo
+
+#: Bytes of pieces, and number of pairs of tokens (some 100 bytes each), that a task remembers.
+KEPT_PIECES, KEPT_PAIRS = 24 << 20, 100_000
 
 # Fixed value: the pattern by which byte-level BPE vocabularies cut a text into pieces.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -72,8 +75,14 @@ class Bpe:
         self.bytes = np.frombuffer(b"".join(self.text), np.uint8)
         self.cut = regex.compile(PATTERN)
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.pieces = _Pieces(self)
+        self.forget()
+
+    def forget(self) -> None:
+        self.pairs: dict[int, bool] = {}
+        self.pieces = Memo(self._piece, KEPT_PIECES)
+
+    def _piece(self, piece: str) -> bytes:
+        return np.array(self.encode_piece(piece.encode()), "<u4").tobytes()
 
     def _edge(self, token: int, side: int) -> list[tuple[int, float]]:
         """The pieces that lie at a token's right (1) or left (0) edge while it is merged, each with the rank that consumes it."""
@@ -86,7 +95,8 @@ class Bpe:
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether the merges leave a boundary between tokens a and b."""
-        known = self.pairs.get((a, b))
+        pair = a * len(self.text) + b
+        known = self.pairs.get(pair)
         if known is None:
             known = True
             right = self._edge(b, 0)
@@ -98,7 +108,7 @@ class Bpe:
                         known = False
             if len(self.pairs) >= KEPT_PAIRS:
                 self.pairs.clear()
-            self.pairs[a, b] = known
+            self.pairs[pair] = known
         return known
 
     def encode_piece(self, piece: bytes) -> list[int]:
@@ -144,21 +154,17 @@ class Bpe:
         return self.bytes[at].tobytes().decode("utf-8", "replace")
 
 
-class _Pieces(dict):
-    def __init__(self, bpe: Bpe):
-        self.bpe = bpe
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= KEPT_PIECES:
-            self.clear()
-        got = self[piece] = np.array(self.bpe.encode_piece(piece.encode()), "<u4").tobytes()
-        return got
+@lru_cache(1)
+def _read(path: str) -> Bpe:
+    """The vocabulary, read once in each Python worker."""
+    return Bpe(path)
 
 
-@lru_cache(4)
 def load(path: str) -> Bpe:
-    """The vocabulary, read once in each Python worker."""
-    return Bpe(path)
+    """The vocabulary with a memory of its own, which ends with it."""
+    out = copy.copy(_read(path))
+    out.forget()
+    return out
 
 
 def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rostrum.llm.shingles import WIDTH, shingle_hashes
+from rostrum.llm.memo import Memo
+from rostrum.llm.shingles import WIDTH, shingle_hashes, word_hashes
 from rostrum.plans import scratch
 
 K = 128
@@ -29,9 +30,9 @@ RANGE_ROWS = 1024
 RANGES = 20_000
 
 
-def sketch(text: bytes, k: int = K, width: int = WIDTH) -> np.ndarray:
+def sketch(text: bytes, k: int = K, width: int = WIDTH, known: Memo | None = None) -> np.ndarray:
     """The k smallest distinct 48-bit hashes of the text's shingles, ascending."""
-    h = shingle_hashes(text, width) >> np.uint64(64 - BITS)
+    h = shingle_hashes(text, width, known) >> np.uint64(64 - BITS)
     while True:
         few = np.unique(np.partition(h, 4 * k)[: 4 * k] if len(h) > 4 * k else h)
         if len(few) >= k or len(h) <= 4 * k:
@@ -81,8 +82,9 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per input row: id, fingerprint, n_shingles (estimate). Null text is as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = word_hashes()
         for b in batches:
-            s = [sketch(t, k, width) for t in b.column(1).to_pylist()]
+            s = [sketch(t, k, width, known) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(to_text, s), pa.string()), pa.array([distinct(x, k) for x in s], pa.float64())], names=[id_col, "fingerprint", "n_shingles"])
 
     rows = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
@@ -95,21 +97,21 @@ _OUT = pa.schema([("id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256",
 def _edit(k: int, width: int):
     """Rows (id, text, own) in the order of their ids, descending; each needs the text of the row after it."""
 
-    def made(d, text: str, s: np.ndarray, after: str, after_s: np.ndarray) -> tuple:
+    def made(known: Memo, d, text: str, s: np.ndarray, after: str, after_s: np.ndarray) -> tuple:
         half = len(text) // 2
         new = text[: len(text) - half] + after[:half]
         raw = new.encode()
-        e = sketch(raw, k, width)
+        e = sketch(raw, k, width, known)
         return d, len(text), hashlib.sha256(raw).hexdigest(), to_text(s), to_text(e), resemblance(s, e, k), resemblance(s, after_s, k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
+        last, known = None, word_hashes()
         for b in batches:
             out = []
             for d, raw, own in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                text, s = raw.decode(), sketch(raw, k, width)
+                text, s = raw.decode(), sketch(raw, k, width, known)
                 if last is not None:
-                    out.append(made(*last, text, s))
+                    out.append(made(known, *last, text, s))
                 last = (d, text, s) if own else None
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), _OUT, strict=True)] if out else [pa.array([], f.type) for f in _OUT], schema=_OUT)
 

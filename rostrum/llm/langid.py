@@ -28,10 +28,10 @@ ROUNDS = 1
 SMOOTH = 0.05
 #: Letters scored at a time; longer runs are scored stretch by stretch.
 STRETCH = 40
-#: Distinct chunks that a worker counts before it passes counts on, or whose scores it remembers.
-KEPT = 500_000
-#: Texts whose new chunks are scored together.
-TOGETHER = 512
+#: Distinct chunks that a task counts before it passes counts on, or whose scores it remembers; a long chunk counts as one for each LONG characters.
+KEPT, LONG = 200_000, 48
+#: Characters of texts whose new chunks are scored together, about; a longer text is scored alone.
+TOGETHER = 500_000
 UNKNOWN = "und"
 
 _LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
@@ -152,6 +152,7 @@ def expected(lattice: Lattice, words: list[str], times: np.ndarray, weights: np.
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, text) in, (lang, chunk, n) out, summed as far as memory allows."""
     held: dict[str, Counter] = {}
+    used = 0
 
     def out() -> pa.RecordBatch:
         rows = [(lang, c, n) for lang, count in held.items() for c, n in count.items()]
@@ -159,10 +160,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in batches:
         for lang, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            held.setdefault(lang, Counter()).update(text.as_py().lower().split())
-            if sum(map(len, held.values())) > KEPT:
+            chunks = text.as_py().lower().split()
+            held.setdefault(lang, Counter()).update(chunks)
+            used += sum(len(c) // LONG for c in chunks if len(c) >= LONG)
+            if sum(map(len, held.values())) + used > KEPT:
                 yield out()
                 held.clear()
+                used = 0
     yield out()
 
 
@@ -212,6 +216,7 @@ def learn(train: DataFrame, vocabulary: str, lang_col: str = "lang", text_col: s
         model = (seen + SMOOTH) / (seen[:-1].sum(0) + SMOOTH * (size + 1))
         model[size] /= 1000  # shared by all characters outside
         model[size + 1] = 0
+    scratch.drop(counts)
     return langs, model if model is not None else np.zeros((size + 2, 0))
 
 
@@ -222,6 +227,7 @@ class _Scorer:
         self.lattice, self.model = lattice, model
         self.rows = np.zeros((1, model.shape[1]))
         self.at: dict[str, int] = {}
+        self.used = 0
 
     def words(self, found: list[str]) -> np.ndarray:
         order, size, steps = self.lattice.walk(found)
@@ -235,9 +241,10 @@ class _Scorer:
         """Score the chunks that aren't known yet; row 0 is for those without letters."""
         at = self.at
         new = [c for c in chunks if c not in at]
-        if len(at) + len(new) > KEPT:
+        if self.used + len(new) > KEPT:
             at.clear()
-            self.rows, new = self.rows[:1].copy(), list(chunks)
+            self.rows, new, self.used = self.rows[:1].copy(), list(chunks), 0
+        self.used += sum(1 + len(c) // LONG for c in new)
         found: dict[str, int] = {}
         chunk, word, n = [], [], len(self.rows)
         for c in new:
@@ -262,6 +269,18 @@ class _Scorer:
         self.rows = base[: n + len(more)]
 
 
+def _together(texts: list[str]) -> Iterator[list[str]]:
+    held, size = [], 0
+    for t in texts:
+        if held and size + len(t) > TOGETHER:
+            yield held
+            held, size = [], 0
+        held.append(t)
+        size += len(t)
+    if held:
+        yield held
+
+
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, lang_pred, score (posterior under equal priors).
 
@@ -274,8 +293,8 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], vocabulary: st
         scorer = _Scorer(_lattice(vocabulary), table)
         for b in batches:
             langs, scores = [], []
-            for lo in range(0, b.num_rows, TOGETHER):
-                texts = [t.lower().split() for t in b.column(1).slice(lo, TOGETHER).to_pylist()]
+            for part in _together(b.column(1).to_pylist()):
+                texts = [t.lower().split() for t in part]
                 if known:
                     scorer.learn(set().union(*texts))
                 for t in texts:

@@ -4,154 +4,222 @@ Overlapping heuristic labellers each name a document junk or abstain. Expectatio
 maximisation over the counts of their vote patterns (at most 2^labellers rows,
 whatever the corpus) estimates how often each fires on clean and on junk documents
 and the share of clean ones; no gold label is used. The posteriors then label a bounded
-sample on which a hashed linear scorer is trained, and that scores every document:
-its features are hashed word shapes and levels of text statistics.
+sample on which a hashed linear scorer is trained, and that scores every document.
+
+The scorer does not see what the labellers count. Its features are hashed: words,
+pairs of neighbouring words, shapes of words (runs of letters and digits as one
+character), words that repeat the one before, and five words in a row that came before.
+
+Two passes over the texts: one counts vote patterns and takes the sample, one scores.
+Both work on the code points of many texts at once, without a table of words.
 """
 
 from __future__ import annotations
 
+import unicodedata
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
-import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rostrum.plans import scratch
-
-#: Rows that the scorer is trained on at most, chosen by a hash of the id.
-SAMPLE = 20_000
-DIM = 1 << 14
+#: Documents that the scorer is trained on at most, chosen by a hash of id and text, and the most words of one of them.
+SAMPLE, SAMPLE_WORDS = 8_000, 2_000
+BITS = 18
+DIM = 1 << BITS
 #: A document is kept from this score (probability of being clean) on.
 KEEP = 0.5
-EM_ROUNDS, EPOCHS = 50, 300
-KEPT = 300_000
+EM_ROUNDS, EPOCHS = 50, 12
+#: Code points looked at together, about; a longer text is looked at alone.
+TOGETHER = 200_000
 
 LABELLERS = ("decorated", "symbols", "shouting", "exclaiming", "bare", "fragments", "stutter", "monotone", "loops")
-_STATS = ("decorated", "symbols", "shouting", "exclaiming", "bare", "stutter", "variety", "loops", "length")
-#: Levels at which a statistic becomes another feature.
-LEVELS = np.array([0.01, 0.03, 0.06, 0.1, 0.15, 0.2, 0.3, 0.4, 0.6, 0.8])
-
-_DECORATED = regex.compile(r"[^\w\s.,;:?)\]\"'»”’…-]{2,}$")
-_SYMBOL = regex.compile(r"[^\w\s.,;:?!()\"'«»“”‘’…-]")
-_LETTER = regex.compile(r"\p{L}")
-_RUNS = ((regex.compile(r"\p{Lu}+"), "A"), (regex.compile(r"[\p{L}\p{M}--\p{Lu}]+", regex.V1), "a"), (regex.compile(r"\d+"), "0"))
-
-
-def shape(word: str) -> str:
-    for run, to in _RUNS:
-        word = run.sub(to, word)
-    return word
-
-
-_buckets: dict[str, int] = {}
 
-
-def _bucket(form: str) -> int:
-    got = _buckets.get(form)
-    if got is None:
-        if len(_buckets) > KEPT:
-            _buckets.clear()
-        got = _buckets[form] = xxhash.xxh32_intdigest(form) % DIM
-    return got
-
-
-def _traits(w: str) -> tuple:
-    """Decorated, symbols, characters, has letters, shouted, exclaimed, bare, shape's bucket."""
-    core = w.rstrip(".,;:")
-    if core.isalpha():  # most words
-        form = "a" if core.islower() else "A" if core.isupper() else "Aa" if core[1:].islower() else shape(core)
-        return 0, 0, len(w), len(core) > 1, len(core) > 1 and form == "A", 0, 0, _bucket(form + w[len(core) :])
-    letters = len(_LETTER.findall(w))
-    return bool(_DECORATED.search(w)), len(_SYMBOL.findall(w)), len(w), letters > 1, letters > 1 and w == w.upper(), w.endswith("!!"), not any(c.isalnum() for c in w), _bucket(shape(w))
-
-
-class _Words:
-    """The traits of distinct words, as rows of a matrix."""
+SPACE, LOWER, UPPER, DIGIT, WORDLIKE, PLAIN, BANG, OPENS, CLOSES, SYMBOL = range(10)
+_BASE = 0x9E3779B97F4A7C15
+_MIX = np.uint64(0xBF58476D1CE4E5B9)
+_P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+#: Seeds that tell kinds of features apart.
+WORD, PAIR, SHAPE, AGAIN, BEFORE = (np.uint64(x) for x in (1, 2, 3, 4, 5))
+
+
+@lru_cache(1)
+def _classes() -> np.ndarray:
+    """The class of each code point."""
+    out = np.full(0x110000, SYMBOL, np.uint8)
+    for i in range(0x110000):
+        if 0xD800 <= i < 0xE000:
+            continue
+        c = unicodedata.category(chr(i))
+        if c == "Lu":
+            out[i] = UPPER
+        elif c[0] in "LM":
+            out[i] = LOWER
+        elif c == "Nd":
+            out[i] = DIGIT
+        elif c[0] == "N":
+            out[i] = WORDLIKE
+        elif chr(i).isspace():
+            out[i] = SPACE
+    for chars, kind in (("_", WORDLIKE), (".,;:?", PLAIN), ("!", BANG), ("(«“‘", OPENS), (")]\"'»”’…-", CLOSES)):
+        out[[ord(x) for x in chars]] = kind
+    return out
+
+
+class _Powers:
+    """Powers of an odd base and of its inverse, for hashes of parts of an array by differences of one running sum."""
 
     def __init__(self):
-        self.at: dict[str, int] = {}
-        self.rows = np.zeros((1024, 8))
-
-    def __call__(self, text: str) -> np.ndarray:
-        words = text.split()
-        at = self.at
-        if len(at) > KEPT:
-            at.clear()
-        if new := [w for w in set(words) if w not in at]:
-            n = len(at)
-            while n + len(new) > len(self.rows):
-                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-            self.rows[n : n + len(new)] = [_traits(w) for w in new]
-            at.update(zip(new, range(n, n + len(new)), strict=True))
-        return np.fromiter(map(at.__getitem__, words), np.int64, len(words))
-
-
-def _statistics(i: np.ndarray, rows: np.ndarray) -> dict[str, float]:
-    n = len(i)
-    if not n:
-        return dict.fromkeys(_STATS, 0.0) | {"n": 0, "distinct": 0}
-    s = rows[i].sum(0)
-    distinct = len(np.unique(i))
-    loops = 0.0
-    if n >= 20:
-        g = i[4:] + 1
-        for k in range(4):
-            g = g * np.int64(1_000_003) + i[k : n - 4 + k]
-        loops = 1 - len(np.unique(g)) / len(g)
-    return {
-        "decorated": s[0] / n,
-        "symbols": s[1] / s[2],
-        "shouting": s[4] / max(1, s[3]),
-        "exclaiming": s[5] / n,
-        "bare": s[6] / n,
-        "stutter": float((i[1:] == i[:-1]).mean()) if n > 1 else 0.0,
-        "variety": distinct / n,
-        "loops": loops,
-        "length": min(1.0, s[2] / n / 20),
-        "n": n,
-        "distinct": distinct,
-    }
-
-
-def votes(x: dict[str, float]) -> int:
-    """Bit k is set if labeller k calls the document junk."""
-    n = x["n"]
-    fired = (
-        x["decorated"] >= 0.2,
-        x["symbols"] >= 0.08,
-        x["shouting"] >= 0.5 and n >= 5,
-        x["exclaiming"] >= 0.2 and n >= 3,
-        x["bare"] >= 0.1 and x["bare"] * n >= 2,
-        x["bare"] * n >= 2 and n < 4 * (x["bare"] * n + 1),
-        x["stutter"] >= 0.15 and n >= 6,
-        n >= 20 and x["distinct"] < 2 * n**0.5,
-        x["loops"] >= 0.4,
-    )
-    return sum(1 << k for k, f in enumerate(fired) if f)
-
-
-def _features(i: np.ndarray, rows: np.ndarray, x: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed features: shares of word shapes, and a level of each statistic."""
-    j, v = np.unique(rows[i, 7].astype(np.int64), return_counts=True)
-    levels = [xxhash.xxh32_intdigest(f"{k}>{int((x[k] >= LEVELS).sum())}") % DIM for k in _STATS]
-    return np.r_[j, levels].astype(np.uint16), np.r_[v / max(1, len(i)), np.ones(len(levels))].astype(np.float32)
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > len(self.up):
+            self.up, self.down = (np.multiply.accumulate(np.r_[np.uint64(1), np.full(n, b, np.uint64)]) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
+        return self.up[:n], self.down[:n]
+
+    def parts(self, x: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        up, _ = self(len(x))
+        sums = np.r_[np.uint64(0), np.cumsum(x * up, dtype=np.uint64)]
+        _, down = self(len(x) + 1)
+        return _spread((sums[end] - sums[start]) * down[start])
+
+
+def _spread(h: np.ndarray) -> np.ndarray:
+    h = (h ^ h >> np.uint64(31)) * _MIX
+    return h ^ h >> np.uint64(29)
+
+
+def _bucket(h: np.ndarray, kind: np.uint64) -> np.ndarray:
+    return (((h + kind) * _P ^ h >> np.uint64(17)) * _Q >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+def _first(doc: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether an entry is the first of its hash in its document."""
+    out = np.zeros(len(h), bool)
+    if len(h):
+        key = h + doc.astype(np.uint64) * _Q
+        o = np.argsort(key, kind="stable")
+        out[o[np.r_[True, key[o][1:] != key[o][:-1]]]] = True
+    return out
+
+
+class _Texts:
+    """The words of some texts side by side: each word's document, hash and what it is made of."""
+
+    def __init__(self, texts: list[str], powers: _Powers):
+        self.many = len(texts)
+        c = np.frombuffer("".join(t + "\n" for t in texts).encode("utf-32-le"), np.uint32)
+        k = _classes()[c]
+        edge = np.flatnonzero(np.diff(np.r_[False, k != SPACE, False]))
+        a, b = edge[::2], edge[1::2]
+        self.doc = np.searchsorted(np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1), a, "right")
+        self.size = b - a
+        self.n = np.bincount(self.doc, minlength=self.many)
+        self.hash = powers.parts(c.astype(np.uint64) + np.uint64(1), a, b)
+
+        def among(*kinds: int) -> np.ndarray:
+            wanted = np.zeros(SYMBOL + 1, bool)
+            wanted[list(kinds)] = True
+            return wanted[k]
+
+        def count(*kinds: int) -> np.ndarray:
+            sums = np.r_[0, np.cumsum(among(*kinds), dtype=np.int64)]
+            return sums[b] - sums[a]
+
+        self.letters, self.upper, self.symbols = count(LOWER, UPPER), count(UPPER), count(SYMBOL)
+        self.bare = self.letters + count(DIGIT, WORDLIKE) == 0
+        odd = among(SYMBOL, BANG, OPENS)
+        self.decorated = odd[b - 1] & odd[b - 2] & (self.size > 1)
+        self.exclaims = (k[b - 1] == BANG) & (k[b - 2] == BANG) & (self.size > 1)
+        run = (k >= LOWER) & (k <= DIGIT)
+        shown = (k != SPACE) & ~(run & np.r_[False, k[1:] == k[:-1]])
+        at = np.r_[0, np.cumsum(shown)]
+        self.shape = powers.parts(np.where(run, k, c + np.uint32(16))[shown].astype(np.uint64), at[a], at[b])
+        self.next = self.doc[1:] == self.doc[:-1]
+        self.same = self.next & (self.hash[1:] == self.hash[:-1])
+        w = len(self.doc) - 4
+        five = np.zeros(max(0, w), np.uint64)
+        for i in range(5 if w > 0 else 0):
+            five = five * _P + self.hash[i : i + w]
+        whole = self.doc[4:] == self.doc[: len(five)]
+        self.five_doc, five = self.doc[: len(five)][whole], five[whole]
+        self.five_new = _first(self.five_doc, five)
+
+    def per_doc(self, x: np.ndarray) -> np.ndarray:
+        return np.bincount(self.doc[: len(x)], x, self.many)
+
+    def votes(self) -> np.ndarray:
+        """Per document: bit k is set if labeller k calls it junk."""
+        n = np.maximum(self.n, 1)
+        bare = self.per_doc(self.bare)
+        pairs = np.maximum(self.n - 1, 1)
+        fives = np.maximum(self.n - 4, 1)
+        spoken = np.maximum(self.per_doc(self.letters > 1), 1)
+        distinct = self.per_doc(_first(self.doc, self.hash))
+        new = np.bincount(self.five_doc, self.five_new, self.many)
+        fired = (
+            self.per_doc(self.decorated) / n >= 0.2,
+            self.per_doc(self.symbols) / np.maximum(self.per_doc(self.size), 1) >= 0.08,
+            (self.per_doc((self.letters > 1) & (self.upper == self.letters)) / spoken >= 0.5) & (self.n >= 5),
+            (self.per_doc(self.exclaims) / n >= 0.2) & (self.n >= 3),
+            (bare / n >= 0.1) & (bare >= 2),
+            (bare >= 2) & (self.n < 4 * (bare + 1)),
+            (self.per_doc(self.same) / pairs >= 0.15) & (self.n >= 6),
+            (self.n >= 20) & (distinct < 2 * np.sqrt(n)),
+            (self.n >= 20) & (1 - new / fives >= 0.4),
+        )
+        return sum((f.astype(np.int64) << k for k, f in enumerate(fired)), np.zeros(self.many, np.int64))
+
+    def features(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Entries (document, bucket, value); values of a kind are shares of its document's words."""
+        share = 1 / np.maximum(self.n, 1)
+        pair = (self.hash[:-1] * _P + self.hash[1:])[self.next]
+        docs = (self.doc, self.doc[:-1][self.next], self.doc, self.doc[:-1][self.same], self.five_doc[~self.five_new])
+        fixed = [np.full(len(d), _bucket(np.zeros(1, np.uint64), kind)[0]) for d, kind in zip(docs[3:], (AGAIN, BEFORE), strict=True)]
+        j = np.concatenate([_bucket(self.hash, WORD), _bucket(pair, PAIR), _bucket(self.shape, SHAPE), *fixed])
+        d = np.concatenate(docs)
+        return d, j, share[d]
+
+
+def _slices(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
+    lo = size = 0
+    for i, t in enumerate(texts):
+        if i > lo and size + len(t) > TOGETHER:
+            yield lo, texts[lo:i]
+            lo, size = i, 0
+        size += len(t)
+    if lo < len(texts):
+        yield lo, texts[lo:]
+
+
+_SEEN = pa.schema([("votes", pa.int32()), ("n", pa.int64()), ("h", pa.int64()), ("j", pa.binary()), ("v", pa.binary())])
 
 
 def _look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words = _Words()
+    """(text, hash, chosen) in; out: how often each vote pattern was seen, and features of chosen documents (each hash once)."""
+    powers, counts, had = _Powers(), Counter(), set()
     for b in batches:
-        pattern, j, v = [], [], []
-        for t in b.column(1):
-            i = words(t.as_py())
-            x = _statistics(i, words.rows)
-            pattern.append(votes(x))
-            f, w = _features(i, words.rows, x)
-            j.append(f.tobytes())
-            v.append(w.tobytes())
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pattern, pa.int32()), pa.array(j, pa.binary()), pa.array(v, pa.binary()), b.column(2)], names=["id", "votes", "j", "v", "digest"])
+        rows = []
+        hashes, chosen = b.column(1).to_pylist(), b.column(2).to_pylist()
+        for lo, part in _slices(b.column(0).to_pylist()):
+            x = _Texts(part, powers)
+            votes = x.votes()
+            counts.update(votes.tolist())
+            wanted = [i for i in range(len(part)) if chosen[lo + i] and x.n[i] <= SAMPLE_WORDS and hashes[lo + i] not in had]
+            if wanted:
+                d, j, v = x.features()
+                for i in wanted:
+                    had.add(hashes[lo + i])
+                    at, where = np.unique(j[d == i], return_inverse=True)
+                    rows.append((int(votes[i]), None, hashes[lo + i], at.astype("<u4").tobytes(), np.bincount(where, v[d == i], len(at)).astype("<f4").tobytes()))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _SEEN, strict=True)], schema=_SEEN)
+    p = list(counts)
+    none = [None] * len(p)
+    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((p, [counts[x] for x in p], none, none, none), _SEEN, strict=True)], schema=_SEEN)
 
 
 def fit_labellers(counts: dict[int, int], rounds: int = EM_ROUNDS) -> dict:
@@ -177,71 +245,104 @@ def fit_labellers(counts: dict[int, int], rounds: int = EM_ROUNDS) -> dict:
     return {"prior": prior, "clean": dict(zip(LABELLERS, clean, strict=True)), "junk": dict(zip(LABELLERS, junk, strict=True)), "posterior": {int(p): float(g) for p, g in zip(patterns, good, strict=True)}}
 
 
-def fit_scorer(rows: list[tuple[bytes, bytes]], target: np.ndarray, epochs: int = EPOCHS) -> np.ndarray:
-    """Weights of a logistic scorer (bias last) on soft targets, by full-batch gradient steps with momentum."""
-    w, m, s = np.zeros(DIM + 1), np.zeros(DIM + 1), np.zeros(DIM + 1)
-    if not rows:
-        return w
-    size = [len(j) // 2 for j, _ in rows]
-    at = np.repeat(np.arange(len(rows)), size)
-    j = np.frombuffer(b"".join(j for j, _ in rows), np.uint16).astype(np.int64)
-    v = np.frombuffer(b"".join(v for _, v in rows), np.float32).astype(float)
-    for k in range(1, epochs + 1):
-        z = np.bincount(at, w[j] * v, len(rows)) + w[-1]
-        e = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - target) / len(rows)
-        g = np.r_[np.bincount(j, e[at] * v, DIM), e.sum()] + 1e-6 * w
-        m, s = 0.9 * m + 0.1 * g, 0.999 * s + 0.001 * g * g
-        w -= 0.1 * (m / (1 - 0.9**k)) / (np.sqrt(s / (1 - 0.999**k)) + 1e-8)
+def fit_scorer(rows: list[tuple[bytes, bytes]], target: np.ndarray, prior: float, epochs: int = EPOCHS) -> np.ndarray:
+    """Weights of a logistic scorer on soft targets, by stochastic gradient steps; the same rows give the same weights.
+
+    The last is the bias; it stays at the prior of clean, which is what a text without known features gets.
+    """
+    w = np.zeros(DIM + 1)
+    w[-1] = np.log(prior / (1 - prior))
+    x = [(np.frombuffer(j, "<u4").astype(np.int64), np.frombuffer(v, "<f4").astype(float)) for j, v in rows]
+    rng = np.random.default_rng(0)
+    for k in range(epochs):
+        step = 4.0 / (1 + k)
+        for i in rng.permutation(len(x)):
+            j, v = x[i]
+            w[j] += step * (target[i] - 1 / (1 + np.exp(-np.clip(w[j] @ v + w[-1], -30, 30)))) * v
     return w
 
 
+class Model:
+    """What the first pass learns: the labellers' rates and the scorer's weights."""
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, sample: int):
+        n = docs.count()
+        h = F.xxhash64(F.col(id_col), F.col(text_col))
+        most = int(-(1 << 63) + min(1.0, 0.95 * sample / max(n, 1)) * (2.0**64 - 2048))
+        rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), h.alias("h"), (h <= most).alias("chosen"))
+        seen = rows.mapInArrow(_look, "votes int, n long, h long, j binary, v binary")
+        counts, chosen = Counter(), {}
+        # patterns are at most 2^labellers for each task, the sample is bounded
+        for r in seen.toLocalIterator():
+            if r.n is not None:
+                counts[r.votes] += r.n
+            elif len(chosen) < 2 * sample:
+                chosen[r.h] = r
+        self.labellers = fit_labellers(counts)
+        took = [chosen[h] for h in sorted(chosen)]
+        posterior = self.labellers["posterior"]
+        self.weights = fit_scorer([(bytes(r.j), bytes(r.v)) for r in took], np.array([posterior[r.votes] for r in took]), self.labellers["prior"])
+
+
+def _score(texts: list[str], weights: np.ndarray, powers: _Powers) -> np.ndarray:
+    """Probability of being clean, a text each."""
+    out = np.zeros(len(texts))
+    for lo, part in _slices(texts):
+        x = _Texts(part, powers)
+        d, j, v = x.features()
+        out[lo : lo + len(part)] = np.bincount(d, weights[j] * v, len(part)) + weights[-1]
+    return 1 / (1 + np.exp(-np.clip(out, -50, 50)))
+
+
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, keep: float = KEEP) -> DataFrame:
-    """One row per input row: id, score (probability of clean), kept, weak_score (posterior of the votes), votes (names).
+    """One row per input row: id, score (probability of clean), kept.
 
-    Null text is as empty; an empty text fires no labeller. Repeated rows count as
-    often as they occur and score alike. Null ids are allowed. An empty table gives
-    an empty result; other columns are ignored.
+    Null text is as empty; a text without words is kept or not by the share of
+    clean documents alone. Repeated rows count as often as they occur and score
+    alike. Null ids are allowed. An empty table gives an empty result; other columns
+    are ignored.
     """
-    return _scored(docs, id_col, text_col, sample, keep, F.lit(None).cast("binary")).drop("digest")
-
-
-def _digest(text_col: str) -> Column:
-    """SHA-256 of the text; null is as empty. Equal texts score alike, so with the id it names rows that stay or go together."""
-    return F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
-
-
-def _scored(docs: DataFrame, id_col: str, text_col: str, sample: int, keep: float, digest: Column) -> DataFrame:
-    """What classify gives, with the digest beside it."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), digest.alias("digest"))
-    kind = rows.schema["id"].dataType.simpleString()
-    looked = scratch.keep(rows.mapInArrow(_look, f"id {kind}, votes int, j binary, v binary, digest binary"), "features")
-    counts = {r.votes: r["count"] for r in looked.groupBy("votes").count().collect()}
-    posterior = fit_labellers(counts)["posterior"]
-    n = sum(counts.values())
-    part = looked
-    if n > sample:
-        least, most = -(1 << 63), int(-(1 << 63) + 2.0**64 * 0.95 * sample / n)
-        part = looked.where(F.xxhash64("id", F.lit("sample")).between(least, most))
-    chosen = part.select("votes", "j", "v").limit(2 * sample).collect()  # repeated ids share their hash, so a bound of its own
-    weights = fit_scorer([(bytes(r.j), bytes(r.v)) for r in chosen], np.array([posterior[r.votes] for r in chosen]))
-    shared = spark.sparkContext.broadcast((weights, posterior))
+    model = Model(docs, id_col, text_col, sample)
+    shared = docs.sparkSession.sparkContext.broadcast(model.weights)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = _Powers()
+        for b in batches:
+            score = _score(b.column(1).to_pylist(), shared.value, powers)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score), pa.array(score >= keep)], names=[id_col, "score", "kept"])
+
+    rows = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, score double, kept boolean")
+
+
+def weak_labels(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: id, votes (names of the labellers that fired), posterior (of clean); without the scorer."""
+    posterior = docs.sparkSession.sparkContext.broadcast(Model(docs, id_col, text_col, 0).labellers["posterior"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, weak = shared.value
+        powers = _Powers()
         for b in batches:
-            z = np.array([w[np.frombuffer(j.as_buffer(), np.uint16)] @ np.frombuffer(v.as_buffer(), np.float32) for j, v in zip(b.column(2), b.column(3), strict=True)]) + w[-1]
-            score = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
-            p = b.column(1).to_pylist()
-            names = [",".join(x for k, x in enumerate(LABELLERS) if y >> k & 1) for y in p]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score), pa.array(score >= keep), pa.array([weak[x] for x in p], pa.float64()), pa.array(names, pa.string()), b.column(4)], names=[id_col, "score", "kept", "weak_score", "votes", "digest"])
+            v = [x for _, part in _slices(b.column(1).to_pylist()) for x in _Texts(part, powers).votes().tolist()]
+            names = [",".join(x for k, x in enumerate(LABELLERS) if y >> k & 1) for y in v]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array([posterior.value[x] for x in v], pa.float64())], names=[id_col, "votes", "posterior"])
 
-    return looked.mapInArrow(run, f"`{id_col}` {kind}, score double, kept boolean, weak_score double, votes string, digest binary")
+    rows = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, votes string, posterior double")
 
 
 def keep_clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, keep: float = KEEP) -> DataFrame:
-    """The rows of docs that the classifier doesn't reject; all columns. Rows are known by id and text, as ids may be null or repeat."""
-    made = _scored(docs, id_col, text_col, sample, keep, _digest(text_col))
-    gone = scratch.keep(made.where(~F.col("kept")).select(F.col(id_col).alias("_gone"), F.col("digest").alias("_text")).distinct(), "rejected")
-    out = docs.withColumn("_digest", _digest(text_col))
-    return out.join(gone, out[id_col].eqNullSafe(gone["_gone"]) & (out["_digest"] == gone["_text"]), "left_anti").select(*docs.columns)
+    """The rows of docs that the classifier doesn't reject; all columns.
+
+    Rows are scored and filtered where they lie, so ids play no part.
+    """
+    model = Model(docs, id_col, text_col, sample)
+    shared = docs.sparkSession.sparkContext.broadcast(model.weights)
+    at = docs.columns.index(next(c for c in docs.columns if c.lower() == text_col.lower()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = _Powers()
+        for b in batches:
+            score = _score([x or "" for x in b.column(at).to_pylist()], shared.value, powers)
+            yield b.filter(pa.array(score >= keep))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -5,22 +5,18 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from rostrum.llm.memo import Memo
+
 WIDTH = 5
-#: Words whose hashes a Python worker keeps; beyond, it starts afresh.
-KEPT_WORDS = 600_000
+#: Bytes of words and their hashes that a task remembers.
+KEPT_WORDS = 24 << 20
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xBF58476D1CE4E5B9)
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KEPT_WORDS:
-            self.clear()
-        got = self[word] = xxhash.xxh64_intdigest(word)
-        return got
-
-
-_words = _Words()
+def word_hashes() -> Memo:
+    """The hashes of words, for one task."""
+    return Memo(xxhash.xxh64_intdigest, KEPT_WORDS)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -30,7 +26,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def shingle_hashes(text: bytes, width: int = WIDTH) -> np.ndarray:
+def shingle_hashes(text: bytes, width: int = WIDTH, known: Memo | None = None) -> np.ndarray:
     """Hashes of the text's word shingles in text order, repeats included.
 
     A-Z are lower-cased; words are [^\\x20\\x09-\\x0D]+, which is how bytes.split()
@@ -38,7 +34,8 @@ def shingle_hashes(text: bytes, width: int = WIDTH) -> np.ndarray:
     """
     words = text.lower().split()
     n = len(words)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, n)
+    known = word_hashes() if known is None else known
+    h = np.fromiter(map(known.__getitem__, words), np.uint64, n)
     if not n:
         return h
     k = min(n, width)
@@ -51,9 +48,9 @@ def shingle_hashes(text: bytes, width: int = WIDTH) -> np.ndarray:
     return _mix(out)
 
 
-def shingle_set(text: bytes, width: int = WIDTH) -> np.ndarray:
+def shingle_set(text: bytes, width: int = WIDTH, known: Memo | None = None) -> np.ndarray:
     """The distinct hashes, ascending."""
-    h = shingle_hashes(text, width)
+    h = shingle_hashes(text, width, known)
     h.sort()
     if len(h) > 1:
         h = h[np.r_[True, h[1:] != h[:-1]]]

@@ -35,8 +35,8 @@ from rostrum.plans import scratch
 END = 2
 #: A block closes with the document that reaches this many ids.
 BLOCK = 1 << 16
-#: White-space-free chunks, and words, that a worker remembers.
-KEPT_CHUNKS = 500_000
+#: White-space-free chunks, and words, that a worker remembers, and the longest of them in bytes.
+KEPT_CHUNKS, LONGEST = 300_000, 48
 
 _BLOCKS = pa.schema([("part", pa.int32()), ("start", pa.int64()), ("docs", pa.binary()), ("lengths", pa.binary()), ("bits", pa.binary()), ("offsets", pa.binary()), ("n", pa.int32())])
 _BLOCKS_SQL = "part int, start long, docs binary, lengths binary, bits binary, offsets binary, n int"
@@ -74,7 +74,8 @@ class _Chunks(dict):
                 got += self.word(chunk[len(core) :].decode())
         else:
             got = self.whole(chunk.decode())
-        self[chunk] = got
+        if len(chunk) <= LONGEST:
+            self[chunk] = got
         return got
 
     def word(self, word: str) -> bytes:
@@ -83,14 +84,16 @@ class _Chunks(dict):
             if len(self.words) >= KEPT_CHUNKS:
                 self.words.clear()
             mapped = word if word.isascii() else "".join(map(self.chars.__getitem__, word.encode()))
-            got = self.words[word] = struct.pack(f"<{len(t := self.bpe.tokenize(mapped))}I", *[x.id for x in t])
+            got = struct.pack(f"<{len(t := self.bpe.tokenize(mapped))}I", *[x.id for x in t])
+            if len(word) <= LONGEST:
+                self.words[word] = got
         return got
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
-@lru_cache(4)
+@lru_cache(1)
 def _chunks(path: str) -> _Chunks:
     return _Chunks(path)
 

@@ -62,3 +62,62 @@ def test_empty_table_and_reruns(spark):
     df = spark.createDataFrame(texts(random.Random(2), 60), SCHEMA)
     a, b = (sorted(map(tuple, quality.classify(d).collect())) for d in (df, df.repartition(5)))
     assert [(r[0], r[2]) for r in a] == [(r[0], r[2]) for r in b]
+
+
+def test_the_query_equals_plain_loops(spark):
+    """Votes, EM and the scorer's features by plain loops over words; the trained scores agree with the weak labels on rows outside the sample."""
+    import re
+    import unicodedata
+
+    rows = texts(random.Random(3), 700)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+    def plain(text):
+        w = text.split()
+        n = len(w)
+        symbol = lambda c: not (unicodedata.category(c)[0] in "LMN" or c.isspace() or c in "_.,;:?!()\"'«»“”‘’…-]")
+        odd = lambda c: symbol(c) or c in "!(«“‘"
+        letters = [sum(unicodedata.category(c)[0] in "LM" for c in x) for x in w]
+        spoken = [x for x, k in zip(w, letters, strict=True) if k > 1]
+        bare = sum(not any(c.isalnum() for c in x) for x in w)
+        fives = [tuple(w[i : i + 5]) for i in range(n - 4)]
+        return (
+            sum(len(x) > 1 and odd(x[-1]) and odd(x[-2]) for x in w) >= 0.2 * max(n, 1),
+            sum(map(symbol, "".join(w))) >= 0.08 * max(1, len("".join(w))),
+            n >= 5 and sum(all(c.isupper() for c in x if c.isalpha()) for x in spoken) >= 0.5 * max(1, len(spoken)),
+            n >= 3 and sum(x.endswith("!!") for x in w) >= 0.2 * n,
+            bare >= 2 and bare >= 0.1 * n,
+            bare >= 2 and n < 4 * (bare + 1),
+            n >= 6 and sum(a == b for a, b in zip(w, w[1:], strict=False)) >= 0.15 * (n - 1),
+            n >= 20 and len(set(w)) < 2 * n**0.5,
+            n >= 20 and 1 - len(set(fives)) / len(fives) >= 0.4,
+        )
+
+    fired = np.array([plain(t) for _, t, _ in rows])
+    prior, good = 0.8, np.zeros(len(rows))
+    clean, junk = [0.02] * 9, [0.33] * 9
+    for _ in range(quality.EM_ROUNDS):
+        for i, f in enumerate(fired):
+            a, b = prior, 1 - prior
+            for k in range(9):
+                a *= clean[k] if f[k] else 1 - clean[k]
+                b *= junk[k] if f[k] else 1 - junk[k]
+            good[i] = a / (a + b)
+        prior = min(0.99, max(0.01, good.mean()))
+        for k in range(9):
+            clean[k] = min(0.2, max(1e-4, (sum(good[fired[:, k]]) + 0.02) / (good.sum() + 1)))
+            junk[k] = min(0.999, max(0.02, clean[k], (sum(1 - good[fired[:, k]]) + 0.33) / ((1 - good).sum() + 1)))
+    weak = {r.doc_id: r for r in quality.weak_labels(df).collect()}
+    for i, (d, *_) in enumerate(rows):
+        assert weak[d].votes == ",".join(x for x, f in zip(quality.LABELLERS, fired[i], strict=True) if f)
+        assert abs(weak[d].posterior - good[i]) < 1e-6
+    got = {r.doc_id: r.kept for r in quality.classify(df, sample=300).collect()}
+    assert np.mean([got[d] == (weak[d].posterior >= 0.5) for d, *_ in rows]) > 0.98  # more than half of them outside the sample
+
+    x = quality._Texts(["Ab ab ab c1! ÉÀ-x 12"], quality._Powers())
+    d, j, v = x.features()
+    assert len(j) == 6 + 5 + 6 + 1 and abs(v - 1 / 6).max() < 1e-9 and not d.any()
+    assert len(set(j[:6])) == 5 and len(set(j[6:11])) == 5
+    run = lambda w: re.sub(r"(a)a+|(A)A+|(0)0+", r"\1\2\3", "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in w))
+    forms = [run(w) for w in "Ab ab ab c1! ÉÀ-x 12".split()]
+    assert [forms[a] == forms[b] for a in range(6) for b in range(6)] == [j[11 + a] == j[11 + b] for a in range(6) for b in range(6)]
