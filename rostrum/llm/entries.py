@@ -26,7 +26,7 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    to = scratch.path(spark, "tokens")
+    to = scratch.path(spark, "tokens")  # the token files are what this query makes; they stay
     token_files.write(_table(spark, sf_dir, "documents"), to, public_tokenizers.path("word_bpe_49k.json"))
     return token_files.summary(spark, to)
 

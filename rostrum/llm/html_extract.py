@@ -287,7 +287,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     rows = pages.select("page_id", "url", host.alias("host"), F.coalesce("html", F.lit("")).alias("html"))
-    made = scratch.keep(templates(rows.select(F.xxhash64("page_id", "url", F.crc32(F.col("html").cast("binary"))).alias("key"), "host", "html")), "templates")
+    made = scratch.settle(pages.sparkSession, lambda: templates(rows.select(F.xxhash64("page_id", "url", F.crc32(F.col("html").cast("binary"))).alias("key"), "host", "html")), "templates")
     met = F.broadcast(made) if made.count() <= BROADCAST_HOSTS else made
     out = rows.join(met, "host", "left").select("page_id", "url", "html", "slots", "menus", "fixed")
     kind = rows.schema["page_id"].dataType.simpleString()

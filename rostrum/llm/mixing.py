@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rostrum.llm.rows import free
 from rostrum.plans import scratch
 
 WEIGHTS = (5, 2, 1)
@@ -60,8 +61,11 @@ def targets(sizes: DataFrame, weights=WEIGHTS, percent: int = PERCENT, most: int
 
 
 def _with(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
-    """left with the columns of right, which has one row a source; null is a source."""
-    return left.join(F.broadcast(right.withColumnRenamed("source", "_s")), F.expr("source <=> _s"), how).drop("_s")
+    """left with the columns of right, which has one row a source; null is a source.
+
+    Spark broadcasts right while its size is under its threshold, and shuffles beyond.
+    """
+    return left.join(right.withColumnRenamed("source", "_s"), F.expr("source <=> _s"), how).drop("_s")
 
 
 def _threshold(rows: DataFrame, budgets: DataFrame) -> DataFrame:
@@ -87,46 +91,73 @@ def _threshold(rows: DataFrame, budgets: DataFrame) -> DataFrame:
             return scratch.keep(found, "thresholds")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, percent: int = PERCENT, most: int = MOST, rounds: int = ROUNDS) -> DataFrame:
-    """One row per input row: id, source, size, source_size, target, taken, copies.
-
-    A document is taken 0 to `most` times whole; taken = copies*size. Null text
-    has size 0, null is a source of its own, and documents without words are taken
-    as often as their source is repeated whole. Rows that repeat an id share its
-    hash and are taken alike. An empty table gives an empty result.
-    """
-    rows = docs.select(F.col(id_col), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), id_hash(F.col(id_col)).alias("h"))
-    rows = scratch.keep(rows, "sizes")
+def _cuts(rows: DataFrame, weights, percent: int, most: int, rounds: int) -> DataFrame:
+    """From (source, size, h): per source its size, target, whole copies, and each round's budget b and threshold t."""
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = targets(sizes, weights, percent, most)
     whole = F.when(F.col("source_size") == 0, F.lit(0)).otherwise(F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(most))).cast("long")
     plan = scratch.keep(plan.withColumn("whole", whole).withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size")), "targets")
     # rows that may still be taken once more, and what their source may still take
     left, budgets = rows, plan.select("source", "budget")
-    cuts = []
-    for _ in range(rounds):
+    cuts = plan.drop("budget")
+    for k in range(rounds):
         fit = _with(left, budgets).where((F.col("size") > 0) & (F.col("size") <= F.col("budget"))).select("source", "size", "h")
         cut = _with(budgets, _threshold(fit, budgets), "left").select("source", "budget", F.coalesce("threshold", F.lit(1 << BITS)).alias("threshold"))
-        cuts.append(cut)
+        cuts = _with(cuts, cut.select("source", F.col("budget").alias(f"b{k}"), F.col("threshold").alias(f"t{k}")))
         took = _with(fit, cut).where(F.col("h") < F.col("threshold")).groupBy("source").agg(F.sum("size").alias("took"))
         budgets = scratch.keep(_with(cut, took, "left").select("source", (F.col("budget") - F.coalesce("took", F.lit(0))).alias("budget")), "budgets")
         left = _with(left, cut).where((F.col("size") > F.col("budget")) | (F.col("h") >= F.col("threshold"))).select(*rows.columns)
-    out = _with(rows, plan.drop("budget"))
+    return cuts
+
+
+def _copies(size: Column, h: Column, rounds: int, cut: str = "") -> Column:
+    """How often a document is taken, by its source's cuts beside it."""
     once_more = F.lit(False)
-    for k, cut in enumerate(cuts):
-        out = _with(out, cut.select("source", F.col("budget").alias(f"b{k}"), F.col("threshold").alias(f"t{k}")))
-        once_more = once_more | ((F.col("size") > 0) & (F.col("size") <= F.col(f"b{k}")) & (F.col("h") < F.col(f"t{k}")))
-    out = out.withColumn("copies", F.col("whole") + once_more.cast("long"))
-    return out.select(id_col, "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
-
-
-def take(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: every row of docs as many times as mix() takes it."""
-    id_col = options.get("id_col", "doc_id")
-    made = mix(docs, **options)
-    copies = scratch.keep(made.groupBy(F.col(id_col).alias("_id")).agg(F.max("copies").alias("_copies")).where("_copies > 0"), "copies")
-    out = docs.join(copies, docs[id_col].eqNullSafe(copies["_id"]))
-    return out.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    for k in range(rounds):
+        once_more = once_more | ((size > 0) & (size <= F.col(f"{cut}b{k}")) & (h < F.col(f"{cut}t{k}")))
+    return F.col(f"{cut}whole") + once_more.cast("long")
+
+
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    return docs.select(F.col(id_col), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), id_hash(F.col(id_col)).alias("h"))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, percent: int = PERCENT, most: int = MOST, rounds: int = ROUNDS) -> DataFrame:
+    """One row per input row: id, source, size, source_size, target, taken, copies.
+
+    A document is taken 0 to `most` times whole; taken = copies*size. Null text
+    has size 0, null is a source of its own, and documents without words are taken
+    as often as their source is repeated whole. Rows that repeat an id share its
+    hash; of the same size and source, they are taken alike. An empty table gives an
+    empty result.
+    """
+
+    def made() -> DataFrame:
+        rows = scratch.keep(_sized(docs, id_col, text_col, source_col), "sizes")
+        out = _with(rows, scratch.keep(_cuts(rows, weights, percent, most, rounds), "cuts")).withColumn("copies", _copies(F.col("size"), F.col("h"), rounds))
+        return out.select(id_col, "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+
+    return scratch.settle(docs.sparkSession, made, "mix")
+
+
+def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, percent: int = PERCENT, most: int = MOST, rounds: int = ROUNDS) -> DataFrame:
+    """The mix itself: every row of docs as many times as mix() takes it, with all its columns.
+
+    How often follows from a row's own id, source and size, and its source's cuts,
+    so rows are filtered and repeated where they lie.
+    """
+
+    def made() -> DataFrame:
+        rows = scratch.keep(_sized(docs, id_col, text_col, source_col), "sizes")
+        return _cuts(rows, weights, percent, most, rounds)
+
+    cuts = scratch.settle(docs.sparkSession, made, "cuts")
+    cut, n = free(docs, "cut"), free(docs, "copy_number")
+    one = cuts.select(F.col("source").alias(free(docs, "cut_source")), F.struct(*[c for c in cuts.columns if c != "source"]).alias(cut))
+    met = docs.join(one, docs[source_col].eqNullSafe(one[one.columns[0]]))
+    copies = _copies(n_words(F.col(text_col)), id_hash(F.col(id_col)), rounds, f"{cut}.")
+    met = met.withColumn(n, copies.cast("int")).where(F.col(n) > 0)
+    return met.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)
 
 
 ORACLE = """

@@ -16,9 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rostrum.llm.mixing import id_hash
+from rostrum.llm.rows import free
 from rostrum.plans import scratch
 
-LIMIT_BYTES = 1 << 20
+LIMIT_BYTES = 256 << 20
 BITS = 60
 #: Bits that a round after the first may add.
 STEP = 6
@@ -42,8 +43,14 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limi
     number, so no shard is left too large. A null id hashes as empty text. An
     empty table gives an empty result; the root shard's name is empty.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col), F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("bytes"), id_hash(F.col(id_col)).alias("h"), F.monotonically_increasing_id().alias("row"))
+    made = lambda: _assign(docs, id_col, text_col, limit_bytes, []).withColumnRenamed("id", id_col)
+    return scratch.settle(docs.sparkSession, made, "shards")
+
+
+def _assign(docs: DataFrame, id_col: str, text_col: str, limit_bytes: int, carried: list) -> DataFrame:
+    """What assign gives, with the carried columns of docs in a struct `row_of_docs` if there are any."""
+    cols = ["row_of_docs"] if carried else []
+    rows = docs.select(F.col(id_col).alias("id"), F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("bytes"), id_hash(F.col(id_col)).alias("h"), F.monotonically_increasing_id().alias("row"), *([F.struct(*carried).alias(cols[0])] if carried else []))
     rows = scratch.keep(rows, "bytes")
     total = rows.agg(F.sum("bytes")).first()[0] or 0
     low, high = 0, min(BITS, max(1, math.ceil(math.log2(max(2, total / limit_bytes))) + 2))
@@ -54,7 +61,7 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limi
         fit = scratch.keep(_leaves(cells, low, high, limit_bytes), "directory")
         here = left.withColumn("cell", cell)
         name = F.concat("name", F.when(F.col("depth") == 0, "").otherwise(F.lpad(F.conv(F.col("part").cast("string"), 10, 2), F.col("depth"), "0")))
-        done.append(here.join(fit, "cell").select(id_col, "bytes", name.alias("shard"), (F.col("depth") + base).alias("depth"), "shard_bytes", "shard_docs"))
+        done.append(here.join(fit, "cell").select("id", "bytes", name.alias("shard"), (F.col("depth") + base).alias("depth"), "shard_bytes", "shard_docs", *cols))
         over = scratch.keep(here.join(fit, "cell", "left_anti").drop("cell"), "oversized")
         if not over.limit(1).count():
             out = done[0]
@@ -65,8 +72,8 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limi
             if base:
                 raise ValueError("row hashes collide")
             whole = F.lpad(F.conv(F.col("h").cast("string"), 10, 2), BITS, "0")
-            over = scratch.keep(over.select(id_col, "bytes", id_hash(F.col("row")).alias("h"), "row", whole.alias("name"), F.col("h").alias("id_hash")), "repeats")
-            return _union(done, _rows_of_one_id(over, id_col, limit_bytes))
+            over = scratch.keep(over.select("id", "bytes", id_hash(F.col("row")).alias("h"), "row", whole.alias("name"), F.col("h").alias("id_hash"), *cols), "repeats")
+            return _union(done, _rows_of_one_id(over, cols, limit_bytes))
         left, low, high = over, high + 1, min(BITS, high + STEP)
 
 
@@ -76,7 +83,7 @@ def _union(parts: list[DataFrame], last: DataFrame) -> DataFrame:
     return last
 
 
-def _rows_of_one_id(rows: DataFrame, id_col: str, limit: int) -> DataFrame:
+def _rows_of_one_id(rows: DataFrame, cols: list[str], limit: int) -> DataFrame:
     """The same splitting within each 60-bit bucket, on the bits of the row's hash; a level per bit, as ids seldom repeat so."""
     left, parts = rows, []
     for depth in range(1, BITS + 1):
@@ -84,20 +91,26 @@ def _rows_of_one_id(rows: DataFrame, id_col: str, limit: int) -> DataFrame:
         sums = left.groupBy("id_hash", "part").agg(F.sum("bytes").alias("shard_bytes"), F.count("*").alias("shard_docs"))
         fit = scratch.keep(sums.where((F.col("shard_bytes") <= limit) | (F.col("shard_docs") == 1)), "directory")
         bits = F.lpad(F.conv(F.col("part").cast("string"), 10, 2), depth, "0")
-        parts.append(left.join(fit, ["id_hash", "part"]).select(id_col, "bytes", F.concat("name", bits).alias("shard"), F.lit(BITS + depth).alias("depth"), "shard_bytes", "shard_docs"))
+        parts.append(left.join(fit, ["id_hash", "part"]).select("id", "bytes", F.concat("name", bits).alias("shard"), F.lit(BITS + depth).alias("depth"), "shard_bytes", "shard_docs", *cols))
         left = scratch.keep(left.join(fit, ["id_hash", "part"], "left_anti").drop("part"), "oversized")
         if not left.limit(1).count():
             break
     return _union(parts[:-1], parts[-1])
 
 
-def write(docs: DataFrame, to: str, **options) -> DataFrame:
-    """Write the shards as folders shard=<name> under `to`; returns the assignment."""
-    id_col = options.get("id_col", "doc_id")
-    made = scratch.keep(assign(docs, **options), "shards")
-    ids = made.select(F.col(id_col).alias("_id"), "shard").distinct()
-    docs.join(ids, docs[id_col].eqNullSafe(ids["_id"])).drop("_id").repartition("shard").write.partitionBy("shard").parquet(to)
-    return made
+def write(docs: DataFrame, to: str, id_col: str = "doc_id", text_col: str = "text", limit_bytes: int = LIMIT_BYTES) -> DataFrame:
+    """Write the rows of docs, with all columns, as folders shard=<name> under `to`; returns shard, depth, shard_bytes, shard_docs.
+
+    A row is carried through its assignment, so ids may be null or repeat. If docs
+    has a column `shard`, the folders' column is `shard_`, and so on.
+    """
+    spark = docs.sparkSession
+    made = scratch.settle(spark, lambda: _assign(docs, id_col, text_col, limit_bytes, docs.columns), "shards")
+    name = free(docs, "shard")
+    made.select("row_of_docs.*", F.col("shard").alias(name)).repartition(name).write.partitionBy(name).parquet(to)
+    out = scratch.keep(made.select("shard", "depth", "shard_bytes", "shard_docs").distinct(), "directory")
+    scratch.drop(made)
+    return out
 
 
 ORACLE = f"""

@@ -10,9 +10,10 @@ from collections import Counter
 import corpus_pipeline
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from rostrum.llm import jaccard_join, mixing, quality
+from rostrum.llm import exact_dedup, jaccard_join, mixing, quality, sharding
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -78,8 +79,57 @@ def test_clean_rows_stay_beside_others_of_their_id(spark):
     got = quality.keep_clean(df)
     assert got.columns == df.columns and sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted(clean, key=repr)
 
-    text = w(80)
-    rows = [(1, text), (5, text + " end"), (5, w(80)), (None, w(80))]
-    df = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], SCHEMA)
-    got = jaccard_join.keep_one(df)
-    assert got.columns == df.columns and sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted([rows[0], *rows[2:]], key=repr)
+
+def test_near_copies_go_by_row(spark):
+    rng = random.Random(7)
+    w = lambda n: " ".join(f"w{rng.randrange(9999)}" for _ in range(n))
+    text, other, third = w(80), w(80), w(80)
+    rows = [(1, text), (5, text + " end"), (5, w(80)), (None, w(80)), (None, other), (None, other + " end"), (9, third), (9, third), (8, ""), (8, None), (None, " ")]
+    df = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], SCHEMA).repartition(3)
+    got = Counter((r.doc_id, r.text) for r in jaccard_join.keep_one(df).collect())
+    pair = [(None, other), (None, other + " end")]
+    assert sum(got[x] for x in pair) == 1  # of two rows without id one stays
+    assert got - Counter(pair) == Counter([rows[0], rows[2], rows[3], (9, third), *rows[8:]])
+
+
+NAMES = ["_n", "_digest", "shard", "_gone", "row_key", "CUT", "copy_number", "size", "key", "h"]
+
+
+def odd_rows():
+    """Null and repeated ids, repeated rows, copies and odd texts, under names that clash with those inside the operators."""
+    rng = random.Random(8)
+    w = lambda n: " ".join(f"w{rng.randrange(9999)}" for _ in range(n))
+    texts = [w(rng.randrange(1, 60)) for _ in range(30)]
+    rows = [(rng.choice([None, *range(25)]), rng.choice([t, t, t.replace(" ", "  "), t + " ", t + " end"]), f"s{k % 3}") for k, t in enumerate(texts * 3)]
+    return rows + [(3, None, None), (3, "", "s0"), (None, None, "s1"), (4, "x" * 50_000, "s1"), (4, "long " * 30_000, "s2"), rows[0], rows[0]]
+
+
+def test_stages_with_null_and_repeated_ids_and_clashing_names(spark, tmp_path):
+    rows = odd_rows()
+    schema = "doc_id long, text string, source string, " + ", ".join(f"{c} string" for c in NAMES)
+    df = spark.createDataFrame([(*r, *[f"{c}{k % 4}" for c in NAMES]) for k, r in enumerate(rows)], schema).repartition(3)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, df, "").columns == df.columns
+        empty = stage(spark, spark.createDataFrame([], schema), "")
+        assert empty.columns == df.columns and empty.count() == 0
+    strip = lambda t: re.sub(r"[ \t-\r]", "", t or "")
+    best = {}
+    for d, t, _ in rows:
+        k = strip(t)
+        best[k] = min(best.get(k, (0, True, 1 << 60)), (-len(t or ""), d is None, d or 0))
+    got = {}
+    for r in exact_dedup.drop_copies(df).collect():
+        assert strip(r.text) not in got
+        got[strip(r.text)] = (-len(r.text or ""), r.doc_id is None, r.doc_id or 0)
+    assert got == best
+    key = lambda d, t, s: (d, t or "", s)
+    want = Counter()
+    for r in mixing.mix(df.select("doc_id", "text", "source", F.monotonically_increasing_id().alias("n"))).collect():
+        want[r.doc_id, r["size"], r.source] += r.copies
+    took = Counter((r.doc_id, len((r.text or "").split()), r.source) for r in mixing.take(df).collect())
+    assert took == +want
+    sharding.write(df, str(tmp_path / "out"), limit_bytes=4000)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert Counter(key(*r[:3]) for r in back.select("doc_id", "text", "source").collect()) == Counter(key(*r) for r in rows)
+    assert set(back.columns) - set(df.columns) == {"shard_"} and back.where("shard is null").count() == 0
+    assert len(corpus_pipeline.STAGES[-1][1](spark, df, "").collect()) == len(rows)
