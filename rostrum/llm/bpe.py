@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from rostrum.llm.memo import Memo
 
 #: Bytes of pieces, and number of pairs of tokens (some 100 bytes each), that a task remembers.
-KEPT_PIECES, KEPT_PAIRS = 24 << 20, 100_000
+KEPT_PIECES, KEPT_PAIRS = 40 << 20, 100_000
 
 # Fixed value: the pattern by which byte-level BPE vocabularies cut a text into pieces.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"

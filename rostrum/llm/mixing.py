@@ -68,46 +68,54 @@ def _with(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
     return left.join(right.withColumnRenamed("source", "_s"), F.expr("source <=> _s"), how).drop("_s")
 
 
-def _threshold(rows: DataFrame, budgets: DataFrame) -> DataFrame:
-    """From rows (source, size, h) and budgets (source, budget): the hash below which a source's rows fit its budget.
+def _cuts(rows: DataFrame, weights, percent: int, most: int, rounds: int) -> DataFrame:
+    """From (source, size, h): per source its size, target, whole copies, and each round's budget b and threshold t.
 
-    A null threshold means that all fit.
+    One table of a row a source is carried from level to level: with its cuts so
+    far, and while its boundary bucket is sought, that bucket's prefix and the words before it.
     """
-    low, found = 0, None
-    edge = budgets.select("source", "budget", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("base"))
-    while True:
-        shift = BITS - low - STEP
-        inside = _with(rows, edge).where(F.shiftright("h", BITS - low) == F.col("prefix"))
-        cells = inside.withColumn("prefix", F.shiftright("h", shift)).groupBy("source", "budget", "base", "prefix").agg(F.sum("size").alias("words"), F.min("h").alias("first"), F.max("h").alias("last"))
-        upto = Window.partitionBy("source").orderBy("prefix")
-        cells = cells.withColumn("upto", F.sum("words").over(upto) + F.col("base")).where(F.col("upto") > F.col("budget"))
-        over = cells.groupBy("source", "budget").agg(F.min(F.struct("prefix", (F.col("upto") - F.col("words")).alias("base"), "first", "last")).alias("x")).select("source", "budget", "x.*")
-        over = scratch.keep(over, "edges")
-        low += STEP
-        done = over.where((F.col("first") == F.col("last")) | F.lit(low >= BITS)).select("source", F.col("first").alias("threshold"))
-        found = done if found is None else found.unionByName(done)
-        edge = over.where(F.col("first") != F.col("last")).select("source", "budget", "prefix", "base")
-        if low >= BITS or not edge.limit(1).count():
-            return scratch.keep(found, "thresholds")
-
-
-def _cuts(rows: DataFrame, weights, percent: int, most: int, rounds: int) -> DataFrame:
-    """From (source, size, h): per source its size, target, whole copies, and each round's budget b and threshold t."""
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    plan = targets(sizes, weights, percent, most)
     whole = F.when(F.col("source_size") == 0, F.lit(0)).otherwise(F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(most))).cast("long")
-    plan = scratch.keep(plan.withColumn("whole", whole).withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size")), "targets")
-    # rows that may still be taken once more, and what their source may still take
-    left, budgets = rows, plan.select("source", "budget")
-    cuts = plan.drop("budget")
+    state = targets(sizes, weights, percent, most).withColumn("whole", whole).withColumn("b0", F.col("target") - F.col("whole") * F.col("source_size"))
+    state = scratch.keep(state, "cuts")
     for k in range(rounds):
-        fit = _with(left, budgets).where((F.col("size") > 0) & (F.col("size") <= F.col("budget"))).select("source", "size", "h")
-        cut = _with(budgets, _threshold(fit, budgets), "left").select("source", "budget", F.coalesce("threshold", F.lit(1 << BITS)).alias("threshold"))
-        cuts = _with(cuts, cut.select("source", F.col("budget").alias(f"b{k}"), F.col("threshold").alias(f"t{k}")))
-        took = _with(fit, cut).where(F.col("h") < F.col("threshold")).groupBy("source").agg(F.sum("size").alias("took"))
-        budgets = scratch.keep(_with(cut, took, "left").select("source", (F.col("budget") - F.coalesce("took", F.lit(0))).alias("budget")), "budgets")
-        left = _with(left, cut).where((F.col("size") > F.col("budget")) | (F.col("h") >= F.col("threshold"))).select(*rows.columns)
-    return cuts
+        state = _search(rows, state, k)
+        if k + 1 < rounds:
+            state = state.withColumn(f"b{k + 1}", F.col(f"b{k}") - F.col("took"))
+        state = state.drop("took")
+    return state
+
+
+def _search(rows: DataFrame, state: DataFrame, k: int) -> DataFrame:
+    """state with t (the hash below which what is left of a source fits its budget b; 2^BITS: all of it) and took (the words below it)."""
+    b, t = F.col(f"b{k}"), f"t{k}"
+    left = F.lit(True)  # not taken by an earlier cut
+    for i in range(k):
+        left = left & ~((F.col("size") <= F.col(f"b{i}")) & (F.col("h") < F.col(f"t{i}")))
+    fits = (F.col("size") > 0) & (F.col("size") <= b) & left
+    state = state.withColumn("prefix", F.lit(0).cast("long")).withColumn("base", F.lit(0).cast("long")).withColumn(t, F.lit(None).cast("long")).withColumn("took", F.lit(0).cast("long"))
+    cols = state.columns
+    for low in range(0, BITS, STEP):
+        open_ = state.where(F.col(t).isNull())
+        inside = _with(rows, open_).where(fits & (F.shiftright("h", BITS - low) == F.col("prefix")))
+        cells = inside.groupBy("source", b.alias("budget"), "base", F.shiftright("h", BITS - low - STEP).alias("cell")).agg(F.sum("size").alias("words"), F.min("h").alias("first"), F.max("h").alias("last"))
+        upto = F.sum("words").over(Window.partitionBy("source").orderBy("cell")) + F.col("base")
+        cells = cells.withColumn("upto", upto)
+        edge = F.min(F.when(F.col("upto") > F.col("budget"), F.struct("cell", (F.col("upto") - F.col("words")).alias("before"), "first", "last")))
+        found = cells.groupBy("source").agg(edge.alias("edge"), F.sum("words").alias("all_words"))
+        met = _with(state, found, "left")
+        new = F.col(t).isNull()
+        single = (F.col("edge.first") == F.col("edge.last")) | F.lit(low + STEP >= BITS)
+        fresh = {
+            t: F.when(new & F.col("edge").isNull(), F.lit(1 << BITS)).when(new & single, F.col("edge.first")).otherwise(F.col(t)),
+            "took": F.when(new & F.col("edge").isNull(), F.coalesce("all_words", F.lit(0))).when(new & single, F.col("edge.before")).otherwise(F.col("took")),
+            "prefix": F.when(new, F.col("edge.cell")).otherwise(F.col("prefix")),
+            "base": F.when(new, F.col("edge.before")).otherwise(F.col("base")),
+        }
+        state = scratch.keep(met.select(*[fresh.get(c, F.col(c)).alias(c) for c in cols]), "cuts")
+        if not state.where(F.col(t).isNull()).limit(1).count():
+            break
+    return state.drop("prefix", "base")
 
 
 def _copies(size: Column, h: Column, rounds: int, cut: str = "") -> Column:

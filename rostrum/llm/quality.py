@@ -26,8 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rostrum.plans import scratch
+
 #: Documents that the scorer is trained on at most, chosen by a hash of id and text, and the most words of one of them.
-SAMPLE, SAMPLE_WORDS = 8_000, 2_000
+SAMPLE, SAMPLE_WORDS = 4_000, 1_000
 BITS = 18
 DIM = 1 << BITS
 #: A document is kept from this score (probability of being clean) on.
@@ -252,7 +254,7 @@ def fit_scorer(rows: list[tuple[bytes, bytes]], target: np.ndarray, prior: float
     """
     w = np.zeros(DIM + 1)
     w[-1] = np.log(prior / (1 - prior))
-    x = [(np.frombuffer(j, "<u4").astype(np.int64), np.frombuffer(v, "<f4").astype(float)) for j, v in rows]
+    x = [(np.frombuffer(j, "<u4"), np.frombuffer(v, "<f4")) for j, v in rows]
     rng = np.random.default_rng(0)
     for k in range(epochs):
         step = 4.0 / (1 + k)
@@ -270,18 +272,14 @@ class Model:
         h = F.xxhash64(F.col(id_col), F.col(text_col))
         most = int(-(1 << 63) + min(1.0, 0.95 * sample / max(n, 1)) * (2.0**64 - 2048))
         rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), h.alias("h"), (h <= most).alias("chosen"))
-        seen = rows.mapInArrow(_look, "votes int, n long, h long, j binary, v binary")
-        counts, chosen = Counter(), {}
-        # patterns are at most 2^labellers for each task, the sample is bounded
-        for r in seen.toLocalIterator():
-            if r.n is not None:
-                counts[r.votes] += r.n
-            elif len(chosen) < 2 * sample:
-                chosen[r.h] = r
-        self.labellers = fit_labellers(counts)
-        took = [chosen[h] for h in sorted(chosen)]
+        seen = scratch.keep(rows.mapInArrow(_look, "votes int, n long, h long, j binary, v binary"), "votes")
+        # at most 2^labellers rows, and at most the sample
+        self.labellers = fit_labellers({r.votes: r.n for r in seen.where("n is not null").groupBy("votes").agg(F.sum("n").alias("n")).collect()})
+        took = seen.where("n is null").dropDuplicates(["h"]).sort("h").limit(sample).select("votes", "j", "v").toArrow()
         posterior = self.labellers["posterior"]
-        self.weights = fit_scorer([(bytes(r.j), bytes(r.v)) for r in took], np.array([posterior[r.votes] for r in took]), self.labellers["prior"])
+        target = np.array([posterior[x] for x in took["votes"].to_pylist()])
+        self.weights = fit_scorer([(j.as_buffer(), v.as_buffer()) for j, v in zip(took["j"], took["v"], strict=True)], target, self.labellers["prior"])
+        scratch.drop(seen)
 
 
 def _score(texts: list[str], weights: np.ndarray, powers: _Powers) -> np.ndarray:
