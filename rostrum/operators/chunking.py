@@ -18,13 +18,22 @@ def by_pause(words: DataFrame, pause_ms: int = PAUSE_MS) -> DataFrame:
     return x.groupBy("session_id", "chunk").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.count("*").alias("n_words"))
 
 
-def chunks(words: DataFrame) -> DataFrame:
+def sentence_buckets(words: DataFrame) -> DataFrame:
+    """Words with the number of their sentence (bucket, from 0): a word that ends with .!?… or 。, quotes behind it or not, is its last."""
+    ends = F.col("word").rlike(r"[.!?…。][\"'”’)\]]*$").cast("int")
+    w = Window.partitionBy("session_id").orderBy("word_idx").rowsBetween(Window.unboundedPreceding, -1)
+    return words.withColumn("bucket", F.coalesce(F.sum(ends).over(w), F.lit(0)))
+
+
+def chunks(words: DataFrame, by_sentence: bool = False) -> DataFrame:
     """Chunks by pause, duration and number of words; then short ones join the one before, and short ends their neighbours.
 
     The last two limits start afresh at each cut, so a talk's words are folded in
-    order; a talk is one row meanwhile, of some thousand words.
+    order; a talk is one row meanwhile, of some thousand words. With by_sentence,
+    chunks also end with their sentence before short ones are joined.
     """
-    talk = words.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("word_idx", F.col("start_ms").cast("long").alias("a"), F.col("end_ms").cast("long").alias("b")))).alias("w"))
+    words = sentence_buckets(words) if by_sentence else words.withColumn("bucket", F.lit(0))
+    talk = words.groupBy("session_id", "bucket").agg(F.array_sort(F.collect_list(F.struct("word_idx", F.col("start_ms").cast("long").alias("a"), F.col("end_ms").cast("long").alias("b")))).alias("w"))
     none = F.array().cast("array<struct<a:bigint,b:bigint,n:bigint>>")
     chunk = lambda a, b, n: F.struct(a.alias("a"), b.alias("b"), n.cast("long").alias("n"))
     but_last = lambda x: F.slice(x, F.lit(1), F.size(x) - 1)
@@ -40,7 +49,8 @@ def chunks(words: DataFrame) -> DataFrame:
         short = ((x["b"] - x["a"] < SHORT_MS) | (x["n"] < SHORT_WORDS)) & (c["b"] - c["a"] < 1.5 * MOST_MS)
         return F.when((F.size(done) == 0) | ~short, F.concat(done, F.array(x))).otherwise(F.concat(but_last(done), F.array(chunk(c["a"], x["b"], c["n"] + x["n"]))))
 
-    c = talk.withColumn("c", F.aggregate("w", none, add)).withColumn("c", F.aggregate("c", none, join))
+    c = talk.withColumn("c", F.aggregate("w", none, add)).groupBy("session_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "c"))), lambda x: x["c"])).alias("c"))
+    c = c.withColumn("c", F.aggregate("c", none, join))
     one, two = F.element_at("c", 1), F.element_at("c", 2)
     brief = lambda x: x["b"] - x["a"] < EDGE_MS
     c = c.withColumn("c", F.when((F.size("c") > 1) & brief(one), F.concat(F.array(chunk(one["a"], two["b"], one["n"] + two["n"])), F.slice("c", F.lit(3), F.greatest(F.size("c") - 2, F.lit(0))))).otherwise(F.col("c")))
@@ -73,10 +83,42 @@ def cues(words: DataFrame, titles: DataFrame, within: int = 6, least: int = 2) -
     return j.where(F.size(F.array_intersect("tokens", "near")) >= least).groupBy("session_id", "slide_id").agg(F.min("start_ms").alias("start_ms"))
 
 
-def refine(boundaries: DataFrame, cue_rows: DataFrame, reach_ms: int = 8000) -> DataFrame:
-    """Boundaries (session, slide, at) moved to a nearby cue, never before the one before or behind the next."""
-    w = Window.partitionBy("session_id").orderBy("slide_id")
-    j = boundaries.join(cue_rows.withColumnRenamed("start_ms", "cue"), ["session_id", "slide_id"], "left")
-    to = F.when(F.abs(F.col("cue") - F.col("at")) <= reach_ms, F.col("cue")).otherwise(F.col("at"))
-    j = j.withColumn("to", F.least(to, F.coalesce(F.lead("at").over(w), to)))
-    return j.select("session_id", "slide_id", F.max("to").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("at"))
+def refine(bounds: DataFrame, assigned: DataFrame, unit_words: DataFrame, titles: DataFrame, least_sec: float = 1.0, units: int = 4, within: int = 6, intro: str = "소개") -> DataFrame:
+    """Boundaries moved to where the next slide's title is said.
+
+    bounds: (session, b), starts of all slides and the end; assigned: (session, unit_id,
+    slide_id, start_sec); unit_words: (session, unit_id, word_idx, token, start_sec), tokens lower-case;
+    titles: (session, slide_id, title, tokens in order). A slide's boundary unit is the first on it
+    or a later one. Within its run, the first `units` units are searched for the title's first token
+    with the second among `within` words of the unit; a title with `intro` is also met by its first token alone. The start found
+    replaces the boundary if it is least_sec behind the unit's start, between the slide's
+    neighbours; a talk of more than two slides keeps its last boundary.
+    """
+    w = Window.partitionBy("session_id").orderBy("unit_id")
+    a = assigned.withColumn("new", F.coalesce((F.col("slide_id") != F.lag("slide_id").over(w)).cast("int"), F.lit(0)))
+    a = a.withColumn("run", F.sum("new").over(w)).select("session_id", "unit_id", F.col("slide_id").alias("on"), "start_sec", "run", F.row_number().over(w).alias("nth"))
+    want = titles.withColumn("tokens", F.slice(F.array_distinct("tokens"), 1, 2)).where((F.size("tokens") > 0) & (F.col("slide_id") > 1))
+    # the first unit on this slide or a later one, then the units of its run that are searched
+    first = want.select("session_id", "slide_id").join(a, "session_id").where("on >= slide_id").groupBy("session_id", "slide_id").agg(F.min(F.struct("nth", "run", "start_sec")).alias("f"))
+    near = first.join(a.select("session_id", "unit_id", "run", "nth"), "session_id").where((F.col("run") == F.col("f.run")) & F.col("nth").between(F.col("f.nth"), F.col("f.nth") + units - 1))
+    ahead = F.collect_list("token").over(Window.partitionBy("session_id", "unit_id").orderBy("word_idx").rowsBetween(0, within - 1))
+    said = unit_words.select("session_id", "unit_id", "word_idx", "token", F.col("start_sec").alias("at"), ahead.alias("ahead"))
+    hit = near.join(said, ["session_id", "unit_id"]).join(want, ["session_id", "slide_id"]).where(F.col("token") == F.col("tokens")[0])
+    whole = F.size(F.array_except("tokens", "ahead")) == 0
+    place = F.struct("nth", "word_idx", "at")
+    cue = hit.groupBy("session_id", "slide_id").agg(F.min(F.when(whole, place)).alias("c"), F.min(F.when(F.col("title").contains(intro), place)).alias("d"), F.first("f.start_sec").alias("unit_start"))
+    cue = cue.select("session_id", "slide_id", F.coalesce("c.at", "d.at").alias("cue"), "unit_start").where(F.col("cue") - F.col("unit_start") >= least_sec)
+    moved = cue.groupBy("session_id").agg(F.map_from_entries(F.collect_list(F.struct("slide_id", "cue"))).alias("m"))
+    j = bounds.join(moved, "session_id", "left").withColumn("m", F.coalesce("m", F.create_map().cast("map<int,double>")))
+    n = F.size("b") - 1
+    last = F.when(n <= 2, n).otherwise(n - 1)
+
+    def step(done, k):
+        old = F.element_at("b", k)
+        cue = F.try_element_at("m", k)
+        to = F.when((k <= last) & (k > 1) & cue.isNotNull(), F.least(F.greatest(cue, F.element_at(done, -1)), F.element_at("b", F.least(k + 1, F.size("b"))))).otherwise(old)
+        return F.concat(done, F.array(F.when(k == 1, old).otherwise(F.greatest(to, F.element_at(done, -1)))))
+
+    first_one = F.slice("b", 1, 1)
+    out = F.aggregate(F.filter(F.sequence(F.lit(1), F.size("b")), lambda k: k > 1), first_one, step)
+    return j.select("session_id", out.alias("b"))

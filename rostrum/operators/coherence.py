@@ -24,10 +24,11 @@ def best_chunks(sims: DataFrame) -> DataFrame:
     return g.select(*KEYS, "kp_idx", "source", "importance", F.col("b.sim").alias("sim"), (-F.col("b.first")).alias("chunk_idx"))
 
 
-def coverage(best: DataFrame, slides: DataFrame) -> DataFrame:
+def coverage(best: DataFrame, slides: DataFrame, keypoints: DataFrame | None = None) -> DataFrame:
     """Per slide: hard coverage (importance of keypoints at the threshold), soft coverage, and their blend.
 
     slides has (session, slide, semantic, n_chars): cosine of the weighted means, and length of the talk on it.
+    A slide without keypoints or without chunks has 0 in everything; all its keypoints (session, slide, kp_idx) are missed.
     """
     w = F.sum("importance")
     g = best.groupBy(*KEYS).agg(
@@ -35,7 +36,12 @@ def coverage(best: DataFrame, slides: DataFrame) -> DataFrame:
         F.coalesce(F.try_divide(F.sum(F.col("importance") * rescale(F.col("sim"), *SOFT)), w), F.lit(0.0)).alias("soft_coverage"),
         F.array_sort(F.collect_list(F.when(F.col("sim") < THRESHOLD, F.col("kp_idx")))).alias("missed"),
     )
-    s = g.join(slides, KEYS).withColumn("semantic_coverage", rescale(F.col("semantic"), *SEMANTIC)).withColumn("presence", clamp(F.col("n_chars") / CHARS))
+    s = slides.join(g.withColumn("scored", F.lit(True)), KEYS, "left")
+    none = F.array().cast(g.schema["missed"].dataType)
+    if keypoints is not None:
+        s = s.join(keypoints.groupBy(*KEYS).agg(F.array_sort(F.collect_list("kp_idx")).alias("all_of_it")), KEYS, "left").withColumn("missed", F.coalesce("missed", "all_of_it")).drop("all_of_it")
+    zero = lambda c: F.when(F.col("scored"), c).otherwise(0.0)
+    s = s.withColumns({"missed": F.coalesce("missed", none), "keypoint_coverage": zero(F.col("keypoint_coverage")), "soft_coverage": zero(F.col("soft_coverage")), "semantic_coverage": zero(rescale(F.col("semantic"), *SEMANTIC)), "presence": zero(clamp(F.col("n_chars") / CHARS))}).drop("scored")
     blend = WEIGHTS[0] * F.col("semantic_coverage") + WEIGHTS[1] * F.col("soft_coverage") + WEIGHTS[2] * F.col("presence")
     apart = F.least("semantic_coverage", "soft_coverage") < CAP_BELOW
     return s.withColumn("coverage", clamp(F.when(apart, F.least(blend, F.lit(CAP))).otherwise(blend)))
@@ -73,10 +79,10 @@ def confidence(margin_rows: DataFrame, low_sim: float = 0.35, low_margin: float
 
 
 def warnings(assigned: DataFrame, slide_counts: DataFrame, boundaries: DataFrame, conf: DataFrame, low: float = 0.03) -> DataFrame:
-    """What is odd in an alignment: slides without units, equal boundaries, low confidence."""
+    """What is odd in an alignment: slides without units, equal boundaries, low confidence (not if there is none)."""
     used = assigned.groupBy("session_id").agg(F.count_distinct("slide_id").alias("used"))
     j = slide_counts.join(used, "session_id", "left").join(boundaries, "session_id", "left").join(conf.select("session_id", "confidence"), "session_id", "left")
-    return j.select("session_id", F.array_join(F.array_compact(F.array(F.when(F.coalesce("used", F.lit(0)) < F.col("n_slides"), "unassigned_slides"), F.when(F.size(F.array_distinct("b")) < F.size("b"), "duplicate_boundaries"), F.when(F.coalesce("confidence", F.lit(0.0)) < low, "low_alignment_confidence"))), ",").alias("warnings"))
+    return j.select("session_id", F.array_join(F.array_compact(F.array(F.when(F.coalesce("used", F.lit(0)) < F.col("n_slides"), "not_all_slides_assigned"), F.when(F.size(F.array_distinct("b")) < F.size("b"), "duplicate_boundaries_detected"), F.when(F.col("confidence") < low, "low_alignment_confidence"))), ",").alias("warnings"))
 
 
 def runs(assigned: DataFrame) -> DataFrame:

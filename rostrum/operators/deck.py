@@ -146,3 +146,40 @@ def deck_report(slides: DataFrame, sections: DataFrame) -> DataFrame:
     want = F.sequence(F.lit(1), F.col("n").cast("int"))
     j = s.join(k, "deck", "left")
     return j.select("deck", "n", (F.col("found") == want).alias("numbered"), F.coalesce(F.col("held") == want, F.lit(False)).alias("sectioned"))
+
+
+# Sources of key points made from captions, with their importance.
+CAPTION_IMPORTANCE = {"vlm_slide_type": 0.25, "vlm_visual_kind": 0.2, "vlm_role": 0.75, "vlm_claim": 0.95, "vlm_visual": 0.75, "vlm_entity": 0.45, "vlm_keyword": 0.45, "vlm_core_term": 0.35}
+#: Weight of a title beside other signals: of a short one, of others.
+SHORT_TITLE, LONG_TITLE = 0.55, 0.35
+
+
+def caption_keypoints(points: DataFrame, captions: DataFrame, terms: DataFrame) -> DataFrame:
+    """Key points (deck, slide, source, text, importance) with those of captions and the deck's terms; each text once a source, in any case, at its greatest importance.
+
+    captions: (deck, slide, slide_type, visual_kind, role_in_flow, main_claim, visual_summary, entities, keywords), one a slide; terms: (deck, terms).
+    """
+    one = lambda source, text: F.struct(F.lit(source).alias("source"), text.alias("text"), F.lit(CAPTION_IMPORTANCE[source]).alias("importance"))
+    some = lambda source, c: F.when(F.coalesce(F.col(c), F.lit("")) != "", one(source, F.col(c)))
+    many = lambda source, c: F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x: one(source, x))
+    singles = F.array(one("vlm_slide_type", F.col("slide_type")), one("vlm_visual_kind", F.col("visual_kind")), some("vlm_role", "role_in_flow"), some("vlm_claim", "main_claim"), some("vlm_visual", "visual_summary"))
+    made = captions.select("deck", "slide", F.explode(F.concat(F.array_compact(singles), many("vlm_entity", "entities"), many("vlm_keyword", "keywords"))).alias("k"))
+    deck_wide = points.select("deck", "slide").distinct().join(terms, "deck").select("deck", "slide", F.explode(many("vlm_core_term", "terms")).alias("k"))
+    every = points.select("deck", "slide", "source", "text", "importance").unionByName(made.unionByName(deck_wide).select("deck", "slide", "k.*"))
+    best = F.max_by(F.struct("text", "importance"), F.struct("importance", F.col("text").alias("t")))
+    return every.groupBy("deck", "slide", "source", F.lower("text").alias("key")).agg(best.alias("b")).select("deck", "slide", "source", "b.text", "b.importance")
+
+
+def slide_channels(points: DataFrame, pattern: str = t.NOUN) -> DataFrame:
+    """What a slide is compared by: texts of its channels, its tokens, type and kind, whether a caption or a visual carries it, and its title's weight.
+
+    points: (deck, slide, kp_idx, source, text, importance). Vectors of the channels are mean_vectors() of the same groups.
+    """
+    p = points.where(F.trim("text") != "")
+    of = lambda *sources: F.transform(F.array_sort(F.collect_list(F.when(F.col("source").isin(*sources), F.struct("kp_idx", "text")))), lambda x: x["text"])
+    g = p.groupBy("deck", "slide").agg(of("title").alias("titles"), of("bullet", "textrank").alias("bodies"), of("body", "vlm_entity", "vlm_keyword", "vlm_core_term").alias("keywords"), of("visual").alias("visuals"), of("vlm_visual").alias("captions"), of("vlm_slide_type").alias("types"), of("vlm_visual_kind").alias("kinds"), F.count_if(F.col("source").isin("vlm_claim", "vlm_role", "vlm_visual", "vlm_slide_type", "vlm_visual_kind")).alias("n_vlm"))
+    title = F.coalesce(F.try_element_at("titles", F.lit(1)), F.lit(""))
+    body, visual, caption = (F.array_join(c, " ") for c in ("bodies", "visuals", "captions"))
+    tokens = F.array_sort(F.array_distinct(F.concat(t.nouns(title, pattern), F.transform("keywords", F.lower), t.nouns(body, pattern), t.nouns(visual, pattern), t.nouns(caption, pattern))))
+    kind = F.trim(F.try_element_at("kinds", F.lit(-1)))
+    return g.select("deck", "slide", title.alias("title"), body.alias("body"), visual.alias("visual"), caption.alias("caption"), F.array_sort(F.array_distinct(t.nouns(title, pattern))).alias("title_tokens"), tokens.alias("tokens"), F.trim(F.try_element_at("types", F.lit(-1))).alias("slide_type"), kind.alias("visual_kind"), (F.col("n_vlm") > 0).alias("has_vlm"), F.coalesce((kind != "") & (kind != "none"), F.lit(False)).alias("visual_heavy"), F.when(t.short_title(title), SHORT_TITLE).otherwise(LONG_TITLE).alias("title_weight"))

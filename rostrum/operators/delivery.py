@@ -12,6 +12,8 @@ from rostrum.functions.text import FILLERS, is_filler, syllables
 WEIGHTS = {"silence": 0.35, "speech_rate": 0.25, "filler": 0.15, "dwell": 0.10, "probe": 0.15}
 SILENCE, RATE = (0.0, 0.05, 0.25, 0.55), (0.5, 2.0, 5.0, 7.0)
 FILLER, DWELL = (0.02, 0.05), (1.5, 3.0)
+# The series of frames that anomalies and change points look at, in this order.
+SERIES = ("energy", "pitch", "speech_rate_per_sec")
 
 
 def _session() -> WindowSpec:
@@ -93,10 +95,10 @@ def frame_segments_join(frames: DataFrame, segments: DataFrame) -> DataFrame:
 
 
 def segment_features(frames: DataFrame, segments: DataFrame) -> DataFrame:
-    """Means per segment (NaN left out), share of silence, and the trend of energy; segments without frames go."""
+    """Means per segment (NaN left out), share of silence, and the slopes of energy and pace; segments without frames go."""
     j = frame_segments_join(frames, segments)
     mean = lambda c: F.coalesce(F.avg(F.when(~F.isnan(c), F.col(c))), F.lit(0.0))
-    s = j.groupBy("session_id", "slide_id").agg(F.count("*").alias("n_frames"), mean("energy").alias("energy_mean"), mean("pitch").alias("pitch_mean"), F.avg(F.col("silence").cast("double")).alias("silence_ratio"), slope("energy", "t").alias("energy_slope"))
+    s = j.groupBy("session_id", "slide_id").agg(F.count("*").alias("n_frames"), mean("energy").alias("energy_mean"), mean("pitch").alias("pitch_mean"), mean("speech_rate_per_sec").alias("speech_rate_per_sec_mean"), F.avg(F.col("silence").cast("double")).alias("silence_ratio"), slope("energy", "t").alias("energy_slope"), slope("speech_rate_per_sec", "t").alias("rate_slope"))
     return s
 
 
@@ -112,7 +114,7 @@ def trend(energy_slope: Column, rate_slope: Column | None = None, eps: float = 1
     return F.coalesce(out.otherwise("stable"), F.lit("stable"))
 
 
-def anomalies(frames: DataFrame, features: DataFrame, threshold: float = 1.5, keys=("energy", "pitch")) -> DataFrame:
+def anomalies(frames: DataFrame, features: DataFrame, threshold: float = 1.5, keys=SERIES) -> DataFrame:
     """Measures whose segment mean is further than threshold from the session's mean over frames."""
     stats = frames.groupBy("session_id").agg(*[x for k in keys for x in (F.avg(k).alias(f"{k}_mu"), F.stddev_pop(k).alias(f"{k}_sd"))])
     z = lambda k: (F.col(f"{k}_mean") - F.col(f"{k}_mu")) / (F.col(f"{k}_sd") + 1e-8 + 1e-8)
@@ -136,20 +138,25 @@ def pacing(rates: DataFrame) -> DataFrame:
     return s.select("session_id", F.col("n").alias("n_slides"), score.alias("pacing_score"))
 
 
-def zscores(frames: DataFrame, keys=("energy", "pitch")) -> DataFrame:
+def zscores(frames: DataFrame, keys=SERIES) -> DataFrame:
     """Each series less the session's mean over its deviation."""
     return frames.select("*", *[((F.col(k) - F.avg(k).over(_session())) / (F.stddev_pop(k).over(_session()) + 1e-8)).alias(f"{k}_z") for k in keys])
 
 
-def type_changes(frames: DataFrame, points: DataFrame, keys=("energy", "pitch"), reach: int = 3) -> DataFrame:
-    """Name change points by the measure that moves most between the frames before and from the point on, and its direction."""
+def type_changes(frames: DataFrame, points: DataFrame, keys=SERIES, reach: int = 3) -> DataFrame:
+    """Name change points by the measure that moves most between the frames before and from the point on, the first among equals.
+
+    Energy and pace fall or rise; pitch only shifts.
+    """
     order = _session().orderBy("frame_idx")
     z = zscores(frames, keys)
     move = [(F.avg(f"{k}_z").over(order.rowsBetween(0, reach - 1)) - F.avg(f"{k}_z").over(order.rowsBetween(-reach, -1))).alias(f"{k}_move") for k in keys]
     z = z.select("session_id", "frame_idx", "t", *move).where(F.col(f"{keys[0]}_move").isNotNull())
     best = F.array_max(F.array(*[F.struct(F.abs(f"{k}_move").alias("size"), F.lit(-i).alias("first"), F.lit(k).alias("key"), F.col(f"{k}_move").alias("move")) for i, k in enumerate(keys)]))
+    way = F.when(F.col("b.move") < 0, "_drop").otherwise("_rise")
+    kind = F.when(F.col("b.key") == "pitch", "pitch_shift").when(F.col("b.key") == "speech_rate_per_sec", F.concat(F.lit("speed"), way)).otherwise(F.concat("b.key", way))
     named = z.join(points.select("session_id", "frame_idx"), ["session_id", "frame_idx"]).withColumn("b", best)
-    return named.select("session_id", "frame_idx", "t", F.concat("b.key", F.when(F.col("b.move") < 0, "_drop").otherwise("_rise")).alias("type"), F.col("b.size").alias("magnitude"))
+    return named.select("session_id", "frame_idx", "t", kind.alias("type"), F.col("b.size").alias("magnitude"))
 
 
 def merge_changes(points: DataFrame, gap: float = 2.0) -> DataFrame:
@@ -162,3 +169,28 @@ def merge_changes(points: DataFrame, gap: float = 2.0) -> DataFrame:
 
     kept = F.aggregate("p", F.slice("p", 1, 0), step)
     return p.select("session_id", F.explode(kept).alias("x")).select("session_id", "x.*")
+
+
+def fillers_by_time(words: DataFrame, bounds: DataFrame, patterns=FILLERS) -> DataFrame:
+    """Words, fillers and their rate (4 digits) on each slide [start, next start), the last [start, end): words outside all slides count nowhere.
+
+    bounds: (session, slide, start_ms, end_ms). Found by one ordered merge of starts and words a session.
+    """
+    b = bounds.select("session_id", F.col("start_ms").alias("at"), F.lit(0).alias("kind"), F.struct("slide_id", "end_ms").alias("own"), F.lit(0).alias("filler"))
+    w = words.select("session_id", F.col("start_ms").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(b.schema["own"].dataType).alias("own"), is_filler(F.col("word"), patterns).cast("int").alias("filler"))
+    m = b.unionByName(w).withColumn("slide", F.last("own", True).over(_session().orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)))
+    m = m.where((F.col("kind") == 1) & (F.col("at") < F.col("slide.end_ms"))).groupBy("session_id", F.col("slide.slide_id").alias("slide_id")).agg(F.count("*").alias("word_count"), F.sum("filler").alias("filler_count"))
+    n = F.coalesce("word_count", F.lit(0)), F.coalesce("filler_count", F.lit(0))
+    return bounds.select("session_id", "slide_id").join(m, ["session_id", "slide_id"], "left").select("session_id", "slide_id", n[0].alias("word_count"), n[1].alias("filler_count"), F.bround(F.coalesce(F.try_divide(n[1], n[0]), F.lit(0.0)), 4).alias("filler_rate"))
+
+
+def with_missing(slides: DataFrame, segments: DataFrame) -> DataFrame:
+    """Every slide with its segment (start_sec, end_sec, text, flags); one without gets an empty segment flagged missing_segment."""
+    j = slides.select("session_id", "slide_id").join(segments.withColumn("found", F.lit(True)), ["session_id", "slide_id"], "left")
+    return j.select("session_id", "slide_id", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("start_sec", "end_sec")], F.coalesce("text", F.lit("")).alias("text"), F.when(F.col("found"), F.col("flags")).otherwise("missing_segment").alias("flags"))
+
+
+def segment_structs(segments: DataFrame, words: DataFrame) -> DataFrame:
+    """Segments as they are passed on: seconds, text, flags and the words in order as an array of structs (word, start, end); words carry their slide."""
+    w = words.groupBy("session_id", "slide_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("word_idx", "word", (F.col("start_ms") / 1000.0).alias("start"), (F.col("end_ms") / 1000.0).alias("end")))), lambda x: F.struct(x["word"].alias("word"), x["start"].alias("start"), x["end"].alias("end"))).alias("words"))
+    return segments.join(w, ["session_id", "slide_id"], "left").select("session_id", F.struct("slide_id", "start_sec", "end_sec", "text", F.coalesce("words", F.array().cast(w.schema["words"].dataType)).alias("words"), F.filter(F.split("flags", ","), lambda x: x != "").alias("warning_flags")).alias("segment"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,28 +40,34 @@ def missed_metrics(rows: DataFrame) -> DataFrame:
 
 
 def pr_curve(rows: DataFrame, steps: int = 20) -> DataFrame:
-    """Precision and recall at thresholds 0, 1/steps, ..., 1; gold and prediction are both cut at the threshold."""
-    t = rows.select("gold", "pred", F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("k"))
-    g, p = F.col("gold") >= F.col("k") / steps, F.col("pred") >= F.col("k") / steps
-    s = t.groupBy("k").agg(F.count_if(g & p).alias("tp"), F.count_if(p).alias("np"), F.count_if(g).alias("ng"))
+    """Precision and recall at thresholds 0, 1/steps, ..., 1; gold and prediction are both cut at the threshold.
+
+    Rows are counted by how many thresholds each side reaches, at most (steps + 2)^2
+    cells before the shuffle; the curve is made from the cells.
+    """
+    at = F.array(*[F.lit(k) / F.lit(steps) for k in range(steps + 1)])
+    reach = lambda c: F.size(F.filter(at, lambda t: F.col(c) >= t))
+    cells = rows.groupBy(reach("gold").alias("g"), reach("pred").alias("p")).agg(F.count("*").alias("n"))
+    t = cells.select("g", "p", "n", F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("k"))
+    sum_if = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
+    s = t.groupBy("k").agg(sum_if((F.col("g") > F.col("k")) & (F.col("p") > F.col("k"))).alias("tp"), sum_if(F.col("p") > F.col("k")).alias("np"), sum_if(F.col("g") > F.col("k")).alias("ng"))
     return s.select((F.col("k") / steps).alias("threshold"), *precision_recall(F.col("tp"), F.col("np"), F.col("ng")))
 
 
 def tolerance_matches(pairs: DataFrame, tolerance: float) -> DataFrame:
-    """From arrays gold and pred (ascending): predictions matched one to one, each to the first free gold time within the tolerance.
+    """From arrays gold and pred: predictions matched one to one, each to the first gold time, in the array's order, that is free and within the tolerance.
 
-    Greedy in the order of predictions; one fold over each row's arrays, whose
-    state is the list of free gold times.
+    Equal gold times are different ones. Greedy in the order of predictions; one
+    fold over each row's arrays, whose state is the places of matched gold times.
     """
 
-    def step(state, p):
-        hit = F.filter(state["free"], lambda g: F.abs(g - p) <= tolerance)
-        first = F.element_at(hit, 1)
-        return F.when(F.size(hit) == 0, state).otherwise(F.struct(F.array_except(state["free"], F.array(first)).alias("free"), (state["tp"] + 1).alias("tp")))
+    def step(used, p):
+        free = F.filter(F.sequence(F.lit(1), F.size("gold")), lambda i: ~F.array_contains(used, i) & (F.abs(F.element_at("gold", i) - p) <= tolerance))
+        return F.when(F.size(free) == 0, used).otherwise(F.concat(used, F.slice(free, 1, 1)))
 
-    tp = F.aggregate("pred", F.struct(F.array_distinct("gold").alias("free"), F.lit(0).alias("tp")), step, lambda s: s["tp"])
-    m = pairs.withColumn("tp", tp)
-    return m.select("session_id", "tp", *precision_recall(F.col("tp"), F.size("pred"), F.size(F.array_distinct("gold"))))
+    used = F.when(F.size("gold") > 0, F.aggregate("pred", F.array().cast("array<int>"), step)).otherwise(F.array().cast("array<int>"))
+    m = pairs.withColumn("tp", F.size(used))
+    return m.select("session_id", "tp", *precision_recall(F.col("tp"), F.size("pred"), F.size("gold")))
 
 
 def probe_loss(rows: DataFrame) -> DataFrame:
@@ -81,19 +89,26 @@ def quality_gate(runs: DataFrame, least: float = 50.0) -> DataFrame:
 
 
 def bootstrap(rows: DataFrame, value: str, rounds: int = 1000, seed: int = 42) -> DataFrame:
-    """Mean and 95 % interval by Poisson resampling: each row gets a hashed Poisson(1) weight a round.
+    """Mean and 95 % interval by Poisson resampling.
 
-    Rows are pre-aggregated to distinct values before they are multiplied by the
-    rounds, and each round is a sum, so nothing is collected.
+    Equal values are counted first, so what is multiplied by the rounds is a table
+    (value, count). In a round, n equal rows get one Poisson(n) weight: a hashed
+    uniform against the cumulative probabilities where n is small, the normal limit
+    where it is not. Reruns agree.
     """
-    r = rows.select(F.col(value).alias("x"), F.monotonically_increasing_id().alias("i")).select("x", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"), "i")
-    u = (F.xxhash64("i", "round", F.lit(seed)) / F.lit(2.0**64) + 0.5).alias("u")
-    cum, acc, p = [], 0.0, 0.36787944117144233
-    for k in range(7):
-        acc += p
-        cum.append(acc)
-        p /= k + 1
-    w = sum((F.when(u > c, 1).otherwise(0) for c in cum), F.lit(0))
+    cells = rows.groupBy(F.col(value).cast("double").alias("x")).agg(F.count("*").cast("double").alias("n")).where("x IS NOT NULL")
+    r = cells.select("x", "n", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"))
+    u = lambda k: F.xxhash64("x", "round", F.lit(seed), F.lit(k)) / F.lit(2.0**64) + 0.5
+    r = r.withColumn("u", u(0))
+    # Poisson(n) for small n by a uniform against the cumulative probabilities, else its normal limit
+    small = F.aggregate(
+        F.sequence(F.lit(0), F.lit(39)),
+        F.struct(F.exp(-F.col("n")).alias("p"), F.exp(-F.col("n")).alias("upto"), F.lit(0.0).alias("w")),
+        lambda s, k: F.struct((s["p"] * F.col("n") / (k + 1)).alias("p"), (s["upto"] + s["p"] * F.col("n") / (k + 1)).alias("upto"), (s["w"] + F.when(F.col("u") > s["upto"], 1.0).otherwise(0.0)).alias("w")),
+        lambda s: s["w"],
+    )
+    gauss = F.sqrt(-2 * F.log(F.greatest(u(1), F.lit(1e-300)))) * F.cos(2 * math.pi * u(2))
+    w = F.when(F.col("n") <= 8, small).otherwise(F.greatest(F.lit(0.0), F.round(F.col("n") + F.sqrt("n") * gauss)))
     m = r.select("round", "x", w.alias("w")).groupBy("round").agg(F.try_divide(F.sum(F.col("x") * F.col("w")), F.sum("w")).alias("m"))
     return m.agg(F.avg("m").alias("mean"), F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
 
@@ -103,3 +118,25 @@ def ablation(rows: DataFrame, experiments: list[tuple[str, float, float]]) -> Da
     e = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(a).alias("a"), F.lit(b).alias("b")) for n, a, b in experiments])
     x = rows.withColumn("e", F.explode(e)).withColumn("pred", F.col("pred") * F.col("e.a") + F.col("e.b"))
     return x.groupBy(F.col("e.name").alias("experiment")).agg(F.avg(F.abs(F.col("gold") - F.col("pred"))).alias("mae"), correlation("gold", "pred").alias("correlation"))
+
+
+def silence_f1(frames: DataFrame) -> DataFrame:
+    """From aligned flags (session, slide, gold, pred): F1 of each item."""
+    one = lambda a, b: F.count_if((F.col("gold") == a) & (F.col("pred") == b))
+    g = frames.groupBy(*KEYS).agg(one(1, 1).alias("tp"), one(0, 1).alias("fp"), one(1, 0).alias("fn"))
+    return g.select(*KEYS, precision_recall(F.col("tp"), F.col("tp") + F.col("fp"), F.col("tp") + F.col("fn"))[2])
+
+
+def attitude_metrics(frames: DataFrame, rates: DataFrame, energies: DataFrame, changes: DataFrame) -> DataFrame:
+    """One row: mean F1 of change points within 1, 3 and 5 s, mean error of pace, mean F1 of silence, mean correlation of energy.
+
+    frames: aligned flags; rates: (gold, pred); energies: (session, slide, x, y); changes: (session, gold, pred) arrays.
+    """
+    parts = [tolerance_matches(changes, float(s)).agg(F.avg("f1").alias(f"f1_tol_{s}s")) for s in (1, 3, 5)]
+    parts.append(rates.agg(F.avg(F.abs(F.col("gold") - F.col("pred"))).alias("speech_rate_mae")))
+    parts.append(silence_f1(frames).agg(F.avg("f1").alias("silence_f1")))
+    parts.append(energies.groupBy(*KEYS).agg(correlation("x", "y").alias("r")).agg(F.avg("r").alias("energy_perception_corr")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.crossJoin(p)  # one row each
+    return out.select(*[F.coalesce(c, F.lit(0.0)).alias(c) for c in out.columns])

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rostrum.functions.score import clamp, overall_delivery
+from rostrum.plans import scratch
 
 
 def speech_rate(words: Column, millis: Column) -> Column:
@@ -76,27 +77,63 @@ def split_sizes(n: int, train: float, valid: float, force_test: bool = False) ->
     return a, b, max(0, n - a - b)
 
 
-def split(rows: DataFrame, key: str, train: float = 0.9, valid: float = 0.1, seed: int = 42) -> DataFrame:
-    """Seeded split with exact sizes: keys in the order of a hash, cut where the sizes end.
+def _hash(key: str, seed: int) -> Column:
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.col(key), F.lit(str(seed))).cast("binary")), 1, 15), 16, 10).cast("long")
 
-    The cuts are found from counts of hash buckets, then of hashes in the two
-    buckets where cuts fall, so no global sort is needed.
-    """
-    h = F.substring(F.md5(F.concat_ws("|", F.col(key), F.lit(str(seed))).cast("binary")), 1, 15)
-    x = rows.withColumn("_h", F.conv(h, 16, 10).cast("long"))
-    a, b, _ = split_sizes(x.count(), train, valid)
-    cells = x.groupBy(F.shiftright("_h", 50).alias("c")).agg(F.count("*").alias("n")).sort("c").collect()  # at most 1024 rows
-    cuts = []
-    for want in (a, a + b):
-        seen, at = 0, None
-        for r in cells:
-            if seen + r.n >= want:
-                at = (r.c, want - seen)
+
+def _cut(hashes: DataFrame, want: int) -> int:
+    """The want-th least of 60-bit hashes (column h), by counts of buckets, refined in the boundary bucket only."""
+    prefix, before = 0, 0
+    for low in range(0, 60, 12):
+        cells = hashes.where(F.shiftright("h", 60 - low) == prefix).groupBy(F.shiftright("h", 48 - low).alias("c")).agg(F.count("*").alias("n"), F.min("h").alias("a"), F.max("h").alias("b"))
+        for r in cells.sort("c").collect():  # at most 4096 rows
+            if before + r.n >= want:
                 break
-            seen += r.n
-        low = x.where(F.shiftright("_h", 50) == at[0]).select("_h").orderBy("_h").limit(at[1]).agg(F.max("_h")).first()[0]
-        cuts.append(low)
-    return x.withColumn("split", F.when(F.col("_h") <= cuts[0], "train").when(F.col("_h") <= cuts[1], "valid").otherwise("test")).drop("_h")
+            before += r.n
+        prefix = r.c
+        if r.a == r.b:
+            break
+    return r.b
+
+
+def _parted(rows: DataFrame, key: str, seed: int, sizes, names) -> DataFrame:
+    """rows with a column `split`: the first name for the sizes(n)[0] least hashes, and so on; the last for the rest."""
+    hashes = scratch.keep(rows.select(_hash(key, seed).alias("h")), "hashes")
+    wanted, total = sizes(hashes.count()), 0
+    part = F.lit(names[-1])
+    cuts = []
+    for n, name in zip(wanted, names, strict=False):
+        total += n
+        cuts.append((_cut(hashes, total), name))
+    scratch.drop(hashes)
+    for cut, name in reversed(cuts):
+        part = F.when(_hash(key, seed) <= cut, name).otherwise(part)
+    return rows.withColumn("split", part)
+
+
+def split(rows: DataFrame, key: str, train: float = 0.9, valid: float = 0.1, seed: int = 42) -> DataFrame:
+    """Seeded split in three with exact sizes: keys in the order of a hash, cut where the sizes end. No row is sorted."""
+    return _parted(rows, key, seed, lambda n: split_sizes(n, train, valid)[:2], ("train", "valid", "test"))
+
+
+def split_two(rows: DataFrame, key: str, train: float = 0.9, seed: int = 42) -> DataFrame:
+    """Seeded split in train and valid, at least a row each; fewer than two rows are an error."""
+
+    def sizes(n: int) -> tuple[int]:
+        if n < 2:
+            raise ValueError("a split needs two rows")
+        return (min(max(1, int(n * train)), n - 1),)
+
+    return _parted(rows, key, seed, sizes, ("train", "valid"))
+
+
+def subset(rows: DataFrame, key: str, most: int, train: float = 0.9, valid: float = 0.1, seed: int = 42) -> DataFrame:
+    """At most so many rows, the least by the hash, split in three with a row of test at least."""
+
+    def sizes(n: int) -> tuple[int, int, int]:
+        return split_sizes(min(n, most), train, valid, force_test=True)
+
+    return _parted(rows, key, seed, sizes, ("train", "valid", "test", "")).where("split <> ''")
 
 
 def resume(rows: DataFrame, done: DataFrame, key: str = "audio_path") -> DataFrame:
@@ -139,3 +176,37 @@ def manual_boundaries(rows: DataFrame) -> DataFrame:
     out = F.when(k == n + 1, s).when(k > n + 1, F.slice(s, F.lit(1), n + 1)).when((k == n) & prepend, F.concat(F.array("first"), s)).when(k == n, F.concat(s, F.array("last")))
     note = F.when(k == n + 1, "").when(k > n + 1, "truncated_extra_boundaries").when((k == n) & prepend, "prepended_transcript_start").when(k == n, "appended_transcript_end").otherwise("error_boundary_count")
     return rows.select("session_id", out.alias("b"), note.alias("note"))
+
+
+def label_rows(labels: DataFrame, audio: DataFrame) -> DataFrame:
+    """Labels (audio_name, n_words, duration_ms) with the targets of their audio, guessed from pace where there is none."""
+    rate = speech_rate(F.col("n_words"), F.col("duration_ms"))
+    j = labels.where(F.col("duration_ms") > 0).join(audio.withColumn("from_audio", F.lit(True)), "audio_name", "left")
+    own = F.coalesce("from_audio", F.lit(False))
+    rows = j.select("audio_name", rate.alias("speech_rate"), F.when(own, F.col("silence_ratio")).otherwise(fallback_silence(rate)).alias("silence_ratio"), *[F.when(own, F.col(c)).otherwise(0).alias(c) for c in ("energy_drop", "pitch_shift")], own.alias("from_audio"))
+    return targets(rows)
+
+
+def clip_segments(clips: DataFrame, boundaries: list[float] | None = None, chunk_sec: float = 0.0) -> DataFrame:
+    """Every clip (audio_path, duration_sec) of a listing with one row for each given segment, cut to the clip; without boundaries its first chunk_sec seconds, or all of it.
+
+    Fewer than two boundaries are an error; segments behind a clip's end go.
+    """
+    if boundaries is not None:
+        if len(boundaries) < 2:
+            raise ValueError("at least two boundaries are needed")
+        spans = F.array(*[F.struct(F.lit(i + 1).alias("slide_id"), F.lit(float(a)).alias("lo"), F.lit(float(b)).alias("hi")) for i, (a, b) in enumerate(zip(boundaries, boundaries[1:], strict=False))])
+    else:
+        end = F.col("duration_sec").cast("double") if chunk_sec <= 0 else F.least(F.col("duration_sec").cast("double"), F.lit(float(chunk_sec)))
+        spans = F.array(F.struct(F.lit(1).alias("slide_id"), F.lit(0.0).alias("lo"), end.alias("hi")))
+    s = clips.select("audio_path", F.col("duration_sec").alias("d"), F.explode(spans).alias("s"))
+    s = s.select("audio_path", "s.slide_id", F.greatest(F.lit(0.0), F.col("s.lo")).alias("start_sec"), F.least(F.col("d"), F.col("s.hi")).alias("end_sec"))
+    return s.where("end_sec > start_sec")
+
+
+def normalise(rows: DataFrame, numbers: list[str], flags: list[str], path: str = "audio_path", prefix: str = "") -> DataFrame:
+    """Typed rows with a `reason` where a field is missing or no number; paths get the prefix unless they are absolute or have a scheme."""
+    missing = [F.when(F.col(c).isNull() | (F.trim(F.col(c).cast("string")) == ""), f"missing_{c}") for c in (path, *numbers, *flags)]
+    bad = [F.when(F.expr(f"try_cast(`{c}` AS double)").isNull(), f"invalid_{c}") for c in numbers] + [F.when(binary(F.col(c)).isNull(), f"invalid_{c}") for c in flags]
+    full = F.when(F.col(path).rlike(r"^(/|[a-z0-9]+://)"), F.col(path)).otherwise(F.concat(F.lit(prefix), F.col(path)))
+    return rows.select(full.alias(path), *[F.expr(f"try_cast(`{c}` AS double)").alias(c) for c in numbers], *[binary(F.col(c)).alias(c) for c in flags], F.coalesce(*missing, *bad).alias("reason"))

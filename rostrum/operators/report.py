@@ -171,3 +171,85 @@ def delta(current: DataFrame, base: DataFrame) -> DataFrame:
     j = current.select(*on, F.col("value").alias("current")).join(base.select(*on, F.col("value").alias("base")), on, "full_outer")
     zero = lambda c: F.when(F.col("section") == "score", F.col(c)).otherwise(F.coalesce(c, F.lit(0.0)))
     return j.select(*on, zero("current").alias("current"), zero("base").alias("base"), (zero("current") - zero("base")).alias("delta"))
+
+
+# What of a probe's results is shown, and from which severity on a section with content issues is high.
+PUBLIC_PROBE = ("ae_probe_speech_rate", "ae_probe_silence_ratio", "ae_probe_overall_delivery")
+HIGH_SECTION = 6
+#: What feedback says when an alignment is unsure.
+UNSURE = "자동 매칭|신뢰도"
+
+
+def with_probe(slides: DataFrame, probe: DataFrame, public: bool = True) -> DataFrame:
+    """Slides with the probe's results of the same slide, nulls where there are none; only the public ones unless asked."""
+    cols = [c for c in probe.columns if c not in KEYS and (not public or c in PUBLIC_PROBE)]
+    return slides.join(probe.select(*KEYS, *cols), KEYS, "left")
+
+
+def slide_detail(slides: DataFrame, roles: DataFrame, stability: DataFrame) -> DataFrame:
+    """One row per slide of a report: its role (content, weight 1, if it has none), coverage, missed texts and visuals apart, and delivery.
+
+    slides: join_sides(); roles: (session, slide, role, source, reason, coverage_weight); stability: (session, slide, delivery_stability).
+    """
+    none = F.array().cast("array<string>")
+    is_visual = lambda x: F.startswith(x, F.lit(VISUAL))
+    j = slides.join(roles, KEYS, "left").join(stability, KEYS, "left")
+    have = [c for c in ("coverage", "semantic_coverage", "soft_coverage", "keypoint_coverage", "silence_ratio", "dwell_sec", "dwell_ratio", "dwell_z", "word_count", "words_per_sec", "trend", *PUBLIC_PROBE) if c in slides.columns]
+    missed = F.coalesce("missed", none)
+    return j.select(*KEYS, F.coalesce("role", F.lit("content")).alias("slide_role"), F.coalesce("source", F.lit("default")).alias("slide_role_source"), F.coalesce("reason", F.lit("no_role_metadata")).alias("slide_role_reason"), F.coalesce("coverage_weight", F.lit(1.0)).alias("coverage_weight"), *have, F.filter(missed, lambda x: ~is_visual(x)).alias("missed"), F.filter(missed, is_visual).alias("visual_missed"), F.bround("delivery_stability", 2).alias("delivery_stability"))
+
+
+def overall_all(coverage: DataFrame, delivery: DataFrame, pace: DataFrame) -> DataFrame:
+    """overall() with the coverage of all slides beside that of scored ones, both as shown to users, and how many are scored.
+
+    coverage: coverage_score() of the session's slides.
+    """
+    o = overall(coverage.select("session_id", "content_coverage"), delivery, pace)
+    every = F.coalesce("content_coverage_all", F.lit(0.0))
+    c = coverage.select("session_id", F.bround(every, 2).alias("content_coverage_all"), F.bround(s.score_map(every / 100.0), 2).alias("content_coverage_user_all"), "content_scored_slide_count")
+    return o.join(c, "session_id", "left").fillna(0.0, ["content_coverage_all", "content_coverage_user_all"]).fillna(0, ["content_scored_slide_count"])
+
+
+def global_summary(slides: DataFrame, overall_rows: DataFrame) -> DataFrame:
+    """Per session: slides, mean pace and silence of those with delivery, change points in all, and the overall scores.
+
+    slides: (session, slide, speech_rate, silence_ratio, change_points), nulls where there is no delivery.
+    """
+    g = slides.groupBy("session_id").agg(F.count("*").alias("total_slides"), F.avg("speech_rate").alias("mean_speech_rate"), F.avg("silence_ratio").alias("mean_silence_ratio"), F.sum(F.coalesce("change_points", F.lit(0))).alias("total_change_points"))
+    return g.join(overall_rows, "session_id", "left")
+
+
+def sections(detail: DataFrame, segments: DataFrame, comments: DataFrame, title: str = "슬라이드 {}") -> DataFrame:
+    """What a back end lists of a report: each slide with its whole seconds, percent of coverage (null if there is none) and comment."""
+    j = detail.select(*KEYS, "coverage").join(segments.select(*KEYS, "start_sec", "end_sec"), KEYS, "left").join(comments.select(*KEYS, "comment"), KEYS, "left")
+    return j.select("session_id", F.col("slide_id").alias("section_index"), F.replace(F.lit(title), F.lit("{}"), F.col("slide_id").cast("string")).alias("title"), *[F.coalesce(F.col(f"{x}_sec").cast("int"), F.lit(0)).alias(f"{x}_time_sec") for x in ("start", "end")], F.bround(F.col("coverage") * 100, 0).cast("int").alias("score"), F.coalesce("comment", F.lit("")).alias("feedback"))
+
+
+def calibration_snapshot(issue_rows: DataFrame, severities: DataFrame, texts: DataFrame, slides: DataFrame, alignment: DataFrame) -> DataFrame:
+    """Counters of a report in long form (session, section, key, value), for comparison with delta().
+
+    Issues: in all, by issue, and those about content; sections of severity HIGH_SECTION
+    on that have one; feedback by severity and how much of it is unsure. Slides: in
+    all, by role, least and greatest coverage (4 digits), scored ones. Alignment: confidence (4 digits),
+    warnings and boundaries. texts: feedback(); slides: (session, slide, role,
+    coverage_weight, coverage); alignment: (session, confidence, n_warnings, n_boundaries).
+    """
+    row = lambda section, key, value: F.struct(F.lit(section).alias("section"), key.alias("key"), value.cast("double").alias("value"))
+    total = F.lit("total")
+    about_content = F.col("issue").isin(*CONTENT_ISSUES)
+    by = issue_rows.groupBy("session_id", "issue").agg(F.count("*").alias("n"))
+    parts = [
+        by.groupBy("session_id").agg(F.array(row("issue", total, F.sum("n")), row("ce_issue", total, F.sum(F.when(about_content, F.col("n")).otherwise(0)))).alias("x")).select("session_id", F.explode("x").alias("x")),
+        by.select("session_id", row("issue", F.col("issue"), F.col("n")).alias("x")),
+        by.where(about_content).select("session_id", row("ce_issue", F.col("issue"), F.col("n")).alias("x")),
+        severities.where((F.col("severity") >= HIGH_SECTION) & F.arrays_overlap(F.split("issues", ","), F.array(*map(F.lit, CONTENT_ISSUES)))).groupBy("session_id").agg(row("ce_issue", F.lit("high_sections"), F.count("*")).alias("x")),
+        texts.groupBy("session_id", "severity").agg(row("feedback", F.col("severity"), F.count("*")).alias("x")).select("session_id", "x"),
+        texts.groupBy("session_id").agg(row("feedback", F.lit("low_confidence"), F.count_if(F.col("text").rlike(UNSURE))).alias("x")),
+        slides.groupBy("session_id", "role").agg(row("role", F.col("role"), F.count("*")).alias("x")).select("session_id", "x"),
+        slides.groupBy("session_id").agg(F.array(row("slides", total, F.count("*")), row("slides", F.lit("content"), F.count_if((F.col("coverage_weight") > 0) & F.col("coverage").isNotNull())), row("score", F.lit("coverage_min"), F.bround(F.min("coverage"), 4)), row("score", F.lit("coverage_max"), F.bround(F.max("coverage"), 4))).alias("x")).select("session_id", F.explode("x").alias("x")),
+        alignment.select("session_id", F.explode(F.array(row("score", F.lit("confidence"), F.bround("confidence", 4)), row("alignment", F.lit("warnings"), F.col("n_warnings")), row("alignment", F.lit("boundaries"), F.col("n_boundaries")))).alias("x")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select("session_id", "x.*")

@@ -22,3 +22,17 @@ def mean_vectors(rows: DataFrame, keys: list[str], vector: str = "v", weight: st
     s = d.groupBy(*keys, "_i").agg((F.sum(F.col("_x") * F.col("_w")) / F.sum("_w")).alias("_x"))
     m = s.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_x"))), lambda p: p["_x"]).alias("_m"))
     return m.select(*keys, unit(F.col("_m")).alias("mean"))
+
+
+def pooled(rows: DataFrame, keys: list[str], vector: str = "v", lo: str = "lo", hi: str = "hi") -> DataFrame:
+    """Mean of chunks' vectors weighted by their duration, per key; keys whose chunks have none go."""
+    d = rows.select(*keys, F.greatest(F.lit(0.0), F.col(hi) - F.col(lo)).alias("_w"), F.posexplode(vector).alias("_i", "_x"))
+    s = d.groupBy(*keys, "_i").agg(F.sum(F.col("_x") * F.col("_w")).alias("_s"), F.sum("_w").alias("_w")).where("_w > 0")
+    return s.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", (F.col("_s") / F.col("_w")).alias("x")))), lambda p: p["x"]).alias("pooled"))
+
+
+def norms(frames: DataFrame, segments: DataFrame) -> DataFrame:
+    """Mean and deviation of the lengths of the embedding frames (session, t, v) in each segment (session, slide, lo, hi), both ends closed."""
+    n = frames.select("session_id", "t", F.sqrt(dot("v", "v")).alias("norm"))
+    j = segments.join(n, "session_id").where(F.col("t").between(F.col("lo"), F.col("hi")))
+    return j.groupBy("session_id", "slide_id").agg(F.avg("norm").alias("norm_mean"), F.stddev_pop("norm").alias("norm_std"))

@@ -32,7 +32,11 @@ def _sims(spark, sf):
 def coherence_scores(spark, sf):
     s = _sims(spark, sf)
     slides = s.groupBy("session_id", "slide_id").agg(F.avg("sim").alias("semantic"), (F.count("*") * 2.0).alias("n_chars"))
-    r = c.coverage(c.best_chunks(s), slides)
+    # two more slides of each talk on which nothing is said; one has key points
+    quiet = s.select("session_id").distinct()
+    silent = quiet.select("session_id", F.explode(F.array(F.lit(98), F.lit(99))).alias("slide_id"), F.lit(0.0).alias("semantic"), F.lit(0.0).alias("n_chars"))
+    points = quiet.select("session_id", F.lit(99).alias("slide_id"), F.explode(F.sequence(F.lit(0), F.col("session_id") % 3)).alias("kp_idx"))
+    r = c.coverage(c.best_chunks(s), slides.unionByName(silent), points)
     return r.select("session_id", "slide_id", *[edge(F.col(x), 4).alias(x) for x in ("keypoint_coverage", "soft_coverage", "semantic_coverage", "presence", "coverage")], F.array_join(F.transform("missed", lambda x: x.cast("string")), ",").alias("missed"))
 
 
@@ -107,7 +111,8 @@ ORACLE = {
   coalesce(string_agg(kp_idx, ',' ORDER BY kp_idx) FILTER (sim < .55), '') AS missed FROM best GROUP BY ALL),
 h AS (SELECT session_id, slide_id, {_C.format("(avg(sim) - .4::DOUBLE) / .4::DOUBLE")} AS se, {_C.format("count(*) * 2 / 100.0::DOUBLE")} AS p FROM sims GROUP BY ALL),
 j AS (SELECT *, .45::DOUBLE * se + .45::DOUBLE * so + .1::DOUBLE * p AS bl FROM g JOIN h USING (session_id, slide_id))
-SELECT session_id, slide_id, round_even(k, 4) AS keypoint_coverage, round_even(so, 4) AS soft_coverage, round_even(se, 4) AS semantic_coverage, round_even(p, 4) AS presence, round_even({_C.format("CASE WHEN least(se, so) < .55 THEN least(bl, .72::DOUBLE) ELSE bl END")}, 4) AS coverage, missed FROM j""",
+SELECT session_id, slide_id, round_even(k, 4) AS keypoint_coverage, round_even(so, 4) AS soft_coverage, round_even(se, 4) AS semantic_coverage, round_even(p, 4) AS presence, round_even({_C.format("CASE WHEN least(se, so) < .55 THEN least(bl, .72::DOUBLE) ELSE bl END")}, 4) AS coverage, missed FROM j
+UNION ALL SELECT session_id, slide_id, 0, 0, 0, 0, 0, CASE WHEN slide_id = 98 THEN '' ELSE array_to_string(range(0, session_id % 3 + 1), ',') END FROM (SELECT DISTINCT session_id, unnest([98, 99]) AS slide_id FROM sims)""",
     "source_coverage": f"WITH {_BEST} SELECT session_id, slide_id, source, round_even(sum(CASE WHEN sim >= .55 THEN importance ELSE 0 END) / sum(importance), 6) AS coverage, coalesce(string_agg(kp_idx, ',' ORDER BY kp_idx) FILTER (sim < .55), '') AS missed FROM best GROUP BY ALL",
     "evidence_spans": f"WITH {_BEST} SELECT session_id, slide_id, kp_idx, chunk_idx, sim FROM best WHERE sim >= .55",
     "alignment_confidence": f"WITH {a.UNITS}, {_MARGIN.format('round_even(sim, 9)')} SELECT session_id, round_even(avg({_C.format('margin')}), 6) AS confidence, count_if(sim < .35 OR margin < .1) AS n_low, count_if(sim < .35) AS n_low_sim, count_if(margin < .1) AS n_low_margin FROM mm GROUP BY session_id",
@@ -119,7 +124,7 @@ q AS (SELECT *, sum(n) OVER (PARTITION BY session_id ORDER BY unit_id) AS run FR
     "alignment_warnings": f"""WITH {a.UNITS}, {_ASSIGNED}, {_MONO}, us AS (SELECT session_id, count(DISTINCT slide_id) AS used FROM mono GROUP BY ALL),
 mx AS (SELECT u.session_id, u.unit_id, max(sim) FILTER (u.slide_id = m.slide_id) AS a, max(sim) FILTER (u.slide_id <> m.slide_id) AS b FROM unit_sim u JOIN mono m USING (session_id, unit_id) GROUP BY ALL),
 cf AS (SELECT session_id, avg({_C.format("CASE WHEN b IS NULL THEN 1 ELSE a - b END")}) AS confidence FROM mx GROUP BY ALL)
-SELECT session_id, concat_ws(',', CASE WHEN used < n_slides THEN 'unassigned_slides' END, CASE WHEN len(list_distinct(b)) < len(b) THEN 'duplicate_boundaries' END, CASE WHEN coalesce(confidence, 0) < .03 THEN 'low_alignment_confidence' END) AS warnings FROM cnt JOIN us USING (session_id) JOIN bnd USING (session_id) JOIN cf USING (session_id)""",
+SELECT session_id, concat_ws(',', CASE WHEN used < n_slides THEN 'not_all_slides_assigned' END, CASE WHEN len(list_distinct(b)) < len(b) THEN 'duplicate_boundaries_detected' END, CASE WHEN confidence < .03 THEN 'low_alignment_confidence' END) AS warnings FROM cnt JOIN us USING (session_id) JOIN bnd USING (session_id) JOIN cf USING (session_id)""",
     "emission_scores": f"""WITH {a.UNITS}, r AS (SELECT *, dense_rank() OVER (PARTITION BY session_id ORDER BY unit_id) - 1 AS u, dense_rank() OVER (PARTITION BY session_id ORDER BY slide_id) - 1 AS k FROM unit_sim),
 q AS (SELECT *, coalesce(u / nullif(max(u) OVER w, 0), 0) AS a, coalesce(k / nullif(max(k) OVER w, 0), 0) AS p FROM r WINDOW w AS (PARTITION BY session_id))
 SELECT session_id, unit_id, slide_id, round_even(sim - .35::DOUBLE * abs(p - a) * CASE WHEN p < a THEN 1.6::DOUBLE ELSE 1 END, 6) AS emission FROM q""",

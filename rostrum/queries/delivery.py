@@ -54,11 +54,11 @@ def _features(spark, sf):
 
 
 def segment_features(spark, sf):
-    return _features(spark, sf)[1].select("session_id", "slide_id", "n_frames", *[edge(F.col(c)).alias(c) for c in ("energy_mean", "pitch_mean", "silence_ratio")])
+    return _features(spark, sf)[1].select("session_id", "slide_id", "n_frames", *[edge(F.col(c)).alias(c) for c in ("energy_mean", "pitch_mean", "speech_rate_per_sec_mean", "silence_ratio")])
 
 
 def trend_labels(spark, sf):
-    return _features(spark, sf)[1].select("session_id", "slide_id", d.trend(F.col("energy_slope")).alias("trend"), edge(F.col("energy_slope"), 5).alias("slope"))
+    return _features(spark, sf)[1].select("session_id", "slide_id", d.trend(F.col("energy_slope"), F.col("rate_slope"), 0.01).alias("trend"), edge(F.col("rate_slope"), 5).alias("rate_slope"), edge(F.col("energy_slope"), 5).alias("slope"))
 
 
 def anomaly_flags(spark, sf):
@@ -103,8 +103,8 @@ dw AS (SELECT *, coalesce(dwell_sec / nullif(sum(dwell_sec) OVER w, 0), 0) AS dw
   CASE WHEN stddev_pop(dwell_sec) OVER w > 1e-8 THEN (dwell_sec - avg(dwell_sec) OVER w) / stddev_pop(dwell_sec) OVER w ELSE 0 END AS dwell_z,
   word_count / greatest(dwell_sec, 0.1::DOUBLE) AS words_per_sec FROM dw0 WINDOW w AS (PARTITION BY session_id))"""
 _FEATURES = """
-feat AS (SELECT session_id, slide_id, count(*) AS n_frames, avg(energy) AS energy_mean, avg(pitch) AS pitch_mean, avg(silence::INT::DOUBLE) AS silence_ratio,
-  CASE WHEN stddev_pop(t) > 0 THEN regr_slope(energy, t) END AS energy_slope
+feat AS (SELECT session_id, slide_id, count(*) AS n_frames, avg(energy) AS energy_mean, avg(pitch) AS pitch_mean, avg(speech_rate_per_sec) AS rate_mean, avg(silence::INT::DOUBLE) AS silence_ratio,
+  CASE WHEN stddev_pop(t) > 0 THEN regr_slope(energy, t) END AS energy_slope, CASE WHEN stddev_pop(t) > 0 THEN regr_slope(speech_rate_per_sec, t) END AS rate_slope
   FROM frame_segments JOIN frames USING (session_id) WHERE t BETWEEN lo AND hi GROUP BY ALL)"""
 _CLAMP = "greatest(0.0::DOUBLE, least(1.0::DOUBLE, {}))"
 
@@ -123,17 +123,20 @@ SELECT session_id, n_slides, round_even(speech_rate, 6) AS speech_rate, round_ev
   round_even(greatest(0, least(100, (speech_rate * .25::DOUBLE + filler * .15::DOUBLE + dwell * .1::DOUBLE) / .5::DOUBLE * 100)), 6) AS delivery_stability FROM c""",
     "pacing": f"""WITH {a.WORDS}, {_SLIDES} SELECT session_id, count(*) AS n_slides, round_even(CASE WHEN count(*) < 2 THEN 70 WHEN avg(words_per_sec) <= 1e-6 THEN 50
   ELSE greatest(0, 100 * (1 - least(stddev_pop(words_per_sec) / (avg(words_per_sec) + 1e-8), 1))) END::DOUBLE, 6) AS pacing_score FROM dw GROUP BY session_id""",
-    "segment_features": f"WITH {a.FRAMES}, {_FEATURES} SELECT session_id, slide_id, n_frames, round_even(energy_mean, 6) AS energy_mean, round_even(pitch_mean, 6) AS pitch_mean, round_even(silence_ratio, 6) AS silence_ratio FROM feat",
-    "trend_labels": f"""WITH {a.FRAMES}, {_FEATURES} SELECT session_id, slide_id, CASE WHEN energy_slope < -1e-3 THEN 'declining_energy' WHEN energy_slope > 1e-3 THEN 'rising_energy' ELSE 'stable' END AS trend, round_even(energy_slope, 5) AS slope FROM feat""",
-    "anomaly_flags": f"""WITH {a.FRAMES}, {_FEATURES}, g AS (SELECT session_id, avg(energy) AS em, stddev_pop(energy) AS es, avg(pitch) AS pm, stddev_pop(pitch) AS ps FROM frames GROUP BY ALL),
-z AS (SELECT session_id, slide_id, (energy_mean - em) / (es + 2e-8) AS ez, (pitch_mean - pm) / (ps + 2e-8) AS pz FROM feat JOIN g USING (session_id))
-SELECT session_id, slide_id, concat_ws(',', CASE WHEN abs(ez) > 0.5 THEN 'energy_z>0.5' END, CASE WHEN abs(pz) > 0.5 THEN 'pitch_z>0.5' END) AS flags, ((abs(ez) > 0.5)::INT + (abs(pz) > 0.5)::INT) AS n_flags, round_even(ez, 6) AS energy_z FROM z""",
+    "segment_features": f"WITH {a.FRAMES}, {_FEATURES} SELECT session_id, slide_id, n_frames, round_even(energy_mean, 6) AS energy_mean, round_even(pitch_mean, 6) AS pitch_mean, round_even(rate_mean, 6) AS speech_rate_per_sec_mean, round_even(silence_ratio, 6) AS silence_ratio FROM feat",
+    "trend_labels": f"""WITH {a.FRAMES}, {_FEATURES} SELECT session_id, slide_id, CASE WHEN energy_slope < -.01 THEN 'declining_energy' WHEN energy_slope > .01 THEN 'rising_energy' WHEN rate_slope > .01 THEN 'increasing_speed' WHEN rate_slope < -.01 THEN 'decreasing_speed' ELSE 'stable' END AS trend, round_even(rate_slope, 5) AS rate_slope, round_even(energy_slope, 5) AS slope FROM feat""",
+    "anomaly_flags": f"""WITH {a.FRAMES}, {_FEATURES}, g AS (SELECT session_id, avg(energy) AS em, stddev_pop(energy) AS es, avg(pitch) AS pm, stddev_pop(pitch) AS ps, avg(speech_rate_per_sec) AS rm, stddev_pop(speech_rate_per_sec) AS rs FROM frames GROUP BY ALL),
+z AS (SELECT session_id, slide_id, (energy_mean - em) / (es + 2e-8) AS ez, (pitch_mean - pm) / (ps + 2e-8) AS pz, (rate_mean - rm) / (rs + 2e-8) AS rz FROM feat JOIN g USING (session_id))
+SELECT session_id, slide_id, concat_ws(',', CASE WHEN abs(ez) > 0.5 THEN 'energy_z>0.5' END, CASE WHEN abs(pz) > 0.5 THEN 'pitch_z>0.5' END, CASE WHEN abs(rz) > 0.5 THEN 'speech_rate_per_sec_z>0.5' END) AS flags, ((abs(ez) > 0.5)::INT + (abs(pz) > 0.5)::INT + (abs(rz) > 0.5)::INT) AS n_flags, round_even(ez, 6) AS energy_z FROM z""",
     "speech_rate_frames": f"""WITH {a.WORDS}, f AS (SELECT session_id, word_idx // 5 AS frame_idx, start_ms AS ms FROM words WHERE word_idx % 5 = 0)
 SELECT f.session_id, f.frame_idx, f.ms / 1000.0::DOUBLE AS t, coalesce(sum(len(regexp_extract_all(word, '[aeiouy]+'))), 0) / 2.0::DOUBLE AS rate
 FROM f LEFT JOIN words w ON w.session_id = f.session_id AND (w.start_ms + w.end_ms) / 2 BETWEEN ms - 1000 AND ms + 1000 GROUP BY ALL""",
-    "change_point_types": f"""WITH {a.FRAMES}, z AS (SELECT *, (energy - avg(energy) OVER s) / (stddev_pop(energy) OVER s + 1e-8) AS ez, (pitch - avg(pitch) OVER s) / (stddev_pop(pitch) OVER s + 1e-8) AS pz FROM frames WINDOW s AS (PARTITION BY session_id)),
-m AS (SELECT session_id, frame_idx, silence, avg(ez) OVER n - avg(ez) OVER p AS em, avg(pz) OVER n - avg(pz) OVER p AS pm FROM z
-  WINDOW n AS (PARTITION BY session_id ORDER BY frame_idx ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING), p AS (PARTITION BY session_id ORDER BY frame_idx ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING))
-SELECT session_id, frame_idx, CASE WHEN abs(em) >= abs(pm) THEN 'energy' ELSE 'pitch' END || CASE WHEN (CASE WHEN abs(em) >= abs(pm) THEN em ELSE pm END) < 0 THEN '_drop' ELSE '_rise' END AS type, round_even(greatest(abs(em), abs(pm)), 5) AS magnitude FROM m WHERE silence AND em IS NOT NULL""",
+    # fixed rule: the series that moves most names the change; pitch has no direction, pace is called speed
+    "change_point_types": f"""WITH {a.FRAMES}, z AS (SELECT *, (energy - avg(energy) OVER s) / (stddev_pop(energy) OVER s + 1e-8) AS ez, (pitch - avg(pitch) OVER s) / (stddev_pop(pitch) OVER s + 1e-8) AS pz,
+  (speech_rate_per_sec - avg(speech_rate_per_sec) OVER s) / (stddev_pop(speech_rate_per_sec) OVER s + 1e-8) AS rz FROM frames WINDOW s AS (PARTITION BY session_id)),
+m AS (SELECT session_id, frame_idx, silence, avg(ez) OVER n - avg(ez) OVER p AS em, avg(pz) OVER n - avg(pz) OVER p AS pm, avg(rz) OVER n - avg(rz) OVER p AS rm FROM z
+  WINDOW n AS (PARTITION BY session_id ORDER BY frame_idx ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING), p AS (PARTITION BY session_id ORDER BY frame_idx ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)),
+g AS (SELECT *, greatest(abs(em), abs(pm), abs(rm)) AS top FROM m WHERE silence AND em IS NOT NULL)
+SELECT session_id, frame_idx, CASE WHEN abs(em) = top THEN CASE WHEN em < 0 THEN 'energy_drop' ELSE 'energy_rise' END WHEN abs(pm) = top THEN 'pitch_shift' WHEN rm < 0 THEN 'speed_drop' ELSE 'speed_rise' END AS type, round_even(top, 5) AS magnitude FROM g""",
     "segment_events": f"""WITH {a.FRAMES} SELECT s.session_id, s.slide_id, count_if(silence AND t BETWEEN lo AND hi) AS n_silent, count_if(NOT silence AND t >= lo AND t < hi) AS n_other FROM frame_segments s JOIN frames USING (session_id) GROUP BY ALL""",
 }

@@ -71,7 +71,7 @@ def ablation(spark, sf):
 
 
 def bootstrap_ci(spark, sf):
-    return ev.bootstrap(a.gold_pred(spark, sf), "pred", 200)
+    return ev.bootstrap(a.gold_pred(spark, sf), "pred")
 
 
 def pseudo_targets(spark, sf):

@@ -27,13 +27,13 @@ def segments(words_df: DataFrame) -> DataFrame:
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Audio frames: a user's events in order; t in hours since the first, energy the value, pitch from the properties, errors are silence."""
+    """Audio frames: a user's events in order; t in hours since the first, energy the value, pitch from the properties, pace from the hour of day, errors are silence."""
     e = table(spark, sf_dir, "events")
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     w = Window.partitionBy("user_id").orderBy("us", "event_id")
     e = e.withColumn("us", us)
     t = (F.col("us") - F.min("us").over(Window.partitionBy("user_id"))) / 3.6e9
-    return e.select(F.col("user_id").alias("session_id"), (F.row_number().over(w) - 1).alias("frame_idx"), t.alias("t"), F.col("value").cast("double").alias("energy"), F.get_json_object("props", "$.k").cast("double").alias("pitch"), (F.col("event_type") == "error").alias("silence"))
+    return e.select(F.col("user_id").alias("session_id"), (F.row_number().over(w) - 1).alias("frame_idx"), t.alias("t"), F.col("value").cast("double").alias("energy"), F.get_json_object("props", "$.k").cast("double").alias("pitch"), (F.floor(F.col("us") / 3_600_000_000) % 24 / 4.0).alias("speech_rate_per_sec"), (F.col("event_type") == "error").alias("silence"))
 
 
 def frame_segments(frames_df: DataFrame, parts: int = 5) -> DataFrame:
@@ -88,7 +88,7 @@ segments AS (SELECT session_id, slide_id, start_ms, coalesce(lead(start_ms) OVER
 FRAMES = """
 frames AS (SELECT user_id AS session_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame_idx,
   (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id)) / 3.6e9::DOUBLE AS t, value::DOUBLE AS energy,
-  (props::JSON ->> '$.k')::DOUBLE AS pitch, event_type = 'error' AS silence FROM events),
+  (props::JSON ->> '$.k')::DOUBLE AS pitch, epoch_us(ts) // 3600000000 % 24 / 4.0::DOUBLE AS speech_rate_per_sec, event_type = 'error' AS silence FROM events),
 frame_segments AS (SELECT session_id, slide_id, top * (slide_id - 1) / 5 AS lo, top * slide_id / 5 AS hi
   FROM (SELECT session_id, max(t) AS top, unnest(range(1, 6))::INT AS slide_id FROM frames GROUP BY session_id))"""
 LINES = """
