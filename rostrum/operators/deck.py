@@ -63,19 +63,24 @@ def roles(slides: DataFrame, captions: DataFrame | None = None) -> DataFrame:
 
 
 def keywords(lines: DataFrame, top: int = 10, pattern: str = t.NOUN) -> DataFrame:
-    """A slide's most frequent nouns; among equals the one seen first."""
-    w = lines.select("deck", "slide", "line_idx", F.posexplode(t.nouns(F.col("line"), pattern)).alias("pos", "term"))
-    c = w.groupBy("deck", "slide", "term").agg(F.count("*").alias("n"), F.min(F.struct("line_idx", "pos")).alias("seen"))
+    """A slide's most frequent nouns; among equals the one seen first. One exchange, of lines."""
+    w = lines.repartition("deck", "slide").select("deck", "slide", "line_idx", F.posexplode(t.nouns(F.col("line"), pattern)).alias("pos", "term"))
+    seen = F.min(F.col("line_idx").cast("long") * (1 << 32) + F.col("pos"))
+    c = w.groupBy("deck", "slide", "term").agg(F.count("*").alias("n"), seen.alias("seen"))
     return c.withColumn("rank", F.row_number().over(_slide().orderBy(F.desc("n"), "seen"))).where(F.col("rank") <= top).select("deck", "slide", "rank", "term", "n")
 
 
 def tfidf(lines: DataFrame) -> DataFrame:
-    """Weights of a line's words among its slide's lines: ln((1+n)/(1+df))+1, at length 1."""
-    w = lines.select("deck", "slide", "line_idx", F.explode(F.regexp_extract_all(F.lower("line"), F.lit(r"(?U)\b(\w\w+)\b"), 1)).alias("term"))
-    n = lines.where(F.trim("line") != "").groupBy("deck", "slide").agg(F.count("*").alias("n_lines"))
-    tf = w.groupBy("deck", "slide", "line_idx", "term").agg(F.count("*").alias("tf"))
+    """Weights of a line's words among its slide's lines: ln((1+n)/(1+df))+1, at length 1.
+
+    Lines are dealt by slide once; counts, document frequencies and norms follow without another exchange.
+    """
+    n_lines = F.count_if(F.trim("line") != "").over(_slide())
+    x = lines.select("deck", "slide", "line_idx", "line").repartition("deck", "slide").withColumn("n_lines", n_lines)
+    w = x.select("deck", "slide", "line_idx", "n_lines", F.explode(F.regexp_extract_all(F.lower("line"), F.lit(r"(?U)\b(\w\w+)\b"), 1)).alias("term"))
+    tf = w.groupBy("deck", "slide", "line_idx", "n_lines", "term").agg(F.count("*").alias("tf"))
     df = F.count("*").over(Window.partitionBy("deck", "slide", "term"))
-    x = tf.withColumn("df", df).join(n, ["deck", "slide"]).withColumn("w", F.col("tf") * (F.log((1 + F.col("n_lines")) / (1 + F.col("df"))) + 1))
+    x = tf.withColumn("df", df).withColumn("w", F.col("tf") * (F.log((1 + F.col("n_lines")) / (1 + F.col("df"))) + 1))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("deck", "slide", "line_idx")))
     return x.select("deck", "slide", "line_idx", "term", "tf", (F.col("w") / norm).alias("weight"))
 

@@ -43,26 +43,22 @@ def slide_roles(spark, sf):
 
 
 def keywords_topn(spark, sf):
-    return d.keywords(_lines(spark, sf), 10, "[a-z]{3,}")
+    return d.keywords(_lines(spark, sf))
 
 
 def tfidf(spark, sf):
-    return d.tfidf(_ascii(_lines(spark, sf))).withColumn("weight", edge(F.col("weight")))
-
-
-def _ascii(lines):
-    return lines.withColumn("line", F.regexp_replace("line", "[^A-Za-z0-9_ ]", " ")).where(F.trim("line") != "")
+    return d.tfidf(_lines(spark, sf)).withColumn("weight", edge(F.col("weight")))
 
 
 def textrank(spark, sf):
-    """The leading lines of each slide of at most 30 lines that a word links."""
-    return d.textrank(d.tfidf(_ascii(_lines(spark, sf)))).withColumn("score", edge(F.col("score"), 4))
+    """The leading lines of each slide that a word links."""
+    return d.textrank(d.tfidf(_lines(spark, sf))).withColumn("score", edge(F.col("score"), 4))
 
 
 def keypoints_dedup(spark, sf):
     x = _lines(spark, sf)
     title = d.titles(x).select("deck", "slide", F.lit("title").alias("source"), F.lit(0).alias("pos"), F.col("title").alias("text"))
-    body = x.select("deck", "slide", F.when(F.col("line_idx") % 2 == 0, "bullet").otherwise("body").alias("source"), F.col("line_idx").alias("pos"), F.substring("line", 1, 40).alias("text"))
+    body = x.select("deck", "slide", F.when(F.col("line_idx") % 2 == 0, "bullet").otherwise("body").alias("source"), F.col("line_idx").alias("pos"), F.col("line").alias("text"))
     k = d.keypoints(title.unionByName(body))
     return k.select("deck", "slide", "kp_idx", F.md5(F.col("text").cast("binary")).alias("text_md5"), "source", "importance")
 
@@ -109,9 +105,8 @@ _ASSEMBLE = """
 asm AS (SELECT deck, slide, coalesce(string_agg(clean, chr(10) ORDER BY line_idx) FILTER (clean <> ''), '') AS text, count_if(bullet AND clean <> '') AS n_bullets FROM l5 GROUP BY ALL),
 tit AS (SELECT deck, slide, tr AS title, score FROM l5 WHERE line_idx < 8 AND tr <> '' QUALIFY row_number() OVER (PARTITION BY deck, slide ORDER BY score DESC, line_idx) = 1)"""
 _TFIDF = """
-al AS (SELECT deck, slide, line_idx, regexp_replace(line, '[^A-Za-z0-9_ ]', ' ', 'g') AS line FROM slide_lines),
-al2 AS (SELECT * FROM al WHERE trim(line) <> ''),
-tw AS (SELECT deck, slide, line_idx, unnest(regexp_extract_all(lower(line), '\\b(\\w\\w+)\\b', 1)) AS term FROM al2),
+al2 AS (SELECT * FROM slide_lines WHERE trim(line) <> ''),
+tw AS (SELECT deck, slide, line_idx, unnest(regexp_extract_all(lower(line), '[\\p{L}\\p{M}\\p{Nd}\\p{Nl}\\p{Pc}]{2,}')) AS term FROM al2),
 tn AS (SELECT deck, slide, count(*) AS n_lines FROM al2 GROUP BY ALL),
 tf AS (SELECT deck, slide, line_idx, term, count(*) AS tf FROM tw GROUP BY ALL),
 tx AS (SELECT *, tf * (ln((1 + n_lines) / (1 + count(*) OVER (PARTITION BY deck, slide, term))) + 1) AS w FROM tf JOIN tn USING (deck, slide))"""
@@ -124,12 +119,12 @@ ORACLE = {
 r AS (SELECT *, CASE WHEN f THEN 'cover' WHEN l AND regexp_matches(title || ' ' || text, '(?i)(감사|thank|q\\s*&?\\s*a|질문)') THEN 'thanks'
   WHEN n_bullets = 0 AND length(title) <= 35 AND len(list_filter(string_split(text, chr(10)), lambda x: length(x) > 45)) = 0 THEN 'section' ELSE 'content' END AS role FROM s)
 SELECT deck, slide, role, 'heuristic' AS source, CASE WHEN role = 'content' THEN 1.0 ELSE 0.0 END::DOUBLE AS coverage_weight FROM r""",
-    "keywords_topn": f"""WITH {a.LINES}, w AS (SELECT deck, slide, line_idx, unnest(x) AS term, generate_subscripts(x, 1) AS pos FROM (SELECT *, list_transform(regexp_extract_all(line, '[a-z]{{3,}}'), lambda y: lower(y)) AS x FROM slide_lines)),
+    "keywords_topn": f"""WITH {a.LINES}, w AS (SELECT deck, slide, line_idx, unnest(x) AS term, generate_subscripts(x, 1) AS pos FROM (SELECT *, list_transform(regexp_extract_all(line, '{t.NOUN}'), lambda y: lower(y)) AS x FROM slide_lines)),
 c AS (SELECT deck, slide, term, count(*) AS n, min((line_idx, pos)) AS seen FROM w GROUP BY ALL)
 SELECT deck, slide, row_number() OVER (PARTITION BY deck, slide ORDER BY n DESC, seen) AS rank, term, n FROM c QUALIFY rank <= 10""",
     "tfidf": f"WITH {a.LINES}, {_TFIDF} SELECT deck, slide, line_idx, term, tf, round_even(w / sqrt(sum(w * w) OVER (PARTITION BY deck, slide, line_idx)), 6) AS weight FROM tx",
     "keypoints_dedup": f"""WITH {a.LINES}, {_RULES}, {_ASSEMBLE}, p AS (SELECT deck, slide, 0 AS o, 'title' AS source, 0 AS pos, title AS text, 1.0 AS importance FROM tit UNION ALL
-SELECT deck, slide, CASE WHEN line_idx % 2 = 0 THEN 1 ELSE 3 END, CASE WHEN line_idx % 2 = 0 THEN 'bullet' ELSE 'body' END, line_idx, line[1:40], CASE WHEN line_idx % 2 = 0 THEN .8 ELSE .4 END FROM slide_lines),
+SELECT deck, slide, CASE WHEN line_idx % 2 = 0 THEN 1 ELSE 3 END, CASE WHEN line_idx % 2 = 0 THEN 'bullet' ELSE 'body' END, line_idx, line, CASE WHEN line_idx % 2 = 0 THEN .8 ELSE .4 END FROM slide_lines),
 q AS (SELECT * FROM p WHERE trim(text) <> '' QUALIFY row_number() OVER (PARTITION BY deck, slide, lower(trim(text)) ORDER BY o, pos) = 1)
 SELECT deck, slide, row_number() OVER (PARTITION BY deck, slide ORDER BY o, pos) - 1 AS kp_idx, md5(trim(text)) AS text_md5, source, importance::DOUBLE AS importance FROM q""",
     "visual_captions": f"""WITH {a.LINES}, i AS (SELECT deck, slide, line_idx AS item, ['image', 'table', 'chart'][line_idx % 3 + 1] AS type, trim(regexp_replace(line, '\\s+', ' ', 'g')) AS raw, line_idx % 3 = 0 AND trim(line) <> '' AS sure, CASE WHEN line_idx % 3 = 2 THEN 'bar_chart' END AS chart FROM slide_lines),
