@@ -57,7 +57,7 @@ def shingle_set(text: bytes, width: int = WIDTH, known: Memo | None = None) -> n
     return h
 
 
-def set_id(h: np.ndarray) -> int:
-    """A signed 64-bit name of a set."""
-    x = xxhash.xxh64_intdigest(h.tobytes(), seed=len(h))
+def set_id(h: np.ndarray, nth: int = 0) -> int:
+    """A signed 64-bit name of a set; for each nth another one."""
+    x = xxhash.xxh64_intdigest(h.tobytes(), seed=len(h) + (nth << 40))
     return x - (1 << 64) if x >> 63 else x
