@@ -29,6 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rostrum.llm import batches as arrow
 from rostrum.plans import scratch
 
 # Fixed values of HTML: elements without content, elements that aren't part of a text, and elements that break lines.
@@ -45,6 +46,7 @@ TITLED = frozenset("h1 h2 h3 h4 h5 h6 p section".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|[^<]+|<", re.S | re.I)
 _NAMED = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_VALUE = re.compile(r"=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]+)")
 _SPACE = re.compile(r"\s+")
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:$|[\s=])", re.I)
 #: Share of the text that a slot without an article must hold, and of link text that makes a list a menu.
@@ -74,17 +76,23 @@ def _hint(tag: str, names: list[tuple[str, str]]) -> int:
         return best
     for kind, value in names:
         titled = kind == "id" and tag in TITLED
+        plain = tag in TITLED and tag != "section"
         for x in value.split():
             if titled and tag != "section" or not HINT.search(x):
                 continue
-            # separators are doubled so that neighbours don't share one
-            if HINT.fullmatch(x) or not HINT.sub("", re.sub(r"[_-]", r"\g<0>\g<0>", x)).strip("_-"):
+            # separators are doubled so that neighbours don't share one; a paragraph with another class beside it is text
+            if not (plain and len(value.split()) > 1) and (HINT.fullmatch(x) or not HINT.sub("", re.sub(r"[_-]", r"\g<0>\g<0>", x)).strip("_-")):
                 best = max(best, SECTION if titled else WHOLE)
             else:
                 best = max(best, ID if kind == "id" else CLASS)
     return best
 
 
+def _hidden(attributes: str) -> bool:
+    """Whether an attribute is named hidden; what values say is no matter."""
+    return "hidden" in attributes.lower() and bool(HIDDEN.search(_VALUE.sub("=", attributes)))
+
+
 class _Page:
     """One reading of a page: its elements, and its texts with the element that holds each."""
 
@@ -131,7 +139,7 @@ class _Page:
             named = [(k.lower(), a or b or c) for k, a, b, c in _NAMED.findall(m[4])] if m[4] else []
             names = " ".join(x for _, x in named)
             hint = _hint(tag, named) if named else 0
-            out = up[3] or tag in NOT_TEXT or hint == WHOLE or bool(m[4] and HIDDEN.search(m[4]))
+            out = up[3] or tag in NOT_TEXT or hint == WHOLE or _hidden(m[4])
             token = xxhash.xxh64_intdigest(f"{tag} {names}", seed=up[0] & (1 << 63) - 1) >> 1
             if tag in VOID or m[4].endswith("/"):
                 if tag == "br":
@@ -285,6 +293,7 @@ def extract(pages: DataFrame) -> DataFrame:
     element, or else its whole body without what is marked as not text. An empty table gives an empty result; other columns
     are ignored.
     """
+    arrow.bound(pages.sparkSession)
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     rows = pages.select("page_id", "url", host.alias("host"), F.coalesce("html", F.lit("")).alias("html"))
     made = scratch.settle(pages.sparkSession, lambda: templates(rows.select(F.xxhash64("page_id", "url", F.crc32(F.col("html").cast("binary"))).alias("key"), "host", "html")), "templates")

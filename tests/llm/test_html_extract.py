@@ -113,3 +113,9 @@ def test_names_made_from_titles_keep_their_text(spark):
         want[i] = "\n".join([a, b, c, d, e] if i % 4 == 0 else [e])
     got = run(spark, rows)
     assert {i: got[i].text for i in want} == want
+
+
+def test_values_that_say_hidden_hide_nothing(spark):
+    source = '<html><body><article><p title="a hidden cost of x">One.</p><p data-note=\'partly hidden by\'>Two.</p><p hidden>Three.</p><p HIDDEN="">Four.</p><p class="lead related">Five.</p></article></body></html>'
+    got = run(spark, [(1, "http://one/", source)])
+    assert got[1].text == "One.\nTwo.\nFive."
