@@ -24,6 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rostrum.llm import batches as arrow
 from rostrum.llm.memo import Memo
 
 #: Bytes of pieces, and number of pairs of tokens (some 100 bytes each), that a task remembers.
@@ -56,13 +57,14 @@ class Bpe:
             self.text[i] = t
         for t, i in self.special.items():
             self.text[i] = t.encode()
-        self.rank: dict[tuple[int, int], int] = {}
-        self.parts: dict[int, tuple[int, int]] = {}
+        self.rank: dict[int, int] = {}
+        self.parts = np.full((size, 2), -1, np.int32)
         for r, m in enumerate(spec["model"]["merges"]):
             a, b = m.split(" ") if isinstance(m, str) else m
-            pair = self.ids[raw[a]], self.ids[raw[b]]
-            self.rank[pair] = r
-            self.parts.setdefault(self.ids[raw[a] + raw[b]], pair)
+            x, y, made = self.ids[raw[a]], self.ids[raw[b]], self.ids[raw[a] + raw[b]]
+            self.rank[x * size + y] = r
+            if self.parts[made, 0] < 0:
+                self.parts[made] = x, y
         self.finder = ahocorasick.Automaton()
         for t, i in self.ids.items():
             self.finder.add_word(t.decode("latin-1"), (len(t), i))
@@ -87,11 +89,13 @@ class Bpe:
     def _edge(self, token: int, side: int) -> list[tuple[int, float]]:
         """The pieces that lie at a token's right (1) or left (0) edge while it is merged, each with the rank that consumes it."""
         out = [(token, float("inf"))]
-        while token in self.parts:
-            r = self.rank[self.parts[token]]
-            token = self.parts[token][side]
-            out.append((token, r))
-        return out
+        size = len(self.text)
+        while True:
+            x, y = self.parts[token].tolist()
+            if x < 0:
+                return out
+            token = (x, y)[side]
+            out.append((token, self.rank[x * size + y]))
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether the merges leave a boundary between tokens a and b."""
@@ -102,7 +106,7 @@ class Bpe:
             right = self._edge(b, 0)
             for x, x_ends in self._edge(a, 1):
                 for y, y_ends in right:
-                    r = self.rank.get((x, y))
+                    r = self.rank.get(x * len(self.text) + y)
                     # of equal merges the leftmost comes first
                     if r is not None and r < x_ends and r <= y_ends:
                         known = False
@@ -187,5 +191,6 @@ def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
                 text_sha.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
+    arrow.bound(docs.sparkSession)
     rows = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")

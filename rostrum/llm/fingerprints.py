@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rostrum.llm import batches as arrow
 from rostrum.llm.memo import Memo
 from rostrum.llm.shingles import WIDTH, shingle_hashes, word_hashes
 from rostrum.plans import scratch
@@ -132,6 +133,7 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     order, and the first text of the range below follows them as a lender only.
     """
     spark = docs.sparkSession
+    arrow.bound(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("text"))
     keys = scratch.keep(rows.select("id", "tie"), "keys")

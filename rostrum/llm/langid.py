@@ -20,6 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rostrum.llm import batches as arrow
 from rostrum.plans import scratch
 
 #: Rounds of expectation-maximisation, from equal probabilities; each reads the table of word counts once.
@@ -205,6 +206,7 @@ def learn(train: DataFrame, vocabulary: str, lang_col: str = "lang", text_col: s
     Rows without language or text are left out. The result is bounded by
     languages x vocabulary, the number of languages being a property of the labels.
     """
+    arrow.bound(train.sparkSession)
     rows = train.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).dropna()
     counts = scratch.keep(rows.mapInArrow(_count, "lang string, chunk string, n long").groupBy("lang", "chunk").agg(F.sum("n").alias("n")), "words")
     langs = sorted(r.lang for r in counts.select("lang").distinct().collect())

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rostrum.llm import batches as arrow
 from rostrum.plans import scratch
 
 #: Documents that the scorer is trained on at most, chosen by a hash of id and text, and the most words of one of them.
@@ -268,6 +269,7 @@ class Model:
     """What the first pass learns: the labellers' rates and the scorer's weights."""
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, sample: int):
+        arrow.bound(docs.sparkSession)
         n = docs.count()
         h = F.xxhash64(F.col(id_col), F.col(text_col))
         most = int(-(1 << 63) + min(1.0, 0.95 * sample / max(n, 1)) * (2.0**64 - 2048))

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from rostrum.llm import huffman
 from rostrum.llm.bpe import byte_of_char
+from rostrum.llm import batches as arrow
 from rostrum.plans import scratch
 
 END = 2
@@ -175,6 +176,7 @@ def write(docs: DataFrame, to: str, vocabulary: str, id_col: str = "doc_id", tex
     from tokenizers import Tokenizer
 
     spark = docs.sparkSession
+    arrow.bound(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     size = max(Tokenizer.from_file(vocabulary).get_vocab_size(), END + 1)
     kind = "<u2" if size <= 1 << 16 else "<u4"
