@@ -9,6 +9,14 @@ from rostrum.functions.score import clamp, overall_delivery
 from rostrum.plans import scratch
 
 
+#: Fixed value: characters of an error that a status keeps.
+ERROR_LENGTH = 500
+
+
+def error_text(x: Column) -> Column:
+    return F.left(x, F.lit(ERROR_LENGTH))
+
+
 def speech_rate(words: Column, millis: Column) -> Column:
     return words / F.greatest(F.lit(1e-6), millis / 1000.0)
 

@@ -110,7 +110,14 @@ tw AS (SELECT deck, slide, line_idx, unnest(regexp_extract_all(lower(line), '[\\
 tn AS (SELECT deck, slide, count(*) AS n_lines FROM al2 GROUP BY ALL),
 tf AS (SELECT deck, slide, line_idx, term, count(*) AS tf FROM tw GROUP BY ALL),
 tx AS (SELECT *, tf * (ln((1 + n_lines) / (1 + count(*) OVER (PARTITION BY deck, slide, term))) + 1) AS w FROM tf JOIN tn USING (deck, slide))"""
+_CAPTIONS = """
+cp AS (SELECT page_id // 10 AS deck, (page_id % 10 + 1)::INT AS slide, regexp_extract(url, '/([a-z]{2})/', 1) AS kind, regexp_extract(html, '<title>([^<]*)', 1) AS title FROM pages),
+ce AS (SELECT *, list_filter(list_transform(string_split(title, ' '), lambda x: left(trim(regexp_replace(x, '\\s+', ' ', 'g')), 30)), lambda x: x <> '') AS es FROM cp),
+cl AS (SELECT *, list_transform(es, lambda x: lower(x)) AS low FROM ce)
+SELECT deck, slide, CASE WHEN kind IN ('en', 'de') THEN kind ELSE 'other' END AS slide_type, left(trim(regexp_replace(title, '\\s+', ' ', 'g')), 30) AS main_claim,
+  array_to_string(list_filter(es, lambda x, i: list_position(low, lower(x)) = i)[1:3], '|') AS entities FROM cl"""
 ORACLE = {
+    "caption_rules": f"WITH {_CAPTIONS}",
     "slide_lines_clean": f"WITH {a.LINES}, {_RULES} SELECT deck, slide, line_idx, md5(clean) AS clean, metric, bullet, score, layout FROM l5",
     "slide_titles": f"WITH {a.LINES}, {_RULES}, {_ASSEMBLE} SELECT * FROM tit",
     "slide_titles_layout": f"WITH {a.LINES}, {_RULES} SELECT deck, slide, tr AS title, round_even(CASE WHEN layout >= 60 THEN layout ELSE score END, 6) AS score FROM l5 WHERE line_idx < 8 AND tr <> '' QUALIFY row_number() OVER (PARTITION BY deck, slide ORDER BY layout >= 60 DESC, CASE WHEN layout >= 60 THEN layout ELSE score END DESC, line_idx) = 1",

@@ -128,10 +128,10 @@ def upsert_latest(spark, sf):
 
 
 def status_current(spark, sf):
-    """Where each request is now, with a message of failed ones cut to a length."""
+    """Where each request is now, with the message of failed ones; every second message is longer than a status keeps."""
     x = p.latest(a.requests(spark, sf), "analysis_id")
     s = F.element_at(F.create_map(*[F.lit(v) for kv in {"O": "running", "F": "done", "P": "failed"}.items() for v in kv]), F.col("status"))
-    return x.select("analysis_id", s.alias("state"), F.when(s == "failed", F.left(F.concat(F.lit("order "), F.col("seq.key").cast("string"), F.lit(" failed")), F.lit(10))).alias("error"))
+    return x.select("analysis_id", s.alias("state"), F.when(s == "failed", p.error_text(F.repeat(F.concat(F.lit("order "), F.col("seq.key").cast("string"), F.lit(" failed")), (F.col("seq.key") % 2 * 60 + 1).cast("int")))).alias("error"))
 
 
 def clip_chunks(spark, sf):
@@ -202,7 +202,7 @@ s AS (SELECT sum(len(list_intersect(g, p)))::BIGINT AS tp, sum(len(p)) AS np, su
 SELECT key, CASE WHEN r <= floor(n * .8::DOUBLE) THEN 'train' WHEN r <= floor(n * .8::DOUBLE) + floor(n * .1::DOUBLE) THEN 'valid' ELSE 'test' END AS split FROM h""",
     "resume_antijoin": f"WITH {a.MANIFEST} SELECT audio_path, pitch_shift FROM manifest WHERE audio_path NOT IN (SELECT audio_path FROM manifest WHERE energy_drop = 1)",
     "upsert_latest": f"WITH {a.REQUESTS}, {_LATEST} SELECT analysis_id, status, score, key FROM lt",
-    "status_current": f"WITH {a.REQUESTS}, {_LATEST} SELECT analysis_id, CASE status WHEN 'O' THEN 'running' WHEN 'F' THEN 'done' ELSE 'failed' END AS state, CASE WHEN status = 'P' THEN left('order ' || key || ' failed', 10) END AS error FROM lt",
+    "status_current": f"WITH {a.REQUESTS}, {_LATEST} SELECT analysis_id, CASE status WHEN 'O' THEN 'running' WHEN 'F' THEN 'done' ELSE 'failed' END AS state, CASE WHEN status = 'P' THEN left(repeat('order ' || key || ' failed', key % 2 * 60 + 1), 500) END AS error FROM lt",
     "clip_chunks": f"""WITH {a.FRAMES}, s AS (SELECT *, hi - lo AS d FROM frame_segments WHERE hi > lo), n AS (SELECT *, greatest(1, floor(d / 25) + CASE WHEN d - floor(d / 25) * 25 >= 5 THEN 1 ELSE 0 END)::INT AS n FROM s),
 e AS (SELECT *, unnest(range(0, n)) AS i FROM n) SELECT session_id, slide_id, i, round_even(lo + i * 25, 3) AS lo, round_even(CASE WHEN i = n - 1 THEN hi ELSE lo + i * 25 + 25 END, 3) AS hi FROM e""",
     "boundary_segments": f"""WITH {a.WORDS}, b AS (SELECT session_id, list_sort(list_append(list_distinct(list(start_ms)), max(end_ms))) AS b FROM segments GROUP BY ALL)

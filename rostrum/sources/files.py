@@ -102,29 +102,36 @@ def read_reports(spark: SparkSession, path: str) -> DataFrame:
 
 
 class Upsert:
-    """A keyed table of latest rows in versioned folders; a pointer file names the current one. One writer."""
+    """A keyed table of latest rows in versioned folders. One writer.
+
+    The current version is the greatest whose write ended, which the success mark in
+    its folder says; a crash at any point leaves the version before as it was. The
+    current and the previous version stay, for readers that have just begun.
+    """
 
     def __init__(self, spark: SparkSession, path: str, schema: str, key: str, seq: str):
         self.spark, self.path, self.schema, self.key, self.seq = spark, path.rstrip("/"), schema, key, seq
 
-    def _pointer(self) -> str:
-        return f"{self.path}/_current"
+    def _versions(self) -> list[int]:
+        """Versions that are whole, ascending."""
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v*/_SUCCESS")
+        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return sorted(int(x.getPath().getParent().getName()[1:]) for x in fs.globStatus(root) or [])
 
-    def _version(self) -> int | None:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(self._pointer())
-        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return int(self.spark.read.text(self._pointer()).first()[0]) if fs.exists(p) else None
+    def _drop(self, version: int) -> None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{version}")
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
     def read(self) -> DataFrame:
-        v = self._version()
-        return self.spark.createDataFrame([], self.schema) if v is None else self.spark.read.schema(self.schema).parquet(f"{self.path}/v{v}")
+        v = self._versions()
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{v[-1]}") if v else self.spark.createDataFrame([], self.schema)
 
     def merge(self, rows: DataFrame) -> None:
         """Keep each key's row of the greatest seq; merging the same rows again changes nothing."""
         from rostrum.operators.prepare import latest
 
-        old = self.read()
+        before, old = self._versions(), self.read()
         new = latest(old.unionByName(rows.select(*old.columns)), self.key, self.seq).select(*old.columns)
-        v = (self._version() or 0) + 1
-        new.write.mode("overwrite").parquet(f"{self.path}/v{v}")
-        self.spark.createDataFrame([(str(v),)], "value string").coalesce(1).write.mode("overwrite").text(self._pointer())
+        new.write.mode("overwrite").parquet(f"{self.path}/v{before[-1] + 1 if before else 1}")
+        for v in before[:-1]:
+            self._drop(v)

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from rostrum.functions.text import FILLERS, is_filler, syllables
-from rostrum.operators.prepare import latest
+from rostrum.operators.chunking import MOST_MS, MOST_WORDS
+from rostrum.operators.prepare import error_text, latest
 from rostrum.sources.files import Upsert
 
 REQUEST = "analysis_id string, seq long, audio struct<bucket:string,object_key:string>, document struct<bucket:string,object_key:string>"
@@ -23,16 +24,36 @@ def parse_requests(messages: DataFrame) -> DataFrame:
 
 
 def serve(messages: DataFrame, analyse: Callable[[DataFrame], DataFrame], store: Upsert, rejects: str, checkpoint: str) -> StreamingQuery:
-    """Each batch: reject bad messages, analyse the others, upsert results.
+    """Each batch: reject bad messages, analyse the others, upsert results, failed requests among them.
 
     The source is read at least once and the merge is by key and sequence, so a
-    batch that runs again leaves the same table.
+    batch that runs again leaves the same table. Where an analysis raises, its batch is
+    halved by a hash of the request until the failing requests stand alone; those are
+    written as state "failed" with error_code and error_message, as far as the
+    store has these columns, and the stream goes on.
     """
 
+    def attempt(rows: DataFrame, bit: int) -> None:
+        try:
+            store.merge(analyse(rows))
+            return
+        except Exception as e:  # whatever an analysis raises is that request's result
+            failure = e
+        if rows.limit(2).count() < 2 or bit == 64:
+            known = {"state": F.lit("failed"), "error_code": F.lit(type(failure).__name__), "error_message": error_text(F.lit(str(failure)))}
+            types = store.read().schema
+            store.merge(rows.select([F.col(c.name) if c.name in (store.key, store.seq) else known.get(c.name, F.lit(None)).cast(c.dataType).alias(c.name) for c in types]))
+            return
+        side = F.shiftright(F.xxhash64("analysis_id", "seq"), bit).bitwiseAND(F.lit(1))
+        for half in (0, 1):
+            part = rows.where(side == half)
+            if not part.isEmpty():
+                attempt(part, bit + 1)
+
     def batch(df: DataFrame, n: int) -> None:
         df = parse_requests(df).persist()
         df.where("reason IS NOT NULL").select("value", "reason").write.mode("overwrite").json(f"{rejects}/batch={n}")
-        store.merge(analyse(df.where("reason IS NULL").drop("value", "reason")))
+        attempt(df.where("reason IS NULL").drop("value", "reason"), 0)
         df.unpersist()
 
     return messages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -50,10 +71,22 @@ def live_rate(words: DataFrame, width: str = "1 second", slide: str = "500 milli
     return w.agg(F.sum(syllables(F.col("word"), pattern)).alias("syllables"), F.count_if(is_filler(F.col("word"), fillers)).alias("fillers"), F.count("*").alias("n_words")).select("session_id", F.col("window.start").alias("start"), "syllables", "fillers", "n_words")
 
 
-def live_utterances(words: DataFrame, pause: str = "900 milliseconds", late: str = "5 seconds") -> DataFrame:
-    """Utterances between pauses: session windows."""
-    w = words.withWatermark("ts", late).groupBy("session_id", F.session_window("ts", pause))
-    return w.agg(F.count("*").alias("n_words")).select("session_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n_words")
+def live_utterances(words: DataFrame, pause: str = "900 milliseconds", late: str = "5 seconds", most_ms: int = MOST_MS, most_words: int = MOST_WORDS) -> DataFrame:
+    """Utterances between pauses, of at most so many words, begun anew once one has lasted so long: session windows, their words folded in order.
+
+    start and end are the first and the last word's time. Words of one time count apart.
+    """
+    talk = words.withWatermark("ts", late).groupBy("session_id", F.session_window("ts", pause)).agg(F.array_sort(F.collect_list("ts")).alias("w"))
+    piece = lambda a, b, n: F.struct(a.alias("start"), b.alias("end"), n.cast("long").alias("n_words"))
+
+    def add(done, t):
+        c = F.element_at(done, -1)
+        new = (F.size(done) == 0) | (F.unix_millis(c["end"]) - F.unix_millis(c["start"]) >= most_ms) | (c["n_words"] >= most_words)
+        more = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(piece(c["start"], t, c["n_words"] + 1)))
+        return F.when(F.coalesce(new, F.lit(True)), F.concat(done, F.array(piece(t, t, F.lit(1))))).otherwise(more)
+
+    none = F.array().cast("array<struct<start:timestamp,end:timestamp,n_words:bigint>>")
+    return talk.select("session_id", F.explode(F.aggregate("w", none, add)).alias("x")).select("session_id", "x.*")
 
 
 def incremental_labels(spark: SparkSession, path: str, prepare: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> StreamingQuery:

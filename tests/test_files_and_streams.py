@@ -70,6 +70,45 @@ def test_requests_upsert_and_status(spark, tmp_path):
     assert store.read().count() == 2
 
 
+def test_a_failing_analysis_is_recorded(spark, tmp_path):
+    (tmp_path / "q").mkdir()
+    rows = [json.dumps({"analysis_id": f"k{i}", "seq": i, "audio": {"bucket": "b", "object_key": "k"}}) for i in range(7)]
+    (tmp_path / "q/1.txt").write_text("\n".join(rows))
+    store = files.Upsert(spark, str(tmp_path / "t"), "analysis_id string, seq long, state string, error_code string, error_message string, score double", "analysis_id", "seq")
+
+    def analyse(df):
+        if df.where("seq % 3 = 1").count():
+            raise RuntimeError("no speech " * 100)
+        return df.select("analysis_id", "seq", F.lit("done").alias("state"), F.lit(None).cast("string").alias("error_code"), F.lit(None).cast("string").alias("error_message"), F.lit(1.0).alias("score"))
+
+    live.serve(spark.readStream.schema("value string").text(str(tmp_path / "q")), analyse, store, str(tmp_path / "r"), str(tmp_path / "c")).awaitTermination()
+    got = {r.analysis_id: r for r in store.read().collect()}
+    assert {k for k, r in got.items() if r.state == "failed"} == {"k1", "k4"} and len(got) == 7
+    assert got["k1"].error_code == "RuntimeError" and got["k1"].error_message == ("no speech " * 100)[:500] and got["k0"].score == 1.0
+
+
+def test_upsert_after_a_crash(spark, tmp_path):
+    store = files.Upsert(spark, str(tmp_path / "t"), "k string, n long", "k", "n")
+    rows = lambda *x: spark.createDataFrame(x, "k string, n long")
+    store.merge(rows())
+    assert store.read().count() == 0
+    store.merge(rows(("a", 1), ("b", 1)))
+    rows(("z", 9)).write.parquet(str(tmp_path / "t/v3"))
+    (tmp_path / "t/v3/_SUCCESS").unlink()  # a write that never ended
+    assert sorted(map(tuple, store.read().collect())) == [("a", 1), ("b", 1)]
+    for n in (2, 3):
+        store.merge(rows(("a", n), ("a", 0)))
+    assert sorted(map(tuple, store.read().collect())) == [("a", 3), ("b", 1)]
+    assert store._versions() == [3, 4]
+
+
+def test_utterances_end_by_words_and_time(spark):
+    at = [0.1 * i for i in range(40)] + [10 + 0.5 * i for i in range(20)]  # 40 quick words, a pause, 20 slow ones
+    df = spark.createDataFrame([("s", t) for t in at] + [("u", 0.0), ("u", 0.0)], "session_id string, t double").withColumn("ts", F.timestamp_millis((F.col("t") * 1000).cast("long")))
+    got = [(r.session_id, r.n_words, round(r.end.timestamp() - r.start.timestamp(), 1)) for r in sorted(live.live_utterances(df).collect(), key=lambda r: (r.session_id, r.start))]
+    assert got == [("s", 36, 3.5), ("s", 4, 0.3), ("s", 17, 8.0), ("s", 3, 1.0), ("u", 2, 0.0)]
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rows = [("s", f"2024-01-01 00:00:{i // 10:02d}.{i % 10}00", w) for i, w in enumerate(["음", "안녕", "어", "발표", "시작"] * 6)] + [("s", "2024-01-01 00:01:00", "끝")]
     df = spark.createDataFrame(rows, "session_id string, ts string, word string").withColumn("ts", F.col("ts").cast("timestamp"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import numpy as np
@@ -238,3 +239,30 @@ def test_captions_textrank_and_merge(spark):
     assert [(r.c_lo, r.c_hi) for r in sorted(prepare.chunks(ch.where("slide_id = 2"), 25.0, 5.0).collect(), key=lambda r: r.c_lo)] == [(0, 25), (25, 52)]
     lines = spark.createDataFrame([(1, 1, "첫째 줄. 둘째 줄! " + "가" * 130 + "\n끝",)], "session_id long, slide_id int, text string")
     assert [r.text for r in sorted(chunking.pack_sentences(lines).collect(), key=lambda r: r.chunk_idx)] == ["첫째 줄. 둘째 줄!", "가" * 130, "끝"]
+
+
+def test_textrank_against_plain_loops(spark):
+    pages = {(1, 1): ["red green blue", "green blue grey", "blue", "", "red red black", "lone words here"], (1, 2): ["one two", "three four"], (2, 1): ["매출 성장", "매출 감소 성장", "고객 성장", "고객"]}
+    df = spark.createDataFrame([(deck_no, s, i, x) for (deck_no, s), lines in pages.items() for i, x in enumerate(lines)], "deck long, slide int, line_idx int, line string")
+    want = {}
+    for key, lines in pages.items():
+        words = [[w for w in x.split() if len(w) > 1] for x in lines]
+        some = sum(1 for x in lines if x.strip())
+        df_of = {w: sum(w in x for x in words) for x in words for w in x}
+        vec = []
+        for x in words:
+            v = {w: x.count(w) * (math.log((1 + some) / (1 + df_of[w])) + 1) for w in x}
+            norm = math.sqrt(sum(y * y for y in v.values())) or 1.0
+            vec.append({w: y / norm for w, y in v.items()})
+        at = [i for i, v in enumerate(vec) if v]
+        sim = {(i, j): sum(y * vec[j].get(w, 0.0) for w, y in vec[i].items()) for i in at for j in at if i != j}
+        out = {i: sum(sim[i, j] for j in at if j != i) for i in at}
+        score = dict.fromkeys(at, 1.0)
+        for _ in range(50):
+            score = {j: 0.15 + 0.85 * sum(score[i] * sim[i, j] / out[i] for i in at if i != j and sim[i, j] > 0) for j in at}
+        for rank, i in enumerate(sorted(at, key=lambda i: (-round(score[i], 9), i))[:3]):
+            want[(*key, i)] = (rank + 1, score[i])
+    got = {(r.deck, r.slide, r.line_idx): (r["rank"], r.score) for r in deck.textrank(deck.tfidf(df)).collect()}
+    assert got.keys() == want.keys()
+    for k, (rank, score) in want.items():
+        assert got[k][0] == rank and got[k][1] == pytest.approx(score)
