@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from rostrum.queries import alignment, assembly, coherence, deck, delivery, report, training
+from rostrum.queries import alignment, assembly, coherence, deck, delivery, probe, report, training
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-for _part in (delivery, deck, coherence, report, training, alignment, assembly):
+for _part in (delivery, deck, coherence, report, training, alignment, assembly, probe):
     QUERIES |= _part.QUERIES
     ORACLE |= _part.ORACLE

@@ -78,8 +78,8 @@ def probe_loss(rows: DataFrame) -> DataFrame:
 
 
 def improvement(loss: DataFrame, baseline: DataFrame) -> DataFrame:
-    """Percent by which the loss is below the baseline's."""
-    j = loss.select("loss").crossJoin(baseline.select(F.col("loss").alias("baseline")))  # one row each
+    """The loss's row with the baseline and the percent by which the loss is below it."""
+    j = loss.crossJoin(baseline.select(F.col("loss").alias("baseline")))  # one row each
     return j.withColumn("improvement_pct", F.coalesce(F.try_divide((F.col("baseline") - F.col("loss")) * 100, F.col("baseline")), F.lit(0.0)))
 
 
