@@ -25,6 +25,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +34,9 @@ from rostrum.llm.bpe import byte_of_char
 from rostrum.llm import batches as arrow
 from rostrum.plans import scratch
 
+# Fixed value: the pattern by which the tokenizer cuts a lower-cased text into the parts that it merges.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
 END = 2
 #: A block closes with the document that reaches this many ids.
 BLOCK = 1 << 16
@@ -48,9 +52,10 @@ NO_ID = -(1 << 63)
 class _Chunks(dict):
     """Ids (as bytes) of chunks between ASCII white space; this tokenizer drops white space and never looks across it.
 
-    The plain case, letters that need no normalisation but lower case, perhaps
-    with full stops or commas behind, goes to the tokenizer's BPE model at once and
-    is remembered without them; any other chunk goes through the whole tokenizer.
+    The plain case, printable Latin text that needs no normalisation but lower case
+    and holds no special token, is cut by the tokenizer's pattern; its parts go to the
+    tokenizer's BPE model at once and are remembered. Any other chunk goes through the
+    whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -60,6 +65,9 @@ class _Chunks(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.bpe = self.tokenizer.model
         self.chars = {b: c for c, b in byte_of_char().items()}
+        self.cut = regex.compile(PATTERN).findall
+        #: first characters of special tokens, which may stand anywhere in a chunk
+        self.starts = {t.content[:1].lower() for t in self.tokenizer.get_added_tokens_decoder().values()}
         self.words: dict[str, bytes] = {}
 
     def __missing__(self, chunk: bytes) -> bytes:
@@ -69,10 +77,13 @@ class _Chunks(dict):
         text = core.decode()
         low = text.lower()
         # Latin letters are lower-cased one by one, as in the library
-        if text.isalpha() and (core.isascii() or max(text) < "\u0180" and len(low) == len(text) and unicodedata.is_normalized("NFC", text)):
+        latin = core.isascii() or (text and max(text) < "\u0180" and len(low) == len(text) and unicodedata.is_normalized("NFC", text))
+        if latin and text.isalpha():
             got = self.word(low)
             if len(core) < len(chunk):
                 got += self.word(chunk[len(core) :].decode())
+        elif latin and text.isprintable() and self.starts.isdisjoint(low):
+            got = b"".join(map(self.word, self.cut(low + chunk[len(core) :].decode())))
         else:
             got = self.whole(chunk.decode())
         if len(chunk) <= LONGEST:
