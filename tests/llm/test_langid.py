@@ -1,12 +1,16 @@
-"""Segment sums against listing every segmentation, and held-out accuracy."""
+"""Segment sums, learned probabilities and scores against listing every segmentation, and held-out accuracy."""
 
 from __future__ import annotations
 
+import math
 import random
+import re
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pytest
 
 from rostrum.llm import langid
 
@@ -62,6 +66,50 @@ def test_held_out_accuracy_and_odd_rows(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def plain(rows, rounds):
+    """The whole query by loops over all segmentations: {doc_id: (lang_pred, score)}."""
+    known = langid.pieces(VOCABULARY)
+    runs = lambda t: ["▁" + r for r in re.findall(r"[^\W\d_]+", (t or "").lower())]
+    legal = {w: [c for c in cuts(w) if all(p in known or len(p) == 1 for p in c)] for _, t, *_ in rows for w in runs(t)}
+    name = lambda p: p if p in known else None
+    train = [(lang, w) for d, t, lang, _ in rows if lang and zlib.crc32(str(d).encode()) % 3 != 1 for w in runs(t)]
+    langs, size = sorted({lang for lang, _ in train}), len(known)
+    prob = {lang: defaultdict(lambda: 1 / (size + 1)) for lang in langs}
+    chance = lambda lang, c: math.prod(prob[lang][name(p)] for p in c)
+    for _ in range(rounds):
+        seen = {lang: Counter() for lang in langs}
+        for lang, w in train:
+            total = sum(chance(lang, c) for c in legal[w])
+            for c in legal[w]:
+                for p in c:
+                    seen[lang][name(p)] += chance(lang, c) / total
+        prob = {}
+        for lang in langs:
+            all_ = seen[lang].total() + langid.SMOOTH * (size + 1)
+            prob[lang] = defaultdict(lambda all_=all_: langid.SMOOTH / all_, {p: (n + langid.SMOOTH) / all_ for p, n in seen[lang].items()})
+            prob[lang][None] /= 1000
+    out = {}
+    for d, t, *_ in rows:
+        logs = {lang: sum(math.log(sum(chance(lang, c) for c in legal[w])) for w in runs(t)) for lang in langs}
+        best = max(logs, key=logs.get)
+        out[d] = (best, 1 / sum(math.exp(x - logs[best]) for x in logs.values())) if runs(t) else ("und", 0.0)
+    return out
+
+
+@pytest.mark.parametrize("rounds", [langid.ROUNDS, 2])
+def test_query_against_plain_loops(spark, rounds):
+    rng = random.Random(2)
+    words = ["the", "theme", "seven", "le", "leçon", "Été", "der", "Leute", "dört", "ꙮa", "x9y", "--", "A.b"]
+    rows = [(i, " ".join(rng.choice(words[k : k + 7]) for _ in range(rng.randrange(1, 5))), ["en", "fr", "de"][k % 3], "") for i, k in enumerate(rng.choices(range(7), k=60))]
+    rows += [(100, None, "en", ""), (101, "le dört", None, ""), (102, "9 --", "fr", "")]
+    want = plain(rows, rounds)
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(rows, SCHEMA).repartition(3), VOCABULARY, rounds=rounds).collect()}
+    assert got.keys() == want.keys()
+    for d, (lang, score) in want.items():
+        assert math.isclose(got[d].score, score, rel_tol=1e-9), d
+        assert got[d].lang_pred == lang or math.isclose(score, 1 / 2) or math.isclose(score, 1 / 3), d
+
+
 def test_nothing_to_learn_from(spark):
     assert langid.identify(spark.createDataFrame([], SCHEMA), VOCABULARY).count() == 0
     assert langid.identify(spark.createDataFrame([(1, "some words", None, "")], SCHEMA), VOCABULARY).first().lang_pred == "und"
