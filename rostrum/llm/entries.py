@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rostrum.llm import bpe, exact_dedup, fingerprints, html_extract, jaccard_join, langid, mixing, quality, sharding, token_files
+from rostrum.llm import bpe, exact_dedup, fingerprints, html_extract, jaccard_join, langid, mixing, quality, runs, sharding, token_files
 from rostrum.plans import scratch
 
 
@@ -55,6 +55,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(_table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.runs(_table(spark, sf_dir, "documents"), planted=True)
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_html_extract": op2_html_extract,
@@ -66,6 +70,7 @@ QUERIES = {
     "op8_langid": op8_langid,
     "op9_quality": op9_quality,
     "op10_sharding": op10_sharding,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 
 ORACLE = {
