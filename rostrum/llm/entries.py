@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rostrum.llm import bpe, exact_dedup, fingerprints, html_extract, jaccard_join, langid, mixing, quality, runs, sharding, token_files
+from rostrum.llm import bpe, exact_dedup, fingerprints, html_extract, jaccard_join, langid, mixing, quality, runs, sharding, substring_dedup, token_files
 from rostrum.plans import scratch
 
 
@@ -59,6 +59,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.runs(_table(spark, sf_dir, "documents"), planted=True)
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_html_extract": op2_html_extract,
@@ -71,6 +75,7 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_sharding": op10_sharding,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_substring_dedup": op12_substring_dedup,
 }
 
 ORACLE = {
