@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rostrum.llm import bpe, exact_dedup, fingerprints, html_extract, jaccard_join, langid, mixing, quality, runs, sharding, substring_dedup, token_files
+from rostrum.llm import alignment, bpe, exact_dedup, fingerprints, html_extract, jaccard_join, langid, mixing, quality, runs, sharding, substring_dedup, token_files
 from rostrum.plans import scratch
 
 
@@ -63,6 +63,10 @@ def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove(_table(spark, sf_dir, "documents"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.links(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_html_extract": op2_html_extract,
@@ -76,6 +80,7 @@ QUERIES = {
     "op10_sharding": op10_sharding,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_substring_dedup": op12_substring_dedup,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 ORACLE = {

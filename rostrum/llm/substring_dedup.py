@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from rostrum.llm import batches as arrow
 from rostrum.llm.memo import Memo
+from rostrum.llm.packed import pack, steps, unpack
 from rostrum.llm.shingles import word_hashes
 from rostrum.plans import scratch
 
@@ -63,29 +64,6 @@ def lengths(width: int) -> list[int]:
     return out
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of one row, each byte plane by itself so that leading zeros vanish."""
-    parts = []
-    for a in arrays:
-        planes = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T
-        parts += [np.array([len(a), a.itemsize], "<u4").tobytes(), planes.tobytes()]
-    return zstandard.compress(b"".join(parts), 1)
-
-
-def _unpack(packed: bytes, *kinds: str) -> list[np.ndarray]:
-    raw, at, out = zstandard.decompress(packed), 0, []
-    for kind in kinds:
-        n, size = np.frombuffer(raw, "<u4", 2, at).tolist()
-        planes = np.frombuffer(raw, np.uint8, n * size, at + 8).reshape(size, n)
-        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(kind))
-        at += 8 + n * size
-    return out
-
-
-def _steps(sorted_hashes: np.ndarray) -> np.ndarray:
-    return np.diff(sorted_hashes, prepend=sorted_hashes.dtype.type(0))
-
-
 class _Chunk:
     """Documents: ids (NO_ID for null), words, n_words and n_removed, digest of what is done; alive says which words begin a candidate."""
 
@@ -220,10 +198,10 @@ def _ask(length: int, last: bool, buckets: int):
                 for i, j in zip(cut.tolist(), [*cut[1:].tolist(), len(bucket)], strict=len(bucket) > 0):
                     own = names[i:j]
                     if not last:
-                        asked.append(_pack(_steps((own & np.uint64((1 << SHORT) - 1)).astype("<u4"))))
+                        asked.append(pack(steps((own & np.uint64((1 << SHORT) - 1)).astype("<u4"))))
                     else:
                         ids, nth = np.unique(least[i:j], return_inverse=True)
-                        asked.append(_pack(_steps(own), ids, nth.astype("<u4")))
+                        asked.append(pack(steps(own), ids, nth.astype("<u4")))
                 yield pa.RecordBatch.from_arrays([pa.array([n] * len(asked), pa.int64()), pa.array(bucket[cut], pa.int32()), pa.array(asked, pa.binary())], schema=_ASKED)
 
     return run
@@ -236,10 +214,10 @@ def _answer(last: bool):
         names, ids = [], []
         for a in table["asked"]:
             if not last:
-                names.append(np.cumsum(_unpack(a.as_py(), "<u4")[0], dtype=np.uint32))
+                names.append(np.cumsum(unpack(a.as_py(), "<u4")[0], dtype=np.uint32))
             else:
-                steps, known, nth = _unpack(a.as_py(), "<u8", "<i8", "<u4")
-                names.append(np.cumsum(steps, dtype=np.uint64))
+                gaps, known, nth = unpack(a.as_py(), "<u8", "<i8", "<u4")
+                names.append(np.cumsum(gaps, dtype=np.uint64))
                 ids.append(known[nth])
         x = np.concatenate(names)
         o = np.argsort(x, kind="stable")

@@ -8,6 +8,7 @@ import random
 import numpy as np
 import pytest
 
+from rostrum.llm import packed
 from rostrum.llm import substring_dedup as sd
 
 DOCS = "doc_id long, text string"
@@ -87,7 +88,7 @@ def test_chunks_and_long_text(spark, monkeypatch):
 def test_packing():
     r = np.random.default_rng(1)
     a, b = np.sort(r.integers(0, 1 << 63, 1000).astype(np.uint64)), r.integers(0, 9, 0).astype("<u4")
-    x, y = sd._unpack(sd._pack(sd._steps(a), b), "<u8", "<u4")
+    x, y = packed.unpack(packed.pack(packed.steps(a), b), "<u8", "<u4")
     assert (np.cumsum(x, dtype=np.uint64) == a).all() and len(y) == 0
 
 
