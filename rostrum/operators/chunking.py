@@ -77,10 +77,15 @@ def pack_sentences(rows: DataFrame, longest: int = 120) -> DataFrame:
 
 def cues(words: DataFrame, titles: DataFrame, within: int = 6, least: int = 2) -> DataFrame:
     """From titles (session, slide, tokens): start of the first stretch of words that has enough of a title's tokens."""
-    near = F.collect_set(F.lower("word")).over(Window.partitionBy("session_id").orderBy("word_idx").rowsBetween(0, within - 1))
-    w = words.select("session_id", "start_ms", near.alias("near"))
-    j = titles.select("session_id", "slide_id", F.array_distinct("tokens").alias("tokens")).join(w, "session_id")
-    return j.where(F.size(F.array_intersect("tokens", "near")) >= least).groupBy("session_id", "slide_id").agg(F.min("start_ms").alias("start_ms"))
+    # tokens are looked up by (session, token); a stretch has enough of them if that many different ones end within it
+    want = titles.select("session_id", "slide_id", F.explode(F.array_distinct("tokens")).alias("token"))
+    hits = words.select("session_id", F.lower("word").alias("token"), "word_idx").join(want, ["session_id", "token"])
+    near = F.collect_set("token").over(Window.partitionBy("session_id", "slide_id").orderBy("word_idx").rangeBetween(1 - within, 0))
+    last = hits.withColumn("n", F.size(near)).where(F.col("n") >= least).groupBy("session_id", "slide_id").agg(F.min("word_idx").alias("last"))
+    # the first stretch that holds them begins within - 1 words before the last of them, or with the talk
+    first = words.groupBy("session_id").agg(F.min("word_idx").alias("first"))
+    at = last.join(first, "session_id").select("session_id", "slide_id", F.greatest("first", F.col("last") - (within - 1)).alias("word_idx"))
+    return at.join(words.select("session_id", "word_idx", "start_ms"), ["session_id", "word_idx"]).select("session_id", "slide_id", "start_ms")
 
 
 def refine(bounds: DataFrame, assigned: DataFrame, unit_words: DataFrame, titles: DataFrame, least_sec: float = 1.0, units: int = 4, within: int = 6, intro: str = "소개") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rostrum.functions.score import clamp, density, plateau
 from rostrum.functions.text import FILLERS, is_filler, syllables
+from rostrum.operators.intervals import inside
 
 # Component weights and ranges of the delivery score.
 WEIGHTS = {"silence": 0.35, "speech_rate": 0.25, "filler": 0.15, "dwell": 0.10, "probe": 0.15}
@@ -89,14 +90,9 @@ def stability(slides: DataFrame, keys=("session_id",), weights=WEIGHTS) -> DataF
     return s.withColumn("delivery_stability", clamp(F.when(weight > 0, F.try_divide(total, weight) * 100.0).otherwise(rest), 0.0, 100.0))
 
 
-def frame_segments_join(frames: DataFrame, segments: DataFrame) -> DataFrame:
-    """Frames with each segment that holds them, both ends closed: a frame on a boundary counts twice."""
-    return segments.join(frames, "session_id").where(F.col("t").between(F.col("lo"), F.col("hi")))
-
-
 def segment_features(frames: DataFrame, segments: DataFrame) -> DataFrame:
-    """Means per segment (NaN left out), share of silence, and the slopes of energy and pace; segments without frames go."""
-    j = frame_segments_join(frames, segments)
+    """Means per segment (NaN left out), share of silence, and the slopes of energy and pace; segments without frames go. A frame on a boundary counts in both."""
+    j = inside(frames, segments)
     mean = lambda c: F.coalesce(F.avg(F.when(~F.isnan(c), F.col(c))), F.lit(0.0))
     s = j.groupBy("session_id", "slide_id").agg(F.count("*").alias("n_frames"), mean("energy").alias("energy_mean"), mean("pitch").alias("pitch_mean"), mean("speech_rate_per_sec").alias("speech_rate_per_sec_mean"), F.avg(F.col("silence").cast("double")).alias("silence_ratio"), slope("energy", "t").alias("energy_slope"), slope("speech_rate_per_sec", "t").alias("rate_slope"))
     return s

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from rostrum.functions.score import edge
 from rostrum.operators import delivery as d
+from rostrum.operators.intervals import inside
 from rostrum.sources import adapters as a
 
 #: Latin stand-ins for filler words and syllables, as the talks at hand have no Hangul.
@@ -87,8 +88,8 @@ def segment_events(spark, sf):
     """Silent frames (closed ends) and other frames (half-open) of each span, counted apart so that nothing multiplies."""
     f = a.frames(spark, sf)
     s = a.frame_segments(f)
-    closed = d.frame_segments_join(f.where(F.col("silence")), s).groupBy("session_id", "slide_id").agg(F.count("*").alias("n_silent"))
-    half = s.join(f.where(~F.col("silence")), "session_id").where("t >= lo AND t < hi").groupBy("session_id", "slide_id").agg(F.count("*").alias("n_other"))
+    closed = inside(f.where(F.col("silence")), s).groupBy("session_id", "slide_id").agg(F.count("*").alias("n_silent"))
+    half = inside(f.where(~F.col("silence")), s, closed=False).groupBy("session_id", "slide_id").agg(F.count("*").alias("n_other"))
     out = s.join(closed, ["session_id", "slide_id"], "left").join(half, ["session_id", "slide_id"], "left")
     return out.select("session_id", "slide_id", F.coalesce("n_silent", F.lit(0)).alias("n_silent"), F.coalesce("n_other", F.lit(0)).alias("n_other"))
 
