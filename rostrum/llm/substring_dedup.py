@@ -157,52 +157,48 @@ def _names(chunk: _Chunk, length: int, last: bool, buckets: int, known: Memo):
     return at, bucket[o].astype(np.int64), names[o], least[o], most[o], back[nth]
 
 
-_ASKED = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("asked", pa.binary())])
-_ASKED_SQL = "chunk long, bucket int, asked binary"
-_HELD = pa.schema([("chunk", pa.int64()), ("held", pa.binary())])
+_ASKED = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("asked", pa.binary()), ("held", pa.binary())])
+_ASKED_SQL = "chunk long, bucket int, asked binary, held binary"
 
 
-def _first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text) in, chunks out."""
-    n, size, ids, texts = TaskContext.get().partitionId() << 32, 0, [], []
-
-    def chunk() -> pa.RecordBatch:
-        c = _Chunk(ids, texts)
-        c.split()
-        return pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([c.pack()], pa.binary())], schema=_HELD)
-
-    for b in batches:
-        for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            if ids and size + len(t) > CHUNK:
-                yield chunk()
-                n, size, ids, texts = n + 1, 0, [], []
-            ids.append(NO_ID if i is None else i)
-            texts.append(t)
-            size += len(t)
-    if ids:
-        yield chunk()
+def _ask(n: int, chunk: _Chunk, length: int, last: bool, buckets: int, known: Memo) -> pa.RecordBatch:
+    """A row without a bucket for the chunk itself, and one for each bucket that its candidates fall into."""
+    _, bucket, names, least, _, _ = _names(chunk, length, last, buckets, known)
+    cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else bucket
+    asked = []
+    for i, j in zip(cut.tolist(), [*cut[1:].tolist(), len(bucket)], strict=len(bucket) > 0):
+        own = names[i:j]
+        if not last:
+            asked.append(pack(steps((own & np.uint64((1 << SHORT) - 1)).astype("<u4"))))
+        else:
+            ids, nth = np.unique(least[i:j], return_inverse=True)
+            asked.append(pack(steps(own), ids, nth.astype("<u4")))
+    m = len(asked)
+    return pa.RecordBatch.from_arrays([pa.array([n] * (m + 1), pa.int64()), pa.array([None, *bucket[cut].tolist()], pa.int32()), pa.array([None, *asked], pa.binary()), pa.array([chunk.pack()] + [None] * m, pa.binary())], schema=_ASKED)
 
 
-def _ask(length: int, last: bool, buckets: int):
-    """Chunks in, one row for each bucket that a chunk's candidates fall into out."""
+def _first(length: int, last: bool, buckets: int):
+    """(id, text) in; chunks and what they ask out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = word_hashes()
+        n, size, ids, texts = TaskContext.get().partitionId() << 32, 0, [], []
+
+        def chunk() -> pa.RecordBatch:
+            c = _Chunk(ids, texts)
+            c.split()
+            return _ask(n, c, length, last, buckets, known)
+
         for b in batches:
-            for n, held in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                chunk = _Chunk.unpack(held)
-                chunk.split()
-                _, bucket, names, least, _, _ = _names(chunk, length, last, buckets, known)
-                cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else bucket
-                asked = []
-                for i, j in zip(cut.tolist(), [*cut[1:].tolist(), len(bucket)], strict=len(bucket) > 0):
-                    own = names[i:j]
-                    if not last:
-                        asked.append(pack(steps((own & np.uint64((1 << SHORT) - 1)).astype("<u4"))))
-                    else:
-                        ids, nth = np.unique(least[i:j], return_inverse=True)
-                        asked.append(pack(steps(own), ids, nth.astype("<u4")))
-                yield pa.RecordBatch.from_arrays([pa.array([n] * len(asked), pa.int64()), pa.array(bucket[cut], pa.int32()), pa.array(asked, pa.binary())], schema=_ASKED)
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if ids and size + len(t) > CHUNK:
+                    yield chunk()
+                    n, size, ids, texts = n + 1, 0, [], []
+                ids.append(NO_ID if i is None else i)
+                texts.append(t)
+                size += len(t)
+        if ids:
+            yield chunk()
 
     return run
 
@@ -237,8 +233,8 @@ def _answer(last: bool):
     return run
 
 
-def _extend(length: int, longer: int, buckets: int):
-    """Chunks with the answers to their windows of this length in; chunks with the candidates for the longer ones out."""
+def _extend(length: int, longer: int, last: bool, buckets: int):
+    """Chunks with the answers to their windows of this length in; chunks with the candidates for the longer ones, and what they ask, out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = word_hashes()
@@ -251,7 +247,7 @@ def _extend(length: int, longer: int, buckets: int):
                 both[:first] = alive[:first] & alive[len(alive) - first :]
                 chunk.alive = both & (chunk.room >= longer)
                 _settle(chunk, np.unique(chunk.doc[chunk.alive]))
-                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([chunk.pack()], pa.binary())], schema=_HELD)
+                yield _ask(n, chunk, longer, last, buckets, known)
 
     return run
 
@@ -263,8 +259,9 @@ def _settle(chunk: _Chunk, candidates: np.ndarray) -> None:
     for k in np.flatnonzero(~left).tolist():
         if not chunk.done[k]:
             chunk.finish(k)
-    chunk.alive = chunk.alive[left[chunk.doc]]
+    keep = left[chunk.doc]
     chunk.words = [w if x else [] for w, x in zip(chunk.words, left.tolist(), strict=True)]
+    chunk.alive, chunk.doc, chunk.room = chunk.alive[keep], chunk.doc[keep], chunk.room[keep]
 
 
 def _answered(b: pa.RecordBatch, length: int, last: bool, buckets: int, known: Memo):
@@ -319,15 +316,14 @@ def _removed(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = min(BUCKETS, 1 + size // BUCKET)
-    chunks = scratch.keep(texts.mapInArrow(_first, "chunk long, held binary"), "chunks", "uncompressed")
     levels = lengths(width)
-    for length, longer in zip(levels, [*levels[1:], None], strict=True):
-        last = longer is None
-        asked = chunks.mapInArrow(_ask(length, last, buckets), _ASKED_SQL)
-        answers = asked.groupBy("bucket").applyInArrow(_answer(last), "chunk long, bucket int, bits binary")
+    made = scratch.keep(texts.mapInArrow(_first(levels[0], len(levels) == 1, buckets), _ASKED_SQL), "windows", "uncompressed")
+    for k, length in enumerate(levels):
+        last = k == len(levels) - 1
+        answers = made.where("bucket IS NOT NULL").select("chunk", "bucket", "asked").groupBy("bucket").applyInArrow(_answer(last), "chunk long, bucket int, bits binary")
         answers = answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits")).alias("answers"))
-        met = chunks.join(answers, "chunk", "left").select("chunk", "held", "answers")
+        met = made.where("bucket IS NULL").select("chunk", "held").join(answers, "chunk", "left").select("chunk", "held", "answers")
         if last:
             return met.mapInArrow(_remove(width, buckets, id_col), f"`{id_col}` long, n_words long, n_removed long, kept_sha256 string")
-        before, chunks = chunks, scratch.keep(met.mapInArrow(_extend(length, longer, buckets), "chunk long, held binary"), "chunks", "uncompressed")
+        before, made = made, scratch.keep(met.mapInArrow(_extend(length, levels[k + 1], k == len(levels) - 2, buckets), _ASKED_SQL), "windows", "uncompressed")
         scratch.drop(before)
