@@ -112,26 +112,39 @@ class Upsert:
     def __init__(self, spark: SparkSession, path: str, schema: str, key: str, seq: str):
         self.spark, self.path, self.schema, self.key, self.seq = spark, path.rstrip("/"), schema, key, seq
 
-    def _versions(self) -> list[int]:
-        """Versions that are whole, ascending."""
+    def _folders(self) -> list[tuple[int, int]]:
+        """(version, last batch that it holds or -1) of folders that are whole, ascending."""
         root = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v*/_SUCCESS")
         fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return sorted(int(x.getPath().getParent().getName()[1:]) for x in fs.globStatus(root) or [])
+        names = [x.getPath().getParent().getName()[1:].split("-", 1) for x in fs.globStatus(root) or []]
+        return sorted((int(x[0]), int(x[1]) if len(x) > 1 else -1) for x in names)
+
+    def _versions(self) -> list[int]:
+        return [v for v, _ in self._folders()]
 
-    def _drop(self, version: int) -> None:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{version}")
+    def _at(self, version: int, batch: int) -> str:
+        return f"{self.path}/v{version}" + (f"-{batch}" if batch >= 0 else "")
+
+    def _drop(self, version: int, batch: int) -> None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(self._at(version, batch))
         p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
     def read(self) -> DataFrame:
-        v = self._versions()
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{v[-1]}") if v else self.spark.createDataFrame([], self.schema)
+        v = self._folders()
+        return self.spark.read.schema(self.schema).parquet(self._at(*v[-1])) if v else self.spark.createDataFrame([], self.schema)
+
+    def holds(self, batch: int) -> bool:
+        """Whether a merge with this batch's number, or a later one's, is part of the table."""
+        v = self._folders()
+        return bool(v) and v[-1][1] >= batch
 
-    def merge(self, rows: DataFrame) -> None:
-        """Keep each key's row of the greatest seq; merging the same rows again changes nothing."""
+    def merge(self, rows: DataFrame, batch: int = -1) -> None:
+        """Keep each key's row of the greatest seq; merging the same rows again changes nothing. The batch's number stays with the version."""
         from rostrum.operators.prepare import latest
 
-        before, old = self._versions(), self.read()
+        before, old = self._folders(), self.read()
         new = latest(old.unionByName(rows.select(*old.columns)), self.key, self.seq).select(*old.columns)
-        new.write.mode("overwrite").parquet(f"{self.path}/v{before[-1] + 1 if before else 1}")
+        version, last = before[-1] if before else (0, -1)
+        new.write.mode("overwrite").parquet(self._at(version + 1, max(last, batch)))
         for v in before[:-1]:
-            self._drop(v)
+            self._drop(*v)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import wave
 
 import numpy as np
@@ -130,3 +131,116 @@ def test_split_sizes_and_latest(spark):
     df = spark.createDataFrame([(f"k{i}",) for i in range(300)], "key string")
     n = {r.split: r["count"] for r in p.split(df, "key", 0.8, 0.1).groupBy("split").count().collect()}
     assert n == {"train": 240, "valid": 30, "test": 30}
+
+
+def _messages(tmp_path, ids):
+    (tmp_path / "q").mkdir(exist_ok=True)
+    rows = [json.dumps({"analysis_id": f"k{i}", "seq": i, "audio": {"bucket": "b", "object_key": "k"}}) for i in ids]
+    (tmp_path / f"q/{ids[0]}.txt").write_text("\n".join(rows))
+
+
+STORE = "analysis_id string, seq long, state string, error_code string, error_message string, score double"
+
+
+def _serve(spark, tmp_path, analyse, store, checkpoint="c"):
+    live.serve(spark.readStream.schema("value string").text(str(tmp_path / "q")), analyse, store, str(tmp_path / "r"), str(tmp_path / checkpoint)).awaitTermination()
+
+
+def test_failures_are_data_and_one_merge(spark, tmp_path):
+    _messages(tmp_path, range(8))
+    store = files.Upsert(spark, str(tmp_path / "t"), STORE, "analysis_id", "seq")
+
+    def analyse(df):
+        n = F.col("seq")
+        return df.where("seq <> 5").select("analysis_id", "seq", F.try_divide(F.lit(12.0), n).alias("score"), live.fault((n == 0, "ZeroDivisionError", F.concat(F.lit("seq "), n)), (n == 6, "Silent", "no speech")).alias("error"))
+
+    _serve(spark, tmp_path, analyse, store)
+    got = {r.analysis_id: (r.state, r.error_code, r.error_message, r.score) for r in store.read().collect()}
+    assert got["k0"] == ("failed", "ZeroDivisionError", "seq 0", None) and got["k6"] == ("failed", "Silent", "no speech", None)
+    assert got["k5"][:2] == ("failed", "NoResult") and got["k4"] == ("done", None, None, 3.0) and len(got) == 8
+    assert store._folders() == [(1, 0)]
+
+
+def test_each_request_by_a_function(spark, tmp_path):
+    _messages(tmp_path, range(6))
+    store = files.Upsert(spark, str(tmp_path / "t"), STORE, "analysis_id", "seq")
+
+    def work(request):
+        if request["seq"] == 3:
+            raise KeyError("no slides")
+        return {"score": request["seq"] / 2}
+
+    _serve(spark, tmp_path, live.each_request(work, "score double"), store)
+    got = {r.analysis_id: (r.state, r.error_code, r.error_message, r.score) for r in store.read().collect()}
+    assert got["k3"] == ("failed", "KeyError", "'no slides'", None) and got["k5"] == ("done", None, None, 2.5)
+
+
+def test_a_failing_store_stops_the_stream(spark, tmp_path):
+    _messages(tmp_path, range(4))
+
+    class Broken(files.Upsert):
+        def merge(self, rows, batch=-1):
+            raise OSError("disk full")
+
+    broken = Broken(spark, str(tmp_path / "t"), STORE, "analysis_id", "seq")
+    analyse = lambda df: df.select("analysis_id", "seq", F.lit(1.0).alias("score"), live.fault().alias("error"))
+    with pytest.raises(Exception, match="disk full"):
+        _serve(spark, tmp_path, analyse, broken)
+    store = files.Upsert(spark, str(tmp_path / "t"), STORE, "analysis_id", "seq")
+    assert store.read().count() == 0
+    _serve(spark, tmp_path, analyse, store)  # the batch runs again
+    assert {r.state for r in store.read().collect()} == {"done"} and store.read().count() == 4
+
+
+def test_a_batch_again_changes_nothing(spark, tmp_path):
+    _messages(tmp_path, range(4))
+    store = files.Upsert(spark, str(tmp_path / "t"), STORE, "analysis_id", "seq")
+    runs = []
+
+    def analyse(df):
+        runs.append(1)
+        return df.select("analysis_id", "seq", F.lit(float(len(runs))).alias("score"), live.fault().alias("error"))
+
+    _serve(spark, tmp_path, analyse, store)
+    _serve(spark, tmp_path, analyse, store, "lost checkpoint")  # batch 0 once more
+    assert len(runs) == 1 and {r.score for r in store.read().collect()} == {1.0}
+    store.merge(spark.createDataFrame([("x", 1, "done", None, None, 2.0)], STORE))
+    assert store.holds(0) and not store.holds(1) and store._folders()[-1] == (2, 0)
+
+
+def test_utterances_leave_without_a_pause(spark, tmp_path):
+    """A talk that never pauses, in shuffled order within the watermark, file by file: utterances come as it goes and equal the fold."""
+    import random
+
+    r = random.Random(3)
+    times = [10**12 + k * 200 for k in range(900)] + [10**12 + 200_000 + k * 1000 for k in range(20)]  # no pause of 900 ms for three minutes, then words apart
+    (tmp_path / "w").mkdir()
+    for n in range(0, len(times), 60):
+        part = [("s", t) for t in times[n : n + 60]] + [("u", t) for t in times[n : n + 60] if t % 400 == 0]
+        r.shuffle(part)
+        (tmp_path / f"w/{n:04d}.csv").write_text("\n".join(f"{s},{t}" for s, t in part))
+        os.utime(tmp_path / f"w/{n:04d}.csv", (n, n))
+    as_words = lambda df: df.select("session_id", F.timestamp_millis("ms").alias("ts"))
+    stream = spark.readStream.schema("session_id string, ms long").option("maxFilesPerTrigger", 1).csv(str(tmp_path / "w"))
+    seen = []
+    q = live.live_utterances(as_words(stream)).writeStream.foreachBatch(lambda df, n: seen.append((n, sorted(map(tuple, df.collect()))))).outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = [x for _, xs in seen for x in xs]
+    want = sorted(map(tuple, live.live_utterances(as_words(spark.read.schema("session_id string, ms long").csv(str(tmp_path / "w")))).collect()))
+    end = max(x[2] for x in want)
+    assert len(got) == len(set(got)) and set(got) <= set(want)
+    assert all((end - x[2]).total_seconds() <= 6 for x in set(want) - set(got))
+    assert max(x[3] for x in got) == 36 and sum(bool(xs) for _, xs in seen) > 8
+    rows = sum(p["numRowsTotal"] for p in q.lastProgress["stateOperators"])
+    assert rows < 200  # the last seconds of two talks, not three minutes
+
+
+def test_late_words_are_left_out(spark, tmp_path):
+    (tmp_path / "w").mkdir()
+    for n, rows in enumerate([[0, 500, 60_000], [120_000], [700, 180_000], [240_000]]):
+        (tmp_path / f"w/{n}.csv").write_text("\n".join(f"s,{10**12 + t}" for t in rows))
+        os.utime(tmp_path / f"w/{n}.csv", (n + 1, n + 1))
+    stream = spark.readStream.schema("session_id string, ms long").option("maxFilesPerTrigger", 1).csv(str(tmp_path / "w")).select("session_id", F.timestamp_millis("ms").alias("ts"))
+    live.live_utterances(stream).writeStream.format("memory").queryName("late").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    got = sorted((round(x.start.timestamp() * 1000) - 10**12, round(x.end.timestamp() * 1000) - 10**12, x.n_words) for x in spark.table("late").collect())
+    assert got[0] == (0, 500, 2) and (60_000, 60_000, 1) in got  # 700 came after the watermark had passed it
