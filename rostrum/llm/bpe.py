@@ -11,7 +11,6 @@ way. Each place dies once, so the work is linear in the piece.
 
 from __future__ import annotations
 
-import copy
 import hashlib
 import json
 from collections.abc import Iterator
@@ -27,8 +26,8 @@ from pyspark.sql import functions as F
 from rostrum.llm import batches as arrow
 from rostrum.llm.memo import Memo
 
-#: Bytes of pieces, and number of pairs of tokens (some 100 bytes each), that a task remembers.
-KEPT_PIECES, KEPT_PAIRS = 40 << 20, 100_000
+#: Bytes of pieces, and number of pairs of tokens (some 100 bytes each), that a worker remembers.
+KEPT_PIECES, KEPT_PAIRS = 48 << 20, 200_000
 
 # Fixed value: the pattern by which byte-level BPE vocabularies cut a text into pieces.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -69,18 +68,17 @@ class Bpe:
         for t, i in self.ids.items():
             self.finder.add_word(t.decode("latin-1"), (len(t), i))
         self.finder.make_automaton()
-        self.shorter = {}
+        self.shorter = [-1] * size
         for t, i in self.ids.items():
             self.shorter[i] = next((self.ids[t[:k]] for k in range(len(t) - 1, 0, -1) if t[:k] in self.ids), -1)
-        self.size = np.array([len(t) for t in self.text], np.int64)
+        self.lengths = list(map(len, self.text))
+        self.size = np.array(self.lengths, np.int64)
         self.start = np.cumsum(self.size) - self.size
         self.bytes = np.frombuffer(b"".join(self.text), np.uint8)
         self.cut = regex.compile(PATTERN)
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.forget()
-
-    def forget(self) -> None:
         self.pairs: dict[int, bool] = {}
+        self.edges: tuple[dict, dict] = ({}, {})
         self.pieces = Memo(self._piece, KEPT_PIECES)
 
     def _piece(self, piece: str) -> bytes:
@@ -88,55 +86,64 @@ class Bpe:
 
     def _edge(self, token: int, side: int) -> list[tuple[int, float]]:
         """The pieces that lie at a token's right (1) or left (0) edge while it is merged, each with the rank that consumes it."""
-        out = [(token, float("inf"))]
-        size = len(self.text)
-        while True:
-            x, y = self.parts[token].tolist()
-            if x < 0:
-                return out
-            token = (x, y)[side]
-            out.append((token, self.rank[x * size + y]))
+        known = self.edges[side].get(token)
+        if known is None:
+            known = [(token, float("inf"))]
+            size, part = len(self.text), token
+            while (xy := self.parts[part].tolist())[0] >= 0:
+                part = xy[side]
+                known.append((part, self.rank[xy[0] * size + xy[1]]))
+            self.edges[side][token] = known  # at most two short lists an id
+        return known
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether the merges leave a boundary between tokens a and b."""
-        pair = a * len(self.text) + b
-        known = self.pairs.get(pair)
+        size = len(self.text)
+        known = self.pairs.get(a * size + b)
         if known is None:
-            known = True
-            right = self._edge(b, 0)
+            known, rank, right = True, self.rank.get, self._edge(b, 0)
             for x, x_ends in self._edge(a, 1):
+                row = x * size
                 for y, y_ends in right:
-                    r = self.rank.get(x * len(self.text) + y)
+                    r = rank(row + y)
                     # of equal merges the leftmost comes first
                     if r is not None and r < x_ends and r <= y_ends:
                         known = False
+                        break
+                if not known:
+                    break
             if len(self.pairs) >= KEPT_PAIRS:
                 self.pairs.clear()
-            self.pairs[pair] = known
+            self.pairs[a * size + b] = known
         return known
 
     def encode_piece(self, piece: bytes) -> list[int]:
         n = len(piece)
-        longest = [(0, -1)] * n
-        for end, found in self.finder.iter(piece.decode("latin-1")):
-            at = end - found[0] + 1
-            if found[0] > longest[at][0]:
-                longest[at] = found
+        if (whole := self.ids.get(piece)) is not None:
+            return [whole]  # the longest match at the first place
+        longest = [-1] * n
+        for end, (size, token) in self.finder.iter(piece.decode("latin-1")):
+            longest[end - size + 1] = token  # a longer one from this place ends later
         dead = bytearray(n + 1)
+        pair, shorter, lengths, many = self.pairs.get, self.shorter, self.lengths, len(self.text)
         out: list[int] = []
-        at, token = 0, longest[0][1] if n else -1
+        at, before, token = 0, -1, longest[0] if n else -1
         while at < n:
-            end = at + len(self.text[token]) if token >= 0 else -1
             if token < 0:
                 dead[at] = 1
                 token = out.pop()
-                at -= len(self.text[token])
-            elif not dead[end] and (not out or self.compatible(out[-1], token)):
-                out.append(token)
-                at = end
-                token = longest[at][1] if at < n else -1
-                continue
-            token = self.shorter[token]
+                at -= lengths[token]
+                before = out[-1] if out else -1
+            elif not dead[at + lengths[token]]:
+                fits = before < 0 or pair(before * many + token)
+                if fits is None:
+                    fits = self.compatible(before, token)
+                if fits:
+                    out.append(token)
+                    at += lengths[token]
+                    before, token = token, longest[at] if at < n else -1
+                    continue
+            token = shorter[token]
         return out
 
     def encode(self, text: str) -> bytes:
@@ -159,16 +166,9 @@ class Bpe:
 
 
 @lru_cache(1)
-def _read(path: str) -> Bpe:
-    """The vocabulary, read once in each Python worker."""
-    return Bpe(path)
-
-
 def load(path: str) -> Bpe:
-    """The vocabulary with a memory of its own, which ends with it."""
-    out = copy.copy(_read(path))
-    out.forget()
-    return out
+    """The vocabulary, read once in each Python worker, with what the worker remembers of pieces."""
+    return Bpe(path)
 
 
 def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
