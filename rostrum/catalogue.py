@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from rostrum.queries import alignment, assembly, coherence, deck, delivery, probe, report, signals, training
+from rostrum.queries import alignment, assembly, coherence, deck, delivery, nested, probe, report, signals, training
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-for _part in (delivery, deck, coherence, report, training, alignment, assembly, probe, signals):
+for _part in (delivery, deck, coherence, report, training, alignment, assembly, probe, signals, nested):
     QUERIES |= _part.QUERIES
     ORACLE |= _part.ORACLE
