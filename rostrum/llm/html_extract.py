@@ -44,7 +44,10 @@ HINT = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|byline-sha
 #: Elements whose ids are made from titles.
 TITLED = frozenset("h1 h2 h3 h4 h5 h6 p section".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|[^<]+|<", re.S | re.I)
+#: What stands in a tag: no other tag's beginning, unless in quotes. No part is read twice, so the time is linear in the page.
+_INSIDE = r"(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+"
+_TOKEN = re.compile(rf"<!--.*?(?:-->|$)|<(script|style)\b{_INSIDE}>.*?(?:</\1\s*>|$)|<(/?)([a-zA-Z][^\s/<>]*+)({_INSIDE})>|<[!?/][^>]*+(?:>|$)|[^<]+|<", re.S | re.I)
+_ENDS = re.compile(r"</([a-zA-Z][^\s/<>]*+)")
 _NAMED = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _VALUE = re.compile(r"=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]+)")
 _SPACE = re.compile(r"\s+")
@@ -63,6 +66,10 @@ BROADCAST_HOSTS = 50_000
 ROOT = 0
 #: In place of a tag for blocks of text.
 TEXT = "#"
+#: A form with this share of the page's text is what the page lies in.
+WRAPS = 0.5
+#: Elements that authors forget to close before the main text.
+LEFT_OPEN = ("nav", "aside", "form", "header", "menu")
 
 
 #: What a hint is: among other words in an id or in a class or role, the whole id of a section, the whole of another name.
@@ -102,6 +109,11 @@ class _Page:
         #: text: (element, block, text)
         self.texts: list[tuple[int, int, str]] = []
         stack, block, links = [0], 0, 0
+        #: places in the stack of the open elements of a tag, and of those that break lines
+        self.open: dict[str, list[int]] = {}
+        lines: list[int] = []
+        last = lambda tags: max((self.open[t][-1] for t in tags if self.open.get(t)), default=0)
+        ends = Counter(x.lower() for x in _ENDS.findall(source))
         for m in _TOKEN.finditer(source):
             tag = m[3]
             if tag is None:
@@ -116,30 +128,27 @@ class _Page:
                 continue
             tag = tag.lower()
             if m[2]:
-                k = next((i for i in range(len(stack) - 1, 0, -1) if self.elements[stack[i]][1] == tag), 0)
-                if k:
-                    links -= self._close(stack, k)
+                ends[tag] -= 1
+                if k := last((tag,)):
+                    links -= self._close(stack, k, lines)
                 block += tag in BLOCK
                 continue
             block += tag in BLOCK
-            if tag in BLOCK:  # a paragraph ends where another block begins
-                k = next((i for i in range(len(stack) - 1, 0, -1) if self.elements[stack[i]][1] in BLOCK), 0)
-                if k and self.elements[stack[k]][1] == "p":
-                    links -= self._close(stack, k)
+            if tag in BLOCK and lines and self.elements[stack[lines[-1]]][1] == "p":  # a paragraph ends where another block begins
+                links -= self._close(stack, lines[-1], lines)
             if tag in CLOSES:
                 these, barrier = CLOSES[tag]
-                for i in range(len(stack) - 1, 0, -1):
-                    name = self.elements[stack[i]][1]
-                    if name in these:
-                        links -= self._close(stack, i)
-                        break
-                    if name in barrier:
-                        break
+                if (k := last(these)) > last(barrier):
+                    links -= self._close(stack, k, lines)
+            if tag in ("article", "main"):  # what has fewer ends to come than are open was left open before the main text
+                forgotten = [self.open[t][0] for t in LEFT_OPEN if self.open.get(t) and not ends[t]]
+                if forgotten:
+                    links -= self._close(stack, min(forgotten), lines)
             up = self.elements[stack[-1]]
             named = [(k.lower(), a or b or c) for k, a, b, c in _NAMED.findall(m[4])] if m[4] else []
             names = " ".join(x for _, x in named)
             hint = _hint(tag, named) if named else 0
-            out = up[3] or tag in NOT_TEXT or hint == WHOLE or _hidden(m[4])
+            out = tag in NOT_TEXT or hint == WHOLE or _hidden(m[4])
             token = xxhash.xxh64_intdigest(f"{tag} {names}", seed=up[0] & (1 << 63) - 1) >> 1
             if tag in VOID or m[4].endswith("/"):
                 if tag == "br":
@@ -150,15 +159,39 @@ class _Page:
                 anchor = token
             self.elements.append([token, tag, stack[-1], out, 0, 0, up[6] + 1, anchor, up[8] + (tag in ("article", "main")), hint, up[10] or hint > 0])
             stack.append(len(self.elements) - 1)
+            self.open.setdefault(tag, []).append(len(stack) - 1)
+            if tag in BLOCK:
+                lines.append(len(stack) - 1)
             links += tag == "a"
+        self._mark()
         for e in reversed(self.elements[1:]):  # children come after their parents
             up = self.elements[e[2]]
             if not e[3] and not e[9]:
                 up[4] += e[4]
                 up[5] += e[5]
 
-    def _close(self, stack: list[int], k: int) -> int:
-        n = sum(self.elements[x][1] == "a" for x in stack[k:])
+    def _mark(self) -> None:
+        """What lies in an element that isn't text isn't either; a form around an article or half the page is no form."""
+        held, main = [e[4] for e in self.elements], [e[1] in ("article", "main") for e in self.elements]
+        if any(e[1] == "form" for e in self.elements):
+            for i in range(len(held) - 1, 0, -1):
+                up = self.elements[i][2]
+                held[up] += held[i]
+                main[up] |= main[i]
+        for i, e in enumerate(self.elements):
+            if e[1] == "form" and e[9] != WHOLE and (main[i] or held[i] >= WRAPS * held[0]):
+                e[3] = False
+            e[3] = e[3] or e[2] >= 0 and self.elements[e[2]][3]
+
+    def _close(self, stack: list[int], k: int, lines: list[int]) -> int:
+        """Close the open elements from place k of the stack; how many of them are links."""
+        n = 0
+        for x in reversed(stack[k:]):
+            tag = self.elements[x][1]
+            self.open[tag].pop()
+            n += tag == "a"
+        while lines and lines[-1] >= k:
+            lines.pop()
         del stack[k:]
         return n
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import random
+import time
 
 from rostrum.llm import html_extract
 
@@ -119,3 +120,31 @@ def test_values_that_say_hidden_hide_nothing(spark):
     source = '<html><body><article><p title="a hidden cost of x">One.</p><p data-note=\'partly hidden by\'>Two.</p><p hidden>Three.</p><p HIDDEN="">Four.</p><p class="lead related">Five.</p></article></body></html>'
     got = run(spark, [(1, "http://one/", source)])
     assert got[1].text == "One.\nTwo.\nFive."
+
+
+def test_a_form_around_the_page_and_what_was_left_open(spark):
+    text = "The words of the article are here."
+    rows = [
+        (1, "http://f1/", f'<body><form id="aspnetForm"><nav>menu</nav><article><p>{text}</p></article><footer>end</footer></form></body>'),
+        (2, "http://f2/", f"<body><nav><ul><li><a href=/>menu</a></ul><article><p>{text}</p></article></body>"),
+        (3, "http://f3/", f"<body><aside>side<main><p>{text}</p></main></body>"),
+        (4, "http://f4/", f'<body><form action="/page"><div class=top>x</div><div class=mid><p>{text}</p></div></form></body>'),
+        (5, "http://f5/", f"<body><article><p>{text}</p><form><p>your mail</p></form></article></body>"),
+        (6, "http://f6/", f"<body><aside><article>teaser</article></aside><main><p>{text}</p></main></body>"),
+        (7, "http://f7/", f"<body><header>top<nav>menu</nav><form><input></form><article><p>{text}</p></article></body>"),
+    ]
+    got = run(spark, rows)
+    assert {i: got[i].text for i in (1, 2, 3, 5, 6, 7)} == dict.fromkeys((1, 2, 3, 5, 6, 7), text)
+    assert text in got[4].text
+
+
+def test_time_is_linear_in_the_page():
+    """A megabyte of each kind of broken markup, read in seconds."""
+    n = 1 << 20
+    hostile = ["<a ", "<a<", '<a href="x', "<a href='x", "<a \"'", "<!x ", "</a ", "<script ", "<i>", "<i></b>", "<!--", "<td></td>", "<hr>", "<p>", "</p>", "<li>", '"', "<", "&amp", "<article>", "<form>", "<style>"]
+    pages = [x * (n // len(x)) for x in hostile]
+    pages += ["<i>" * (n // 8) + "</b>" * (n // 8), "<table><td><table>" + "<i>" * (n // 10) + "<td></td>" * (n // 12), "<i>" * (n // 8) + "<hr>" * (n // 8), '<a b="' + "<a b='" * (n // 8), "<div " + " " * n + "x" * n]
+    for source in pages:
+        began = time.process_time()
+        html_extract._Page(source).text([], set(), set())
+        assert time.process_time() - began < 12, source[:20]
