@@ -146,7 +146,7 @@ def expected(lattice: Lattice, words: list[str], times: np.ndarray, weights: np.
     each = times / np.maximum(front[size, np.arange(n)], 1e-300)
     cells = out.reshape(-1)
     for (i, j, k, ids), x in zip(steps, w, strict=True):
-        cells += np.bincount(ids * weights.shape[1] + column[:k], front[i, :k] * x * back[j, :k] * each[:k], len(cells))
+        np.add.at(cells, ids * weights.shape[1] + column[:k], front[i, :k] * x * back[j, :k] * each[:k])
     return out
 
 
@@ -203,8 +203,8 @@ def _lattice(path: str) -> Lattice:
 def learn(train: DataFrame, vocabulary: str, lang_col: str = "lang", text_col: str = "text", rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
     """Languages, and piece probabilities: a row a piece, then one for any character outside the vocabulary, then zeros.
 
-    Rows without language or text are left out. The result is bounded by
-    languages x vocabulary, the number of languages being a property of the labels.
+    Rows without language or text are left out. The driver gets a row a language; the
+    result is languages x vocabulary doubles, 256 KB a language.
     """
     arrow.bound(train.sparkSession)
     rows = train.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).dropna()
@@ -213,8 +213,9 @@ def learn(train: DataFrame, vocabulary: str, lang_col: str = "lang", text_col: s
     model, size = None, len(pieces(vocabulary))
     for _ in range(rounds if langs else 0):
         seen = np.zeros((size + 2, len(langs)))
-        for r in counts.mapInArrow(_expect(vocabulary, langs, model), "lang string, piece long, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).collect():
-            seen[r.piece, langs.index(r.lang)] = r.n
+        uses = counts.mapInArrow(_expect(vocabulary, langs, model), "lang string, piece long, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
+        for r in uses.groupBy("lang").agg(F.collect_list("piece").alias("pieces"), F.collect_list("n").alias("n")).toLocalIterator():
+            seen[np.array(r.pieces, np.int64), langs.index(r.lang)] = r.n
         model = (seen + SMOOTH) / (seen[:-1].sum(0) + SMOOTH * (size + 1))
         model[size] /= 1000  # shared by all characters outside
         model[size + 1] = 0
@@ -222,6 +223,10 @@ def learn(train: DataFrame, vocabulary: str, lang_col: str = "lang", text_col: s
     return langs, model if model is not None else np.zeros((size + 2, 0))
 
 
+#: Bytes of the sums on the way to words' probabilities, and of remembered rows (a double a language); languages that a block of words is cut for.
+WORK, ROWS, FEW_LANGUAGES = 32 << 20, 48 << 20, 4
+
+
 class _Scorer:
     """Log probabilities of chunks in all languages, remembered as rows of a matrix."""
 
@@ -230,20 +235,31 @@ class _Scorer:
         self.rows = np.zeros((1, model.shape[1]))
         self.at: dict[str, int] = {}
         self.used = 0
+        self.room = min(KEPT, ROWS // (8 * max(1, model.shape[1])))
 
     def words(self, found: list[str]) -> np.ndarray:
-        order, size, steps = self.lattice.walk(found)
+        """A block of words and languages at a time, so that the sums on the way take WORK bytes or one word's in one language."""
         out = np.zeros((len(found), self.model.shape[1]))
-        if len(found):
-            front = forward(steps, self.model, len(found), int(size[0]))
-            out[order] = np.log(np.maximum(front[size, np.arange(len(found))], 1e-300))
+        by = sorted(range(len(found)), key=lambda k: len(found[k]))
+        at = 0
+        while at < len(by):
+            to = at + 1
+            while to < len(by) and (to + 1 - at) * (len(found[by[to]]) + 1) * 8 * FEW_LANGUAGES <= WORK:
+                to += 1
+            part = np.array(by[at:to])
+            order, size, steps = self.lattice.walk([found[k] for k in part])
+            top, many = int(size[0]), max(1, WORK // (8 * (int(size[0]) + 1) * len(part)))
+            for k in range(0, out.shape[1], many):
+                front = forward(steps, self.model[:, k : k + many], len(part), top)
+                out[part[order], k : k + many] = np.log(np.maximum(front[size, np.arange(len(part))], 1e-300))
+            at = to
         return out
 
     def learn(self, chunks: set[str]) -> None:
         """Score the chunks that aren't known yet; row 0 is for those without letters."""
         at = self.at
         new = [c for c in chunks if c not in at]
-        if self.used + len(new) > KEPT:
+        if self.used + len(new) > self.room:
             at.clear()
             self.rows, new, self.used = self.rows[:1].copy(), list(chunks), 0
         self.used += sum(1 + len(c) // LONG for c in new)
@@ -265,7 +281,7 @@ class _Scorer:
         n = len(self.rows)
         base = self.rows.base if self.rows.base is not None else self.rows
         if n + len(more) > len(base):
-            base = np.zeros((2 * (n + len(more)), more.shape[1]))
+            base = np.zeros((max(n + len(more), min(2 * (n + len(more)), self.room)), more.shape[1]))
             base[:n] = self.rows
         base[n : n + len(more)] = more
         self.rows = base[: n + len(more)]

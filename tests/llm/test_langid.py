@@ -113,3 +113,31 @@ def test_query_against_plain_loops(spark, rounds):
 def test_nothing_to_learn_from(spark):
     assert langid.identify(spark.createDataFrame([], SCHEMA), VOCABULARY).count() == 0
     assert langid.identify(spark.createDataFrame([(1, "some words", None, "")], SCHEMA), VOCABULARY).first().lang_pred == "und"
+
+
+def test_blocks_of_words_and_languages_change_nothing(monkeypatch):
+    """A hundred languages in small blocks give the same probabilities; the sums on the way stay small."""
+    lattice = langid._lattice(VOCABULARY)
+    rng = np.random.default_rng(4)
+    model = rng.random((lattice.none + 1, 100)) / 1000
+    model[lattice.none] = 0
+    found = ["a", "hello", "internationalisation", "zz", "straße", "x" * 40, "naïve"] + ["".join(rng.choice(list("abcdefghij"), rng.integers(1, 12))) for _ in range(300)]
+    whole = langid._Scorer(lattice, model).words(found)
+    seen = []
+    plain = langid.forward
+    monkeypatch.setattr(langid, "forward", lambda steps, w, n, top: seen.append((top + 1) * n * w.shape[1] * 8) or plain(steps, w, n, top))
+    monkeypatch.setattr(langid, "WORK", 20_000)
+    assert np.array_equal(langid._Scorer(lattice, model).words(found), whole)
+    assert max(seen) <= 20_000 and len(seen) > 50
+
+
+def test_remembered_rows_are_bounded_in_bytes(monkeypatch):
+    lattice = langid._lattice(VOCABULARY)
+    model = np.full((lattice.none + 1, 100), 1e-4)
+    model[lattice.none] = 0
+    monkeypatch.setattr(langid, "ROWS", 100 * 8 * 50)
+    scorer = langid._Scorer(lattice, model)
+    for k in range(40):
+        scorer.learn({f"word{chr(97 + k % 26)}{chr(97 + j)}" for j in range(20)} | {"same"})
+        base = scorer.rows.base if scorer.rows.base is not None else scorer.rows
+        assert base.nbytes <= 100 * 8 * 72 and "same" in scorer.at
