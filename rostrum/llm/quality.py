@@ -6,9 +6,10 @@ whatever the corpus) estimates how often each fires on clean and on junk documen
 and the share of clean ones; no gold label is used. The posteriors then label a bounded
 sample on which a hashed linear scorer is trained, and that scores every document.
 
-The scorer does not see what the labellers count. Its features are hashed: words,
-pairs of neighbouring words, shapes of words (runs of letters and digits as one
-character), words that repeat the one before, and five words in a row that came before.
+The scorer's features are hashed: words, pairs of neighbouring words, shapes of words
+(runs of letters and digits as one character), words that repeat the one before, and
+five words in a row that came before. The last two are what the labellers "stutter"
+and "loops" count; the scorer does not see what the other seven do.
 
 Two passes over the texts: one counts vote patterns and takes the sample, one scores.
 Both work on the code points of many texts at once, without a table of words.
