@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from rostrum.functions import text as t
 
@@ -32,6 +35,12 @@ def titles(lines: DataFrame, layout: bool = False, first: int = 8) -> DataFrame:
     return best.select("deck", "slide", F.col("r.title").alias("title"), F.col("r.b").alias("score"))
 
 
+def by_place(lines: DataFrame) -> DataFrame:
+    """Lines numbered anew by their place on the page: from the top, then from the left (y0, x0), then as they come."""
+    w = _slide().orderBy("y0", "x0", "line_idx")
+    return lines.withColumn("line_idx", (F.row_number().over(w) - 1).cast(lines.schema["line_idx"].dataType))
+
+
 def assemble(lines: DataFrame) -> DataFrame:
     """A slide's lines in order as one text, and its bullets in order."""
     clean = lines.withColumn("clean", t.content_line(F.col("line"))).withColumn("bullet", t.is_bullet(F.col("line")) & (F.col("clean") != ""))
@@ -88,24 +97,30 @@ def tfidf(lines: DataFrame) -> DataFrame:
 def textrank(weights: DataFrame, top: int = 3, damping: float = 0.85, rounds: int = 50) -> DataFrame:
     """A slide's leading lines: power iteration on line similarities, for a fixed number of rounds.
 
-    The matrix of a slide (tens of lines) is one row; the iteration is an
-    expression on it, so there is one stage and no lineage of rounds.
+    The matrix of similarities is the product of lines x terms with itself, without its
+    diagonal, so a round is a product with each of the two: it costs what the
+    slide has of different words in lines, whatever they share, and no pair of lines is made.
     """
-    w = weights.select("deck", "slide", "line_idx", "term", "weight")
-    b = w.withColumnRenamed("line_idx", "j").withColumnRenamed("weight", "wj")
-    sim = w.join(b, ["deck", "slide", "term"]).where("line_idx <> j").groupBy("deck", "slide", "line_idx", "j").agg(F.sum(F.col("weight") * F.col("wj")).alias("s"))
-    sim = sim.withColumn("p", F.try_divide("s", F.sum("s").over(Window.partitionBy("deck", "slide", "line_idx"))))
-    into = sim.groupBy("deck", "slide", "j").agg(F.array_sort(F.collect_list(F.struct("line_idx", "p"))).alias("inc"))
-    lines = weights.select("deck", "slide", F.col("line_idx").alias("j")).distinct().join(into, ["deck", "slide", "j"], "left")
-    m = lines.groupBy("deck", "slide").agg(F.array_sort(F.collect_list(F.struct("j", F.coalesce("inc", F.array().cast("array<struct<line_idx:int,p:double>>")).alias("inc")))).alias("m"))
-    start = F.map_from_entries(F.transform("m", lambda r: F.struct(r["j"], F.lit(1.0))))
-
-    def step(score, _):
-        one = lambda r: F.struct(r["j"], F.aggregate(r["inc"], F.lit(1 - damping), lambda s, e: s + damping * e["p"] * F.element_at(score, e["line_idx"])))
-        return F.map_from_entries(F.transform("m", one))
-
-    scored = m.select("deck", "slide", F.explode(F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step)).alias("line_idx", "score"))
-    return scored.withColumn("rank", F.row_number().over(_slide().orderBy(F.desc("score"), "line_idx"))).where(F.col("rank") <= top)
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        lines, i = np.unique(table["line_idx"].to_numpy(), return_inverse=True)
+        t = table["term"].combine_chunks().dictionary_encode().indices.to_numpy()
+        w = table["weight"].to_numpy()
+        by_line = lambda x: np.bincount(i, x, len(lines))
+        own = by_line(w * w)
+        total = by_line(w * np.bincount(t, w)[t]) - own
+        total = np.where(total > 1e-12, total, np.inf)  # a line that shares nothing passes nothing on
+        score = np.ones(len(lines))
+        for _ in range(rounds):
+            z = score / total
+            score = 1 - damping + damping * (by_line(w * np.bincount(t, w * z[i])[t]) - own * z)
+        first = np.lexsort((lines, -np.round(score, 12)))[:top]
+        n = len(first)
+        return pa.table({"deck": pa.array([key[0].as_py()] * n, kind), "slide": pa.array([key[1].as_py()] * n, pa.int32()), "line_idx": pa.array(lines[first], pa.int32()), "score": pa.array(score[first], pa.float64()), "rank": pa.array(range(1, n + 1), pa.int32())})
+
+    kind = to_arrow_type(weights.schema["deck"].dataType)
+    w = weights.select("deck", F.col("slide").cast("int").alias("slide"), F.col("line_idx").cast("int").alias("line_idx"), "term", "weight")
+    return w.groupBy("deck", "slide").applyInArrow(run, f"deck {weights.schema['deck'].dataType.simpleString()}, slide int, line_idx int, score double, rank int")
 
 
 def keypoints(parts: DataFrame) -> DataFrame:

@@ -57,17 +57,34 @@ def pr_curve(rows: DataFrame, steps: int = 20) -> DataFrame:
 def tolerance_matches(pairs: DataFrame, tolerance: float) -> DataFrame:
     """From arrays gold and pred: predictions matched one to one, each to the first gold time, in the array's order, that is free and within the tolerance.
 
-    Equal gold times are different ones. Greedy in the order of predictions; one
-    fold over each row's arrays, whose state is the places of matched gold times.
+    Equal gold times are different ones. Greedy in the order of predictions: one
+    fold over each row's arrays. Gold times in reach are a stretch of the sorted ones, found by
+    bisection; its state is a bit for each gold time.
     """
-
-    def step(used, p):
-        free = F.filter(F.sequence(F.lit(1), F.size("gold")), lambda i: ~F.array_contains(used, i) & (F.abs(F.element_at("gold", i) - p) <= tolerance))
-        return F.when(F.size(free) == 0, used).otherwise(F.concat(used, F.slice(free, 1, 1)))
-
-    used = F.when(F.size("gold") > 0, F.aggregate("pred", F.array().cast("array<int>"), step)).otherwise(F.array().cast("array<int>"))
-    m = pairs.withColumn("tp", F.size(used))
-    return m.select("session_id", "tp", *precision_recall(F.col("tp"), F.size("pred"), F.size("gold")))
+    n = F.size("gold")
+    times = F.array_sort(F.transform("gold", lambda x, i: F.struct(x.alias("t"), i.alias("i"))))
+    p = pairs.withColumn("_g", times)
+
+    def below(value):
+        """How many sorted times are below the value."""
+        halve = lambda s, _: F.when(s["lo"] >= s["hi"], s).when(F.element_at("_g", s["lo"] + F.expr("1") + F.shiftright(s["hi"] - s["lo"], 1))["t"] < value, F.struct((s["lo"] + F.shiftright(s["hi"] - s["lo"], 1) + 1).alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), (s["lo"] + F.shiftright(s["hi"] - s["lo"], 1)).alias("hi")))
+        return F.aggregate(F.sequence(F.lit(0), F.ceil(F.log2(n + 1)).cast("int")), F.struct(F.lit(0).alias("lo"), n.alias("hi")), halve)["lo"]
+
+    bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), (i % 64).cast("int"))
+    word = lambda i: (i / 64).cast("int")
+    slack = tolerance * 1e-9 + 1e-9
+
+    def step(state, x):
+        lo = below(x - tolerance - slack)
+        near = F.slice("_g", lo + 1, F.greatest(below(x + tolerance + slack) - lo, F.lit(0)))
+        free = F.filter(near, lambda g: (F.abs(g["t"] - x) <= tolerance) & (F.element_at(state["used"], word(g["i"]) + 1).bitwiseAND(bit(g["i"])) == 0))
+        first = F.array_min(F.transform(free, lambda g: g["i"]))
+        used = F.transform(state["used"], lambda u, k: F.when(k == word(first), u.bitwiseOR(bit(first))).otherwise(u))
+        return F.when(first.isNull(), state).otherwise(F.struct(used.alias("used"), (state["tp"] + 1).alias("tp")))
+
+    start = F.struct(F.array_repeat(F.lit(0).cast("long"), word(n) + 1).alias("used"), F.lit(0).alias("tp"))
+    m = p.withColumn("tp", F.when(n > 0, F.aggregate("pred", start, step)["tp"]).otherwise(0))
+    return m.select("session_id", "tp", *precision_recall(F.col("tp"), F.size("pred"), n))
 
 
 def probe_loss(rows: DataFrame) -> DataFrame:

@@ -84,6 +84,15 @@ def change_points_merged(spark, sf):
     return d.merge_changes(f.where(F.col("silence")).select("session_id", "t", F.lit("energy_drop").alias("type"), F.col("energy").alias("magnitude")), 6.0).groupBy("session_id").agg(F.count("*").alias("n"), edge(F.min("t")).alias("first"))
 
 
+def pitch_selected(spark, sf):
+    """Slides (every fifth frame is one's) whose pitch moves most among the changes."""
+    from rostrum.operators.report import pitch_slides
+
+    c = change_point_types(spark, sf).withColumn("slide_id", (F.col("frame_idx") % 5 + 1).cast("int"))
+    s = pitch_slides(c, c.select("session_id").distinct().withColumn("n_slides", F.lit(5)))
+    return s.withColumn("pitch_score", edge(F.col("pitch_score"), 4))
+
+
 def segment_events(spark, sf):
     """Silent frames (closed ends) and other frames (half-open) of each span, counted apart so that nothing multiplies."""
     f = a.frames(spark, sf)
@@ -94,7 +103,7 @@ def segment_events(spark, sf):
     return out.select("session_id", "slide_id", F.coalesce("n_silent", F.lit(0)).alias("n_silent"), F.coalesce("n_other", F.lit(0)).alias("n_other"))
 
 
-QUERIES = {f.__name__: f for f in (word_source, filler_stats, dwell_stats, word_segments, delivery_score, pacing, segment_features, trend_labels, anomaly_flags, speech_rate_frames, change_point_types, change_points_merged, segment_events)}
+QUERIES = {f.__name__: f for f in (word_source, filler_stats, dwell_stats, word_segments, delivery_score, pacing, segment_features, trend_labels, anomaly_flags, speech_rate_frames, change_point_types, change_points_merged, pitch_selected, segment_events)}
 
 _FILLER = "regexp_full_match(lower(trim(word)), '(the|that|que|der)')"
 _SLIDES = f"""
@@ -141,3 +150,5 @@ g AS (SELECT *, greatest(abs(em), abs(pm), abs(rm)) AS top FROM m WHERE silence
 SELECT session_id, frame_idx, CASE WHEN abs(em) = top THEN CASE WHEN em < 0 THEN 'energy_drop' ELSE 'energy_rise' END WHEN abs(pm) = top THEN 'pitch_shift' WHEN rm < 0 THEN 'speed_drop' ELSE 'speed_rise' END AS type, round_even(top, 5) AS magnitude FROM g""",
     "segment_events": f"""WITH {a.FRAMES} SELECT s.session_id, s.slide_id, count_if(silence AND t BETWEEN lo AND hi) AS n_silent, count_if(NOT silence AND t >= lo AND t < hi) AS n_other FROM frame_segments s JOIN frames USING (session_id) GROUP BY ALL""",
 }
+ORACLE["pitch_selected"] = f"""WITH c AS ({ORACLE["change_point_types"]}), g AS (SELECT session_id, (frame_idx % 5 + 1)::INT AS slide_id, sum(abs(magnitude)) AS s FROM c WHERE type LIKE 'pitch%' GROUP BY ALL HAVING sum(abs(magnitude)) > 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY round_even(s, 9) DESC, slide_id) AS r FROM g) SELECT session_id, slide_id, round_even(s, 4) AS pitch_score FROM r WHERE r <= 2"""

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TALK = "text string, words array<struct<word:string,start:double,end:double>>"
@@ -38,6 +38,40 @@ def audio_inventory(spark: SparkSession, path: str, glob: str = "*.wav") -> Data
     return f.groupBy(F.element_at(F.split("path", "/"), -1).alias("audio_name")).agg(F.min(F.struct("path", "length")).alias("x")).select("audio_name", "x.*")
 
 
+def _little(x: Column, at: Column, n: int) -> Column:
+    """The unsigned number in n little-endian bytes."""
+    return sum((F.conv(F.hex(F.substring(x, at + i, F.lit(1))), 16, 10).cast("long") * 256**i for i in range(n)), F.lit(0).cast("long"))
+
+
+def read_wav_lengths(spark: SparkSession, path: str, glob: str = "*.wav", chunks: int = 16) -> tuple[DataFrame, DataFrame]:
+    """(audio_path, rate, channels, width, duration_sec) of the WAV files of a folder, and (audio_path, reason) of those that are none.
+
+    Column expressions go through the first chunks of the file's header; no sample is
+    decoded. What the header says of the samples is cut to what the file has.
+    """
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
+    head = F.substring("content", 1, 1 << 16)
+    x = f.select(F.col("path").alias("audio_path"), "length", head.alias("h"))
+    name = lambda at: F.substring("h", at, F.lit(4)).cast("string")
+
+    def step(s, _):
+        size = _little(F.col("h"), s["at"] + 4, 4)
+        fmt, data = name(s["at"]) == "fmt ", name(s["at"]) == "data"
+        keep = lambda k, c, n: F.when(fmt, _little(F.col("h"), s["at"] + c, n)).otherwise(s[k]).alias(k)
+        after = F.struct((s["at"] + 8 + size + size % 2).cast("int").alias("at"), keep("channels", 10, 2), keep("rate", 12, 4), keep("width", 22, 2), F.when(data, F.least(size, F.col("length") - s["at"] - 7)).otherwise(s["bytes"]).alias("bytes"))
+        return F.when((s["at"] + 7 > F.octet_length("h")) | s["bytes"].isNotNull(), s).otherwise(after)
+
+    none = F.lit(None).cast("long")
+    start = F.struct(F.lit(13).alias("at"), none.alias("channels"), none.alias("rate"), none.alias("width"), none.alias("bytes"))
+    x = x.withColumn("w", F.aggregate(F.sequence(F.lit(1), F.lit(chunks)), start, step))
+    wav = (name(F.lit(1)) == "RIFF") & (name(F.lit(9)) == "WAVE")
+    each = F.col("w.channels") * F.col("w.rate") * F.col("w.width") / 8
+    reason = F.when(~F.coalesce(wav, F.lit(False)), "not_wav").when(F.col("w.rate").isNull() | F.col("w.bytes").isNull(), "no_samples").when(F.coalesce(each, F.lit(0.0)) <= 0, "bad_format")
+    x = x.withColumn("reason", reason)
+    good = x.where("reason IS NULL").select("audio_path", "w.rate", "w.channels", "w.width", (F.col("w.bytes") / each).alias("duration_sec"))
+    return good, x.where("reason IS NOT NULL").select("audio_path", "reason")
+
+
 def read_wav_frames(spark: SparkSession, path: str, window_ms: int = 32, hop_ms: int = 10, seconds: float | None = 15.0) -> DataFrame:
     """Frames of PCM WAV files (16 or 32 bit, channels averaged): energy in dB relative to the loudest, and silence.
 
