@@ -30,6 +30,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rostrum.llm import batches as arrow
-from rostrum.llm.bpe import byte_of_char
+from rostrum.llm.bpe import PATTERN, byte_of_char
 from rostrum.llm.packed import pack, steps, unpack
 from rostrum.plans import scratch
 
@@ -50,8 +51,10 @@ LANE = 512
 BUCKETS, GATHER = 128, 1024
 #: Links, or tokens, that are expanded at a time.
 SLICE = 1 << 20
-#: Parts up to this many characters are remembered, in about so many bytes; each takes some 250 bytes.
-LONGEST, KEPT, EACH = 48, 48 << 20, 250
+#: Parts up to this many characters are remembered, in about so many bytes; each takes some 350 bytes.
+LONGEST, KEPT, EACH = 48, 96 << 20, 350
+#: New parts that are read as one text.
+TOGETHER = 4096
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
@@ -60,6 +63,7 @@ class _Tokenizers:
     """Both tokenizers, the bytes of their ids and the decimal digits of ids."""
 
     def __init__(self, a_path: str, b_path: str):
+        import tiktoken
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
 
@@ -77,44 +81,74 @@ class _Tokenizers:
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         if max(len(self.a_bytes), n) > 1 << 16:
             raise ValueError("ids need 16 bits")
+        ranks = {x: i for i, x in enumerate(self.a_bytes) if x and i not in self.a.get_added_tokens_decoder()}
+        #: the same vocabulary, whose ids are in the order of its merges; the bytes of what it gives are compared with the text
+        self.fast = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.a_size, self.b_size = (np.array(list(map(len, x)), np.int64) for x in (self.a_bytes, self.b_bytes))
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, tuple[bytes, bytes] | None] = {}
-        self.older: dict[str, tuple[bytes, bytes] | None] = {}
-
-    def learn(self, parts: list[str]) -> dict[str, tuple[bytes, bytes] | None]:
-        """The ids of these parts that are new to the memory; None if A's or B's bytes aren't a space and the part."""
+        #: A's and B's ids of parts, in a newer and an older generation
+        self.known: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        self.older: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+
+    def learn(self, parts: list[str]) -> None:
+        """Put these parts into the memory, read as one text where that is sure to give the same: their ends must be tokens' ends."""
+        joined = " ".join(parts)
+        raw = b" " + joined.encode()
+        a = np.array(self.fast.encode_ordinary(" " + joined), "<u2")
+        b = np.array(self.b.encode(joined, num_threads=1), "<u2")
+        ends = np.cumsum([len(x.encode()) + 1 for x in parts])
+        cuts = []
+        for ids, size, text in ((a, self.a_size, self.a_bytes), (b, self.b_size, self.b_bytes)):
+            at = np.cumsum(size[ids])
+            cut = np.searchsorted(at, ends)
+            if at[-1] != len(raw) or (at[cut] != ends).any() or b"".join(map(text.__getitem__, ids.tolist())) != raw:
+                return self.learn_singly(parts)
+            cuts.append([0, *(2 * cut + 2).tolist()])
+        for known, ids, cut in zip(self.known, (a.tobytes(), b.tobytes()), cuts, strict=True):
+            known.update(zip(parts, [ids[i:j] for i, j in zip(cut, cut[1:], strict=False)], strict=True))
+
+    def learn_singly(self, parts: list[str]) -> None:
+        """Put these parts into the memory; those whose A or B bytes aren't a space and the part among the bad."""
         a = self.a.encode_batch([" " + x for x in parts], add_special_tokens=False)
         b = self.b.encode(parts, num_threads=1)
-        out = {}
         for x, i, j in zip(parts, a, b, strict=True):
             i, raw = i.ids, b" " + x.encode()
-            same = b"".join(map(self.a_bytes.__getitem__, i)) == raw and b"".join(map(self.b_bytes.__getitem__, j)) == raw
-            out[x] = (np.array(i, "<u2").tobytes(), np.array(j, "<u2").tobytes()) if same else None
-        return out
+            if b"".join(map(self.a_bytes.__getitem__, i)) != raw or b"".join(map(self.b_bytes.__getitem__, j)) != raw:
+                self.bad.add(x)
+            self.known[0][x], self.known[1][x] = np.array(i, "<u2").tobytes(), np.array(j, "<u2").tobytes()
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bytes] | None]:
         """A's and B's ids of each text, None if it has no tokens."""
         cut = [_CUT.split(t) if t else [] for t in texts]
-        ids = {}
-        for x in dict.fromkeys(x for parts in cut for x in parts):
-            if x in self.known:
-                ids[x] = self.known[x]
-            elif x in self.older:
-                ids[x] = self.known[x] = self.older[x]
+        self.bad: set[str] = set()
+        every = set(chain.from_iterable(cut))
+        (a, b), (older_a, older_b) = self.known, self.older
+        new, odd = [], []
+        for x in every:
+            if x in a:
+                continue
+            if x in older_a:
+                a[x], b[x] = older_a[x], older_b[x]
+            elif len(x) <= LONGEST and x.isascii() and not (x[:1].isspace() or x[-1:].isspace()):
+                new.append(x)
             else:
-                ids[x] = self
-        new = [x for x, v in ids.items() if v is self]
-        ids.update(self.learn(new))
-        self.known.update((x, ids[x]) for x in new if len(x) <= LONGEST)
-        if len(self.known) * EACH > KEPT // 2:  # what is often asked for comes back from the older generation
-            self.known, self.older = {}, self.known
+                odd.append(x)
+        for i in range(0, len(new), TOGETHER):
+            self.learn(new[i : i + TOGETHER])
+        inner = [x for x in odd if x[:1].strip() and x[-1:].strip() and len(x) <= LONGEST]
+        for i in range(0, len(inner), TOGETHER // 8):
+            self.learn(inner[i : i + TOGETHER // 8])
+        self.learn_singly([x for x in odd if x not in a])
         out = []
         for parts in cut:
-            both = [ids[x] for x in parts]
-            out.append((b"".join([x[0] for x in both]), b"".join([x[1] for x in both])) if both and None not in both else None)
+            whole = parts and (not self.bad or self.bad.isdisjoint(parts))
+            out.append((b"".join(map(a.__getitem__, parts)), b"".join(map(b.__getitem__, parts))) if whole else None)
+        for x in self.bad.union(x for x in odd if len(x) > LONGEST):
+            del a[x], b[x]
+        if len(a) * EACH > KEPT // 2:  # what is often asked for comes back from the older generation
+            self.known, self.older = ({}, {}), self.known
         return out
 
 

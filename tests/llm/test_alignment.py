@@ -153,4 +153,20 @@ def test_memory_of_parts(monkeypatch):
     for k in range(60):
         text = f"word{k} the cat{k % 7} " + "y" * 100
         assert both.encode([text])[0][0] == np.array(both.a.encode(" " + text, add_special_tokens=False).ids, "<u2").tobytes()
-        assert len(both.known) <= 26 and len(both.older) <= 26
+        assert len(both.known[0]) <= 26 and len(both.older[0]) <= 26
+
+
+def test_parts_read_as_one_text(libraries):
+    """Thousands of parts at once give what each gives; a part that spoils its lot leaves the others right."""
+    r = random.Random(12)
+    letters = "etaoinshrdlu'0123.,-_<|>éüßñ中日한あ́\u200b½"
+    texts = [" ".join("".join(r.choice(letters) for _ in range(r.randrange(1, 14))) for _ in range(40)) for _ in range(150)]
+    texts += [t[:60] + " x▁y " + t[60:] for t in texts[:3]] + [t + "\n" for t in texts[:3]] + ["<|endoftext|> it's </s>"]
+    both = alignment._Tokenizers(A, B)
+    got = both.encode(texts)
+    for t, x in zip(texts, got, strict=True):
+        if "▁" in t:
+            assert x is None
+        else:
+            assert np.frombuffer(x[0], "<u2").tolist() == libraries[0].encode(" " + t, add_special_tokens=False).ids
+            assert np.frombuffer(x[1], "<u2").tolist() == libraries[1].encode(t)
