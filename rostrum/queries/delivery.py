@@ -90,7 +90,7 @@ def pitch_selected(spark, sf):
 
     c = change_point_types(spark, sf).withColumn("slide_id", (F.col("frame_idx") % 5 + 1).cast("int"))
     s = pitch_slides(c, c.select("session_id").distinct().withColumn("n_slides", F.lit(5)))
-    return s.withColumn("pitch_score", edge(F.col("pitch_score"), 4))
+    return s.withColumn("pitch_score", edge(F.col("pitch_score"), 5))
 
 
 def segment_events(spark, sf):
@@ -151,4 +151,4 @@ SELECT session_id, frame_idx, CASE WHEN abs(em) = top THEN CASE WHEN em < 0 THEN
     "segment_events": f"""WITH {a.FRAMES} SELECT s.session_id, s.slide_id, count_if(silence AND t BETWEEN lo AND hi) AS n_silent, count_if(NOT silence AND t >= lo AND t < hi) AS n_other FROM frame_segments s JOIN frames USING (session_id) GROUP BY ALL""",
 }
 ORACLE["pitch_selected"] = f"""WITH c AS ({ORACLE["change_point_types"]}), g AS (SELECT session_id, (frame_idx % 5 + 1)::INT AS slide_id, sum(abs(magnitude)) AS s FROM c WHERE type LIKE 'pitch%' GROUP BY ALL HAVING sum(abs(magnitude)) > 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY round_even(s, 9) DESC, slide_id) AS r FROM g) SELECT session_id, slide_id, round_even(s, 4) AS pitch_score FROM r WHERE r <= 2"""
+r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY round_even(s, 9) DESC, slide_id) AS r FROM g) SELECT session_id, slide_id, round_even(s, 5) AS pitch_score FROM r WHERE r <= 2"""
