@@ -14,8 +14,8 @@ class Memo(dict):
     """make(key), remembered for short keys within about `most` bytes.
 
     When half of that is full, it becomes the older generation and the one before
-    is forgotten, so what is asked for often stays. One lives as long as the
-    iterator of a partition; nothing is kept between tasks.
+    is forgotten, so what is asked for often stays. Most live as long as the iterator
+    of a partition; that of op7 as long as its worker.
     """
 
     def __init__(self, make: Callable, most: int):
