@@ -20,11 +20,12 @@ from __future__ import annotations
 import os
 import struct
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +33,7 @@ from pyspark.sql import functions as F
 from rostrum.llm import huffman
 from rostrum.llm.bpe import byte_of_char
 from rostrum.llm import batches as arrow
+from rostrum.llm.memo import Memo
 from rostrum.plans import scratch
 
 # Fixed value: the pattern by which the tokenizer cuts a lower-cased text into the parts that it merges.
@@ -40,8 +42,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 END = 2
 #: A block closes with the document that reaches this many ids.
 BLOCK = 1 << 16
-#: White-space-free chunks, and words, that a worker remembers, and the longest of them in bytes.
-KEPT_CHUNKS, LONGEST = 300_000, 48
+#: Bytes of words, and of white-space-free chunks that are more than a word of ASCII letters, that a worker remembers.
+KEPT_WORDS, KEPT_CHUNKS = 160 << 20, 64 << 20
 
 _BLOCKS = pa.schema([("part", pa.int32()), ("start", pa.int64()), ("docs", pa.binary()), ("lengths", pa.binary()), ("bits", pa.binary()), ("offsets", pa.binary()), ("n", pa.int32())])
 _BLOCKS_SQL = "part int, start long, docs binary, lengths binary, bits binary, offsets binary, n int"
@@ -49,7 +51,7 @@ _BLOCKS_SQL = "part int, start long, docs binary, lengths binary, bits binary, o
 NO_ID = -(1 << 63)
 
 
-class _Chunks(dict):
+class _Chunks:
     """Ids (as bytes) of chunks between ASCII white space; this tokenizer drops white space and never looks across it.
 
     The plain case, printable Latin text that needs no normalisation but lower case
@@ -68,38 +70,38 @@ class _Chunks(dict):
         self.cut = regex.compile(PATTERN).findall
         #: first characters of special tokens, which may stand anywhere in a chunk
         self.starts = {t.content[:1].lower() for t in self.tokenizer.get_added_tokens_decoder().values()}
-        self.words: dict[str, bytes] = {}
-
-    def __missing__(self, chunk: bytes) -> bytes:
-        if len(self) >= KEPT_CHUNKS:
-            self.clear()
+        self.words = Memo(self._word, KEPT_WORDS)
+        self.others = Memo(self._other, KEPT_CHUNKS)
+
+    def all(self, chunks: Iterable[bytes]) -> list[bytes]:
+        words, others, out = self.words, self.others, []
+        for chunk in chunks:
+            core = chunk.rstrip(b".,")
+            if not core.isalpha():  # ASCII letters
+                out.append(others[chunk])
+            elif len(core) == len(chunk):
+                out.append(words[core.lower()])
+            else:
+                out.append(words[core.lower()] + words[chunk[len(core) :]])
+        return out
+
+    def _other(self, chunk: bytes) -> bytes:
         core = chunk.rstrip(b".,")
         text = core.decode()
         low = text.lower()
         # Latin letters are lower-cased one by one, as in the library
         latin = core.isascii() or (text and max(text) < "\u0180" and len(low) == len(text) and unicodedata.is_normalized("NFC", text))
         if latin and text.isalpha():
-            got = self.word(low)
-            if len(core) < len(chunk):
-                got += self.word(chunk[len(core) :].decode())
-        elif latin and text.isprintable() and self.starts.isdisjoint(low):
-            got = b"".join(map(self.word, self.cut(low + chunk[len(core) :].decode())))
-        else:
-            got = self.whole(chunk.decode())
-        if len(chunk) <= LONGEST:
-            self[chunk] = got
-        return got
-
-    def word(self, word: str) -> bytes:
-        got = self.words.get(word)
-        if got is None:
-            if len(self.words) >= KEPT_CHUNKS:
-                self.words.clear()
-            mapped = word if word.isascii() else "".join(map(self.chars.__getitem__, word.encode()))
-            got = struct.pack(f"<{len(t := self.bpe.tokenize(mapped))}I", *[x.id for x in t])
-            if len(word) <= LONGEST:
-                self.words[word] = got
-        return got
+            got = self.words[low.encode()]
+            return got if len(core) == len(chunk) else got + self.words[chunk[len(core) :]]
+        if latin and text.isprintable() and self.starts.isdisjoint(low):
+            return b"".join([self.words[x.encode()] for x in self.cut(low + chunk[len(core) :].decode())])
+        return self.whole(chunk.decode())
+
+    def _word(self, word: bytes) -> bytes:
+        mapped = word.decode() if word.isascii() else "".join(map(self.chars.__getitem__, word))
+        t = self.bpe.tokenize(mapped)
+        return struct.pack(f"<{len(t)}I", *[x.id for x in t])
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -110,12 +112,25 @@ def _chunks(path: str) -> _Chunks:
     return _Chunks(path)
 
 
-def _ids(texts: list[bytes], vocabulary: str) -> Iterator[bytes]:
-    """Each text's ids as little-endian 32-bit integers, with the end id."""
-    known = _chunks(vocabulary).__getitem__
-    end = END.to_bytes(4, "little")
-    for t in texts:
-        yield b"".join(map(known, t.split())) + end
+def _ids(texts: pa.Array, vocabulary: str, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of binary texts as `kind`, each text's with the end id, and where each text's begin (and the last one's end).
+
+    Each distinct chunk of these texts is looked up once.
+    """
+    chunks = pc.ascii_split_whitespace(texts.view(pa.string()))
+    at = chunks.offsets.to_numpy()
+    named = chunks.flatten().dictionary_encode()
+    parts = _chunks(vocabulary).all(named.dictionary.view(pa.binary()).to_numpy(zero_copy_only=False))
+    parts.append(END.to_bytes(4, "little"))
+    size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+    ids = np.frombuffer(b"".join(parts), "<u4").astype(kind)
+    first = np.cumsum(size) - size
+    which = np.insert(named.indices.to_numpy(), at[1:] - at[0], len(parts) - 1)
+    n = size[which]
+    ends = np.r_[0, np.cumsum(n)]
+    # a text's chunks, and the end id after them
+    starts = ends[at - at[0] + np.arange(len(at))]
+    return ids[np.repeat(first[which] - ends[:-1], n) + np.arange(ends[-1])], starts
 
 
 _RAW = pa.schema([("part", pa.int32()), ("id", pa.int64()), ("start", pa.int64()), ("ids", pa.binary())])
@@ -128,12 +143,10 @@ def _tokenise(vocabulary: str, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start = 0
         for b in batches:
-            starts, held = [], []
-            for ids in _ids(b.column(2).to_pylist(), vocabulary):
-                starts.append(start)
-                start += len(ids) // 4
-                held.append(np.frombuffer(ids, "<u4").astype(kind).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(starts, pa.int64()), pa.array(held, pa.binary())], schema=_RAW)
+            ids, at = _ids(b.column(2), vocabulary, kind)
+            held = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer((at * ids.itemsize).astype(np.int32)), pa.py_buffer(ids)])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(at[:-1] + start, pa.int64()), held], schema=_RAW)
+            start += len(ids)
 
     return run
 

@@ -93,3 +93,26 @@ def test_token_files(spark, libraries, tmp_path, monkeypatch):
     assert got == want
     token_files.write(spark.createDataFrame([], SCHEMA), str(tmp_path / "e"), WORDS)
     assert token_files.summary(spark, str(tmp_path / "e")).count() == 0
+
+
+def test_distinct_chunks_are_looked_up_once_and_memory_is_bounded_in_bytes(libraries, monkeypatch):
+    import pyarrow as pa
+
+    texts = ["left out", *(t or "" for t in ODD), "The the, THE. the The", "É é É. ., . , a.b.. <|endoftext|>The <|ENDOFTEXT|>", " \t\x0b\x0c\r\n ", "Zz " * 500]
+    for room in (token_files.KEPT_WORDS, 2000):
+        monkeypatch.setattr(token_files, "KEPT_WORDS", room)
+        monkeypatch.setattr(token_files, "KEPT_CHUNKS", room)
+        chunks = token_files._Chunks(WORDS)
+        asked = []
+        monkeypatch.setattr(token_files, "_chunks", lambda _: chunks)  # noqa: B023
+        monkeypatch.setattr(chunks, "all", lambda c, f=chunks.all: f(asked.extend(c) or c))  # noqa: B023
+        batch = pa.array([t.encode() for t in texts], pa.binary()).slice(1)
+        for _ in range(2):
+            asked.clear()
+            ids, at = token_files._ids(batch, WORDS, "<u2")
+            want = [libraries[1].encode(t, add_special_tokens=False).ids + [token_files.END] for t in texts[1:]]
+            assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == want
+            assert len(asked) == len(set(asked)) == len({c for t in texts[1:] for c in t.encode().split()} | {b""})
+        assert max(chunks.words.used, chunks.others.used) <= room
+    ids, at = token_files._ids(batch.slice(0, 0), WORDS, "<u2")
+    assert (ids.tolist(), at.tolist()) == ([], [0])
