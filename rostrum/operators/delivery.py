@@ -46,18 +46,30 @@ def segment_words(segments: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def dwell(segments: DataFrame, counts: DataFrame) -> DataFrame:
-    """Seconds on each slide, its share, z-score among the session's, and words per second."""
+    """Seconds on each slide, its share, z-score among the session's, and words per second.
+
+    A session's slides are one ordered array, and deviations are summed up in its order (Welford), not as rows
+    arrive: of two slides the shorter lies at -1 give or take the last bit, which limits on the z-score see.
+    """
     s = segments.join(counts, ["session_id", "slide_id"], "left").withColumn("dwell_sec", F.greatest(F.lit(0.0), (F.col("end_ms") - F.col("start_ms")) / 1000.0))
-    mean, std, total = F.avg("dwell_sec").over(_session()), F.stddev_pop("dwell_sec").over(_session()), F.sum("dwell_sec").over(_session())
-    n = F.coalesce("word_count", F.lit(0))
+    g = s.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("slide_id", "dwell_sec", F.coalesce("word_count", F.lit(0)).alias("n")))).alias("slides"))
+
+    def step(a, x):
+        n, x = a["n"] + 1, x["dwell_sec"]
+        mean = a["mean"] + (x - a["mean"]) / n
+        return F.struct(n.alias("n"), (a["total"] + x).alias("total"), mean.alias("mean"), (a["m2"] + (x - mean) * (x - a["mean"])).alias("m2"))
+
+    sums = F.aggregate("slides", F.struct(F.lit(0).alias("n"), *[F.lit(0.0).alias(c) for c in ("total", "mean", "m2")]), step)
+    s = g.select("session_id", "slides", sums.alias("of")).select("session_id", "of", F.explode("slides").alias("x")).select("session_id", "of", "x.*")
+    mean, std, total = F.col("of.total") / F.col("of.n"), F.sqrt(F.col("of.m2") / F.col("of.n")), F.col("of.total")
     return s.select(
         "session_id",
         "slide_id",
         "dwell_sec",
         F.when(total > 0, F.try_divide(F.col("dwell_sec"), total)).otherwise(0.0).alias("dwell_ratio"),
         F.when(std > 1e-8, F.try_divide(F.col("dwell_sec") - mean, std)).otherwise(0.0).alias("dwell_z"),
-        n.alias("word_count"),
-        (n / F.greatest("dwell_sec", F.lit(0.1))).alias("words_per_sec"),
+        F.col("n").alias("word_count"),
+        (F.col("n") / F.greatest("dwell_sec", F.lit(0.1))).alias("words_per_sec"),
     )
 
 
