@@ -32,9 +32,9 @@ def actionable_title(x: Column) -> Column:
 
 
 def pitch_slides(changes: DataFrame, slide_counts: DataFrame, fraction: float = 0.30, least: float = 0.0) -> DataFrame:
-    """Slides whose pitch moves most: at most this fraction of a session's slides, at least one."""
+    """Slides whose pitch moves most: at most this fraction of a session's slides, at least one. Sums within 1e-9, which differ by the order of adding up, are equal: the lower slide comes first."""
     g = changes.where(F.col("type").startswith("pitch")).groupBy(*KEYS).agg(F.sum(F.abs("magnitude")).alias("pitch_score")).where("pitch_score > 0")
-    r = F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("pitch_score"), "slide_id"))
+    r = F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc(F.bround("pitch_score", 9)), "slide_id"))
     g = g.join(slide_counts, "session_id").withColumn("r", r)
     return g.where((F.col("r") <= F.greatest(F.lit(1), F.ceil(F.col("n_slides") * fraction))) & (F.col("pitch_score") > least)).select(*KEYS, "pitch_score")
 

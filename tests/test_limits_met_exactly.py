@@ -1,4 +1,4 @@
-"""Scores that lie on a limit: the same rows as SQL, in whatever order rows arrive."""
+"""Scores that lie on a limit, and sums that tie: the same rows as SQL, in whatever order rows arrive."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rostrum import catalogue
-from rostrum.operators import delivery
+from rostrum.operators import delivery, report
 
 SF = "/root/testdata/sf0.001"
 
@@ -72,3 +72,10 @@ def test_dwell_does_not_depend_on_the_order_of_rows(spark):
     for order in ("slide_id", F.desc("slide_id")):
         got = {(r.session_id, r.slide_id): r.dwell_z for r in delivery.dwell(segments.coalesce(1).sort(order), counts).collect()}
         assert got == want
+
+
+def test_pitch_sums_that_tie(spark):
+    """0.1 + 0.2 is no more than 0.3: the lower slide is taken."""
+    changes = spark.createDataFrame([(1, 1, "pitch_shift", 0.3), (1, 2, "pitch_shift", 0.1), (1, 2, "pitch_shift", 0.2)], "session_id int, slide_id int, type string, magnitude double")
+    counts = spark.createDataFrame([(1, 2)], "session_id int, n_slides int")
+    assert [(r.slide_id, r.pitch_score) for r in report.pitch_slides(changes, counts).collect()] == [(1, 0.3)]
